@@ -21,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import slices, spans, table, utf8
+from tessella.llm.common import MIX, SpanHash, slices, spans, table, utf8
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 LONG_PIECE = 1024
 NO_RANK = np.int32(2**31 - 1)
 EMPTY = np.uint64(2**64 - 1)
-MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Cells of a matrix that is merged at once.
 CELLS = 1 << 21
 
@@ -237,36 +236,12 @@ def encode_pieces(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, voc
     return out, count
 
 
-def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, inverse: np.ndarray, power: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each piece that does not depend on its place."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * inverse[: len(data)], out=total[1:])
-    value = (total[starts + lengths] - total[starts]) * power[starts]
-    value ^= value >> np.uint64(29)
-    return (value * MIX) ^ lengths.astype(np.uint64)
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    back = pow(base, -1, 1 << 64)
-    out = []
-    for b in (back, base):
-        p = np.full(n, b, np.uint64)
-        p[:1] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 class Codec:
     """Encodes and decodes slices of texts; made in each task from broadcast arrays."""
 
     def __init__(self, vocabulary: Vocabulary, classes: np.ndarray) -> None:
         self.vocabulary, self.classes = vocabulary, classes
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def _tables(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        if not self.tables or len(self.tables[0][0]) < n:
-            self.tables = [_powers(b, max(n, 1 << 16)) for b in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
-        return self.tables
+        self.hashes = SpanHash(), SpanHash(0xD6E8FEB86659FD93)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and n + 1 offsets into them."""
@@ -278,8 +253,7 @@ class Codec:
         begins = np.searchsorted(byte_at, offsets[:-1][np.diff(offsets) > 0])
         starts = byte_at[pieces(points, self.classes, begins)]
         lengths = np.diff(np.append(starts, n))
-        (i1, p1), (i2, p2) = self._tables(n + 1)
-        h1, h2 = _hashes(data, starts, lengths, i1, p1), _hashes(data, starts, lengths, i2, p2)
+        h1, h2 = (h.of(h.totals(data), starts, starts + lengths) for h in self.hashes)
         _, first, which = np.unique(h1, return_index=True, return_inverse=True)
         if (h2[first][which] != h2).any():  # two pieces share one hash: tell them apart by both
             _, first, which = np.unique(np.stack([h1, h2], 1), axis=0, return_index=True, return_inverse=True)

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once with numpy; bounds temporary arrays, never the text.
 SLICE_BYTES = 4 << 20
@@ -56,3 +57,44 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     total = int(lengths.sum())
     first = np.cumsum(lengths) - lengths
     return np.repeat(starts - first, lengths) + np.arange(total)
+
+
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2**64: (inverse, base)."""
+    out = []
+    for b in (pow(base, -1, 1 << 64), base):
+        p = np.full(n, b, np.uint64)
+        p[:1] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+class SpanHash:
+    """64-bit polynomial hashes of byte spans that do not depend on the place of a span."""
+
+    def __init__(self, base: int = 0x9E3779B97F4A7C15) -> None:
+        self.base, self.inverse, self.power = base, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def _room(self, n: int) -> None:
+        if len(self.inverse) < n:
+            self.inverse, self.power = powers(self.base, max(n, 1 << 16))
+
+    def totals(self, data: np.ndarray) -> np.ndarray:
+        n = len(data)
+        self._room(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.inverse[:n], out=total[1:])
+        return total
+
+    def of(self, total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        value = (total[ends] - total[starts]) * self.power[starts]
+        value ^= value >> np.uint64(29)
+        return (value * MIX) ^ (ends - starts).astype(np.uint64)
+
+
+def fold(column: Column) -> Column:
+    """The remainder of crc32(id as text) by 5; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % 5

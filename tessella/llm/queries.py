@@ -1,8 +1,10 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB text."""
 
 from tessella.llm.bpe import op1_bpe
+from tessella.llm.decontam import OP5_SQL, op5_decontamination
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op5_decontamination": op5_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL}
