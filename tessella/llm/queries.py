@@ -2,9 +2,11 @@
 
 from tessella.llm.bpe import op1_bpe
 from tessella.llm.decontam import OP5_SQL, op5_decontamination
+from tessella.llm.simhash import op6_simhash
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op5_decontamination": op5_decontamination,
+    "op6_simhash": op6_simhash,
 }
 ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL}
