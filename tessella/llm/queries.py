@@ -2,12 +2,14 @@
 
 from tessella.llm.bpe import op1_bpe
 from tessella.llm.decontam import OP5_SQL, op5_decontamination
+from tessella.llm.langid import op3_language
 from tessella.llm.quality import op2_quality
 from tessella.llm.simhash import op6_simhash
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
+    "op3_language": op3_language,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
 }
