@@ -4,6 +4,7 @@ from tessella.llm.bpe import op1_bpe
 from tessella.llm.decontam import OP5_SQL, op5_decontamination
 from tessella.llm.langid import op3_language
 from tessella.llm.quality import op2_quality
+from tessella.llm.sharding import op7_sharding
 from tessella.llm.simhash import op6_simhash
 
 QUERIES = {
@@ -12,5 +13,6 @@ QUERIES = {
     "op3_language": op3_language,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
+    "op7_sharding": op7_sharding,
 }
 ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL}
