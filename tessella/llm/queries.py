@@ -6,6 +6,7 @@ from tessella.llm.langid import op3_language
 from tessella.llm.quality import op2_quality
 from tessella.llm.sharding import op7_sharding
 from tessella.llm.simhash import op6_simhash
+from tessella.llm.tiff import op10_tiff
 
 QUERIES = {
     "op1_bpe": op1_bpe,
@@ -14,5 +15,6 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
+    "op10_tiff": op10_tiff,
 }
 ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL}
