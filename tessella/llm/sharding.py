@@ -22,10 +22,23 @@ from tessella.llm.common import table
 SHARDS, SEED, BUCKET_ROWS, ROW_OVERHEAD = 40, 20_240, 20_000, 16
 
 
+def _draw(key: Column, shard: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), shard.cast("int"), key)
+
+
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
-    """The shard with the largest seeded hash of the key."""
-    draws = [F.struct(F.xxhash64(F.lit(seed), F.lit(s), key).alias("draw"), F.lit(s).alias("shard")) for s in range(shards)]
-    return (F.greatest(*draws) if shards > 1 else draws[0])["shard"]
+    """The shard with the largest seeded hash of the key; of equal hashes the larger shard wins.
+
+    The draws are a loop over an array: spelled out, they make one method so long that compiling it takes
+    more memory than the data.
+    """
+    draws = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(_draw(key, s, seed).alias("draw"), s.alias("shard")))
+    return F.array_max(draws)["shard"]
+
+
+def grown_shard(key: Column, shard: Column, shards: int, seed: int = SEED) -> Column:
+    """shard_of(key, shards + 1), from the shard among the first ones."""
+    return F.when(_draw(key, F.lit(shards), seed) >= _draw(key, shard, seed), F.lit(shards)).otherwise(shard)
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -46,7 +59,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     # running counts of copies turn places among distinct rows into slots
     end = F.sum("copies").over(Window.partitionBy("shard", "bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)) + F.col("offset")
     placed = placed.withColumn("end", end).withColumn("slot", F.explode(F.sequence(F.col("end") - F.col("copies"), F.col("end") - 1)))
-    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", shard_of(F.col("id"), shards + 1, seed).alias("grown_shard"))
+    return placed.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", grown_shard(F.col("id"), F.col("shard"), shards, seed).alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **law) -> None:
