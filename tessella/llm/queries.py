@@ -4,6 +4,7 @@ from tessella.llm.bpe import op1_bpe
 from tessella.llm.decontam import OP5_SQL, op5_decontamination
 from tessella.llm.langid import op3_language
 from tessella.llm.quality import op2_quality
+from tessella.llm.repeats import op4_suffix_dedup
 from tessella.llm.sharding import op7_sharding
 from tessella.llm.simhash import op6_simhash
 from tessella.llm.tiff import op10_tiff
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_language": op3_language,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
