@@ -2,6 +2,7 @@
 
 from tessella.llm.bpe import op1_bpe
 from tessella.llm.decontam import OP5_SQL, op5_decontamination
+from tessella.llm.htmltext import op9_html
 from tessella.llm.langid import op3_language
 from tessella.llm.quality import op2_quality
 from tessella.llm.repeats import op4_suffix_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
+    "op9_html": op9_html,
     "op10_tiff": op10_tiff,
 }
 ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL}
