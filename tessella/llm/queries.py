@@ -1,6 +1,7 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB text."""
 
 from tessella.llm.bpe import op1_bpe
+from tessella.llm.chat import OP8_SQL, op8_chat
 from tessella.llm.decontam import OP5_SQL, op5_decontamination
 from tessella.llm.htmltext import op9_html
 from tessella.llm.langid import op3_language
@@ -18,7 +19,8 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
+    "op8_chat": op8_chat,
     "op9_html": op9_html,
     "op10_tiff": op10_tiff,
 }
-ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL}
+ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL, "op8_chat": OP8_SQL}
