@@ -129,6 +129,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, with all its columns: a row of the least id of the group.
+
+    Rows without an id stand for themselves unless a text with an id is in their group.
+    """
+    found = near_duplicates(docs, id_col, text_col)
+    least = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), F.col("fp").alias("_fp")).distinct()
+    rows = docs.join(least, docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+    return rows.dropDuplicates([id_col])
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
