@@ -15,7 +15,7 @@ group; a null id is kept, with a null component unless a copy has an id. Other c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -71,18 +71,19 @@ def simhash(texts: list[bytes]) -> np.ndarray:
     return majority(np.array(hashes, np.uint64), np.array(first))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, fp): the fingerprint of each whole text as a signed 64-bit integer."""
+def fingerprint(text: Column) -> Column:
+    """The fingerprint of each whole text as a signed 64-bit integer."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets):
-                whole, at = data[offsets[a] : offsets[b]].tobytes(), (offsets[a : b + 1] - offsets[a]).tolist()
-                found = simhash([whole[x:y] for x, y in zip(at[:-1], at[1:], strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(found.view(np.int64))], names=[id_col, "fp"])
+    def run(column: pa.Array) -> pa.Array:
+        data, offsets = utf8(column)
+        parts = [pa.array([], pa.int64())]
+        for a, b in slices(offsets):
+            whole, at = data[offsets[a] : offsets[b]].tobytes(), (offsets[a : b + 1] - offsets[a]).tolist()
+            parts.append(pa.array(simhash([whole[x:y] for x, y in pairwise(at)]).view(np.int64)))
+        return pa.concat_arrays(parts)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "long")(F.coalesce(text, F.lit("")))
 
 
 def _pivots(n: int = PIVOTS) -> list[int]:
@@ -119,25 +120,31 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, fp, component_id): the smallest id of all texts reachable over links."""
-    found = cut(fingerprints(docs, id_col, text_col))
+def _classes(found: DataFrame, id_col: str) -> DataFrame:
+    """Rows (fp, root, component_id) of all distinct fingerprints of (id_col, fp)."""
     distinct = found.groupBy("fp").agg(F.min(id_col).alias("least"))
     grouped = components(links(distinct.select("fp")))
     classes = distinct.join(grouped, distinct.fp == grouped.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return found.join(named, "fp").select(id_col, "fp", "component_id")
+    return classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id_col, fp, component_id): the smallest id of all texts reachable over links."""
+    found = cut(docs.select(id_col, fingerprint(F.col(text_col)).alias("fp")))
+    return found.join(_classes(found, id_col), "fp").select(id_col, "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with all its columns: a row of the least id of the group.
+    """One document of each group, with all its columns: a row of the group's least id, or of none if none has one.
 
-    Rows without an id stand for themselves unless a text with an id is in their group.
+    Only rows with the least id of some group are shuffled with their texts; their fingerprints tell which.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    least = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id"), F.col("fp").alias("_fp")).distinct()
-    rows = docs.join(least, docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates([id_col])
+    found = cut(docs.select(F.col(id_col).alias("_id"), fingerprint(F.col(text_col)).alias("fp")))
+    classes = cut(_classes(found, "_id").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_component")))
+    least = classes.select(F.col("_component").alias("_id")).distinct()
+    rows = docs.join(least, docs[id_col].eqNullSafe(F.col("_id")), "left_semi").withColumn("_fp", fingerprint(F.col(text_col)))
+    chosen = rows.join(classes, "_fp").where(F.col(id_col).eqNullSafe(F.col("_component"))).dropDuplicates(["_root"])
+    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
