@@ -59,3 +59,49 @@ def stem(word: Column) -> Column:
 def scaled(value: Column) -> Column:
     """A number in millionths, rounded half up, as a whole number: sums of these do not depend on order."""
     return F.floor(value * 1e6 + 0.5).cast("long")
+
+
+def is_boilerplate(text: Column) -> Column:
+    """Paragraphs that point elsewhere or speak of the article: list signs, arrows, see-also lines."""
+    # Openings of pointers.
+    return F.rlike(F.trim(text), F.lit(r"^(↑|\^|\[↑\]|→|(?i:siehe auch:|hauptartikel:))"))
+
+
+def is_fragment(text: Column) -> Column:
+    """Introductions of formulas, captions, and figure references."""
+    trimmed = F.trim(text)
+    unended = (F.length(trimmed) < 100) & ~F.rlike(trimmed, F.lit('[.!?“")]$'))
+    return F.endswith(trimmed, F.lit(":")) | unended | F.rlike(trimmed, F.lit(r"^(?i:(in|im) (figur|bild|abbildung|grafik|tabelle|diagramm))(?![\p{L}\p{N}_])"))
+
+
+def is_free(licence: Column) -> Column:
+    """Public domain, CC BY and CC BY-SA, in any version."""
+    return F.rlike(F.trim(licence), F.lit(r"^(CC0 1\.0|Public Domain Mark|CC BY(-SA)?( \d(\.\d)?)?)$"))
+
+
+def token_estimate(text: Column) -> Column:
+    """A bound of tokens: a third of the narrow signs, each sign from U+0800 on, and one."""
+    wide = F.length(F.regexp_replace(text, r"[^\x{800}-\x{10FFFF}]", ""))
+    return F.floor((F.length(text) - wide) / 3) + wide + 1
+
+
+#: Signs that a facet marker may not hold, and their codes; % comes first.
+MARKER_CODES = {"%": "%25", ";": "%3B", "=": "%3D", "|": "%7C", "<": "%3C", ">": "%3E", '"': "%22"}
+
+
+def marker_encoded(text: Column) -> Column:
+    for sign, code in MARKER_CODES.items():
+        text = F.replace(text, F.lit(sign), F.lit(code))
+    return text
+
+
+def marker_decoded(text: Column) -> Column:
+    for sign, code in reversed(MARKER_CODES.items()):
+        text = F.replace(text, F.lit(code), F.lit(sign))
+    return text
+
+
+def occurrences(text: Column, part: Column) -> Column:
+    """How often a part stands in a text without overlap."""
+    gone = F.length(text) - F.length(F.replace(text, part, F.lit("")))
+    return F.when(F.length(part) > 0, F.floor(gone / F.length(part))).otherwise(0).cast("long")

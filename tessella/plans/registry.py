@@ -38,4 +38,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 from tessella.plans import (  # noqa: E402, F401  the modules register their queries
     ranking,
     relational,
+    texts,
 )
