@@ -112,3 +112,13 @@ class SpanHash:
 def fold(column: Column) -> Column:
     """The remainder of crc32(id as text) by 5; a null id counts as an empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % 5
+
+
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Column names like the given ones that df does not have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SpanHash, cut, slices, table, utf8
+from tessella.llm.common import SpanHash, cut, fresh, slices, table, utf8
 from tessella.llm.words import Words
 
 WINDOW, SHINGLE = 10, 5
@@ -149,13 +149,12 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
         yield [(r.id, r.text) for r in part.collect()]
 
 
-def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with two more columns: _runs (array of first and past-last hit word, in turn) and _items (their item ids).
-
-    and _n_words. Hit words of several blocks are joined row by row.
+def contamination(docs: DataFrame, items: DataFrame, names: tuple[str, str, str], text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs with three more columns of the given names: the number of words, the hit runs (first and past-last
+    word, in turn) and the ids of the items that hit. Runs of several blocks are joined row by row.
     """
     sc = docs.sparkSession.sparkContext
-    out = docs.select("*", F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<long>").alias("_runs"), F.array().cast("array<string>").alias("_items"))
+    out = docs.select("*", F.lit(0).cast("long").alias(names[0]), F.array().cast("array<long>").alias(names[1]), F.array().cast("array<string>").alias(names[2]))
     column = docs.columns.index(text_col)
     blocks = 0
     for block in [*_blocks(items, item_id, item_text)] or [[]]:
@@ -205,14 +204,15 @@ def _union(flat: list[int], more: list[tuple[int, int]]) -> list[int]:
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id_col, n_words, n_hit, n_items, items (ids in order), contaminated."""
-    found = contamination(docs.select(id_col, text_col), items, text_col)
+    found = contamination(docs.select(id_col, text_col), items, ("_n_words", "_runs", "_items"), text_col)
     hit = F.aggregate(F.transform("_runs", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda s, x: s + x)
     return found.select(id_col, F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.col("_items").alias("items"), (F.size("_runs") > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that hold no window of the benchmark, with all their columns."""
-    return contamination(docs, items, text_col).where(F.size("_runs") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = fresh(docs, "_n_words", "_runs", "_items")
+    return contamination(docs, items, names, text_col).where(F.size(names[1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SpanHash, cut, table, utf8, write_and_read
+from tessella.llm.common import SpanHash, cut, fresh, table, utf8, write_and_read
 from tessella.llm.suffixes import repeated
 
 LENGTH, GRAM, HOT = 400, 64, 2_000
@@ -279,9 +279,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **h
 
 def without_repeats(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """All documents with all their columns; the text column without its repeated bytes (null stays null)."""
-    found = repeats(docs, text_col, **how).select(F.col("key").alias("_key"), F.col("kept").alias("_kept"))
-    joined = docs.withColumn("_key", _key(F.coalesce(F.col(text_col), F.lit("")))).join(found, "_key", "left")
-    return joined.withColumn(text_col, F.coalesce("_kept", text_col)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, kept = fresh(docs, "_key", "_kept")
+    found = repeats(docs, text_col, **how).select(F.col("key").alias(key), F.col("kept").alias(kept))
+    joined = docs.withColumn(key, _key(F.coalesce(F.col(text_col), F.lit("")))).join(found, key, "left")
+    return joined.withColumn(text_col, F.coalesce(kept, text_col)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table
+from tessella.llm.common import fresh, table
 
 SHARDS, SEED, BUCKET_ROWS, ROW_OVERHEAD = 40, 20_240, 20_000, 16
 
@@ -63,16 +63,17 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **law) -> None:
-    """Write whole rows by shard, in slot order, under path/shard=N."""
+    """Write whole rows by shard, in slot order, under path/shard=N; docs has no column named shard."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    placed = assign(docs, id_col, text_col, **law).select(F.col(id_col).alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "shard", F.col("slot").alias("_slot"))
-    copy = Window.partitionBy("_id", "_crc", "_size")
-    placed = placed.withColumn("_copy", F.row_number().over(copy.orderBy("_slot")))
-    rows = docs.withColumns({"_id": F.col(id_col), "_crc": F.crc32(text.cast("binary")), "_size": (F.octet_length(text) + ROW_OVERHEAD).cast("long")})
-    rows = rows.withColumn("_copy", F.row_number().over(copy.orderBy(F.lit(0))))
-    same = rows["_id"].eqNullSafe(placed["_id"]) & (rows["_crc"] == placed["_crc"]) & (rows["_size"] == placed["_size"]) & (rows["_copy"] == placed["_copy"])
-    joined = rows.join(placed, same).select(*[rows[c] for c in docs.columns], placed["shard"], placed["_slot"])
-    joined.repartitionByRange("shard", "_slot").sortWithinPartitions("shard", "_slot").drop("_slot").write.partitionBy("shard").parquet(path)
+    id_, crc, size, slot, copy = fresh(docs, "_id", "_crc", "_size", "_slot", "_copy")
+    placed = assign(docs, id_col, text_col, **law).select(F.col(id_col).alias(id_), F.col("text_crc32").alias(crc), F.col("size").alias(size), "shard", F.col("slot").alias(slot))
+    same = Window.partitionBy(id_, crc, size)
+    placed = placed.withColumn(copy, F.row_number().over(same.orderBy(slot)))
+    rows = docs.withColumns({id_: F.col(id_col), crc: F.crc32(text.cast("binary")), size: (F.octet_length(text) + ROW_OVERHEAD).cast("long")})
+    rows = rows.withColumn(copy, F.row_number().over(same.orderBy(F.lit(0))))
+    met = rows[id_].eqNullSafe(placed[id_]) & (rows[crc] == placed[crc]) & (rows[size] == placed[size]) & (rows[copy] == placed[copy])
+    joined = rows.join(placed, met).select(*[rows[c] for c in docs.columns], placed["shard"], placed[slot])
+    joined.repartitionByRange("shard", slot).sortWithinPartitions("shard", slot).drop(slot).write.partitionBy("shard").parquet(path)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

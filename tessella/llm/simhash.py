@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut, slices, table, utf8
+from tessella.llm.common import cut, fresh, slices, table, utf8
 from tessella.llm.components import components
 
 SHINGLE, DISTANCE, PIVOTS, HOT_KEY = 3, 2, 16, 256
@@ -139,11 +139,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Only rows with the least id of some group are shuffled with their texts; their fingerprints tell which.
     """
-    found = cut(docs.select(F.col(id_col).alias("_id"), fingerprint(F.col(text_col)).alias("fp")))
-    classes = cut(_classes(found, "_id").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_component")))
-    least = classes.select(F.col("_component").alias("_id")).distinct()
-    rows = docs.join(least, docs[id_col].eqNullSafe(F.col("_id")), "left_semi").withColumn("_fp", fingerprint(F.col(text_col)))
-    chosen = rows.join(classes, "_fp").where(F.col(id_col).eqNullSafe(F.col("_component"))).dropDuplicates(["_root"])
+    id_, fp, root, component = fresh(docs, "_id", "_fp", "_root", "_component")
+    found = cut(docs.select(F.col(id_col).alias(id_), fingerprint(F.col(text_col)).alias("fp")))
+    classes = cut(_classes(found, id_).select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(component)))
+    least = classes.select(F.col(component).alias(id_)).distinct()
+    rows = docs.join(least, docs[id_col].eqNullSafe(F.col(id_)), "left_semi").withColumn(fp, fingerprint(F.col(text_col)))
+    chosen = rows.join(classes, fp).where(F.col(id_col).eqNullSafe(F.col(component))).dropDuplicates([root])
     return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
