@@ -39,4 +39,5 @@ from tessella.plans import (  # noqa: E402, F401  the modules register their que
     ranking,
     relational,
     texts,
+    rules,
 )
