@@ -69,7 +69,8 @@ class _Reader(HTMLParser):
         classes = set((named.get("class") or "").split())
         plain = tag == "table" and "wikitable" not in classes
         if tag in SKIP_TAGS - {"h1"} or classes & SKIP_CLASSES or plain:
-            self._flush()
+            if tag in BLOCKS:  # what is skipped inside a line does not end it
+                self._flush()
             if tag not in VOID:
                 self.skipped.append(tag)
             return

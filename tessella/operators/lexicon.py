@@ -11,7 +11,7 @@ def classify(paths: DataFrame, rules: DataFrame, key: str, path: str = "path") -
 
     rules has (slot, slot_order, pattern); the join is a nested loop against as many rows as a lexicon has.
     """
-    headings = paths.select(key, F.posexplode(path).alias("depth", "heading")).withColumn("heading", F.substring(F.regexp_replace(F.trim("heading"), r"\s+|[ :]+$", " "), 1, 120))
+    headings = paths.select(key, F.posexplode(path).alias("depth", "heading")).withColumn("heading", F.substring(F.regexp_replace(F.regexp_replace("heading", r"\s+", " "), r"^[ :]+|[ :]+$", ""), 1, 120))
     met = headings.join(F.broadcast(rules), F.expr("rlike(heading, concat('(?iu)', pattern))"))
     best = met.groupBy(key).agg(F.min(F.struct((-F.col("depth")).alias("d"), "slot_order", "slot")).alias("b"))
     return best.select(key, F.col("b.slot").alias("slot"))
