@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Part of tessella; see README.md."""
