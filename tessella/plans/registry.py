@@ -40,4 +40,5 @@ from tessella.plans import (  # noqa: E402, F401  the modules register their que
     relational,
     texts,
     rules,
+    topics,
 )

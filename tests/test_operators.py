@@ -31,7 +31,7 @@ def test_sentences(spark, text, parts):
 
 
 def test_sentence_fingerprints_and_usable(spark):
-    assert one(spark, N.fingerprint, "Eins, zwei: DREI vier fünf sechs sieben acht") == "eins zwei drei vier fünf sechs sieben"
+    assert one(spark, N.fingerprint, "Eins, zwei: DREI vier fünf sechs sieben acht") == "eins, zwei: drei vier fünf sechs sieben"
     parts = F.array(F.lit("Zu kurz."), F.lit("Dieser Satz ist lang genug dafür."), F.lit("Dieser Satz ist lang genug aber:"))
     assert one(spark, lambda t: N.usable(parts), "x") == ["Dieser Satz ist lang genug dafür."]
 
@@ -174,3 +174,34 @@ def test_text_helpers(spark):
     assert one(spark, lambda t: X.padded_grams(t, (3, 4)), "Ab c") == [" ab", "ab ", " ab ", " c "]
     assert one(spark, X.is_fragment, "Die Formel lautet:") and not one(spark, X.is_fragment, "Kurz.")
     assert one(spark, X.token_estimate, "abcdef北") == 2 + 1 + 1
+
+
+def test_unseen_sentences_equal_a_plain_loop(spark):
+    from tessella.operators import selection
+
+    rows = [("t", "c0", 0, True, ["a", "b", "a", "c"], ["a", "b", "a", "c"]), ("t", "c1", 1, False, ["b", "d", "e", "f", "g"], ["b", "d", "e", "f", "g"]), ("t", "c2", 2, False, ["g", "d"], ["g", "d"]), ("u", "c0", 0, False, [], [])]
+    df = spark.createDataFrame(rows, "topic string, chunk_id string, order int, is_lead boolean, sentences array<string>, fingerprints array<string>")
+    got = {}
+    for r in selection.unseen_sentences(df).orderBy("topic", "chunk_id", "position").collect():
+        got.setdefault((r.topic, r.chunk_id), []).append(r.sentence)
+    assert got == {("t", "c0"): ["a", "b", "c"], ("t", "c1"): ["d", "e", "f"], ("t", "c2"): ["g"]}
+
+
+def test_turns(spark):
+    from tessella.operators import selection
+
+    rows = [("t", "x", 0, "o1", "Q1"), ("t", "x", 1, "o1", "Q2"), ("t", "x", 2, "o2", "q1"), ("t", "x", 3, "o3", "Q3"), ("t", "y", 0, "o4", "Q4"), ("t", "y", 1, "o1", "Q5")]
+    df = spark.createDataFrame(rows, "topic string, kind string, order int, origin string, question string")
+    assert [r.question for r in selection.take_turns(df, 9, ["x", "y"]).orderBy("place").collect()] == ["Q1", "Q4", "Q3"]
+    assert [r.question for r in selection.take_turns(df, 2, ["y", "x"]).orderBy("place").collect()] == ["Q4", "Q1"]
+
+
+def test_topics(spark):
+    from tessella.operators import topics
+
+    assert one(spark, topics.without_prefix, " Thema:  Optik ") == "Optik" and one(spark, topics.without_prefix, "Physik: Optik") == "Physik: Optik"
+    assert "Lineare Funktion" in one(spark, topics.variants, "Lineare Funktionen")
+    assert one(spark, lambda t: topics.stems(F.split(t, " ")), "mathematik mathematisch feld ab") == ["feld", "mathemati"] or one(spark, lambda t: topics.stems(F.split(t, " ")), "mathematik mathematisch feld ab") == ["mathemati", "feld"]
+    assert one(spark, lambda t: topics.is_iri(t), "https://d-nb.info/gnd/1") and not one(spark, lambda t: topics.is_iri(t), "https://a b")
+    assert one(spark, N.sentences, "Eine Linse (lat. lens) ist ein Körper.") == ["Eine Linse (lat. lens) ist ein Körper."]
+    assert one(spark, lambda t: N.definition(N.sentences(t)), "Kurz. Eine Linse (lat. lens) ist ein durchsichtiger Körper aus Glas.") == "Eine Linse ist ein durchsichtiger Körper aus Glas."
