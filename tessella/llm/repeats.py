@@ -140,6 +140,7 @@ def _by_suffixes(pieces: DataFrame, length: int) -> DataFrame:
 def _blocks(active: DataFrame, block: int, length: int) -> DataFrame:
     """Rows (core, whole, content, a, z, copies): the windows a to z of a segment that lie in one block.
 
+    active has a row for each segment, with its open runs of windows (a, z) and what each stands for (n).
     Blocks are laid out from the anchor, so equal windows are in blocks of one number. core hashes the bytes
     that all windows of the block share, whole those of all of its windows that are in the segment.
     """
@@ -148,9 +149,9 @@ def _blocks(active: DataFrame, block: int, length: int) -> DataFrame:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             out: list[tuple] = []
-            for anchor, content, lead, copies, raw, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for first, end in zip(runs[::2], runs[1::2], strict=True):
-                    a = first
+            for anchor, content, lead, raw, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for run_ in runs:
+                    a, end, copies = run_["a"], run_["z"], run_["n"]
                     while a < end:
                         number = (a - lead) // block
                         z = min(end, (number + 1) * block + lead)
@@ -162,13 +163,13 @@ def _blocks(active: DataFrame, block: int, length: int) -> DataFrame:
             names = ["core", "whole", "content", "a", "z", "copies"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return active.select("anchor", "content", "lead", "copies", "bytes", "runs").mapInArrow(run, "core binary, whole binary, content binary, a long, z long, copies long")
+    return active.select("anchor", "content", "lead", "bytes", "runs").mapInArrow(run, "core binary, whole binary, content binary, a long, z long, copies long")
 
 
 def _by_blocks(pieces: DataFrame, length: int) -> DataFrame:
     """Rows (content, runs) for anchors with very many segments; no task holds the segments of one anchor."""
     pieces = write_and_read(pieces)
-    active = pieces.withColumn("runs", F.array(F.lit(0).cast("long"), F.col("n").cast("long")))
+    active = pieces.withColumn("runs", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("z"), F.col("copies").alias("n"))))
     found: DataFrame | None = None
     for block in (b for b in BLOCKS if b <= length // 2):
         rows = write_and_read(_blocks(active, block, length))
@@ -178,8 +179,8 @@ def _by_blocks(pieces: DataFrame, length: int) -> DataFrame:
         if block > 1:
             # of each kind of block in a core with several kinds one goes on, with the count of all it stands for
             several = counted.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
-            open_ = counted.join(several, "core").select("one.content", F.array("one.a", "one.z").alias("runs"), F.col("n").alias("copies"))
-            active = pieces.drop("copies").join(open_, "content")
+            open_ = counted.join(several, "core").groupBy("one.content").agg(F.sort_array(F.collect_list(F.struct("one.a", "one.z", "n"))).alias("runs"))
+            active = pieces.join(open_, "content")
     return found.groupBy("content").agg(F.flatten(F.sort_array(F.collect_list(F.array("a", "z")))).alias("runs"))
 
 
@@ -221,7 +222,8 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     text = F.coalesce(F.col(text_col), F.lit(""))
     long = docs.select(_key(text).alias("key"), text.alias("text")).where(F.octet_length("text") >= length)
     all_ = _occurrences(long, length, gram)
-    often = all_.groupBy("anchor").count().where("count > 1").select("anchor")
+    # written, so that the join shuffles both sides and may split a frequent anchor's rows
+    often = write_and_read(all_.groupBy("anchor").count().where("count > 1").select("anchor"))
     kept = write_and_read(all_.join(often, "anchor"))
     distinct = kept.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n")).alias("one"))
     per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("contents"))

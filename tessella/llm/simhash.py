@@ -137,15 +137,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, with all its columns: a row of the group's least id, or of none if none has one.
 
-    Only rows with the least id of some group are shuffled with their texts; their fingerprints tell which.
+    A least id that one row has names its document by itself, so texts are shuffled once. Only rows whose least id
+    is null or repeated are told apart by their fingerprints as well.
     """
     id_, fp, root, component = fresh(docs, "_id", "_fp", "_root", "_component")
     found = cut(docs.select(F.col(id_col).alias(id_), fingerprint(F.col(text_col)).alias("fp")))
     classes = cut(_classes(found, id_).select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(component)))
+    rows = found.groupBy(id_).agg(F.count("*").alias("n"))
     least = classes.select(F.col(component).alias(id_)).distinct()
-    rows = docs.join(least, docs[id_col].eqNullSafe(F.col(id_)), "left_semi").withColumn(fp, fingerprint(F.col(text_col)))
-    chosen = rows.join(classes, fp).where(F.col(id_col).eqNullSafe(F.col(component))).dropDuplicates([root])
-    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = least.join(rows.where((F.col("n") == 1) & F.col(id_).isNotNull()), id_, "left_semi")
+    odd = cut(rows.where((F.col("n") > 1) | F.col(id_).isNull()).select(id_))
+    chosen = docs.join(plain, docs[id_col] == F.col(id_), "left_semi")
+    if not odd.isEmpty():
+        some = docs.join(odd, docs[id_col].eqNullSafe(F.col(id_)), "left_semi").withColumn(fp, fingerprint(F.col(text_col)))
+        some = some.join(classes, fp).where(F.col(id_col).eqNullSafe(F.col(component))).dropDuplicates([root])
+        chosen = chosen.unionByName(some.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return chosen
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
