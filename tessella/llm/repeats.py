@@ -5,7 +5,8 @@ the same places, so the least hash among the GRAM-byte strings of a window (the
 anchor, is the same for all of them. Consecutive windows with one anchor form a segment. Then:
 
 1. Anchors that occur once in all texts are dropped: none of their windows can repeat.
-2. Equal segments are counted; of the distinct segments of an anchor one stands for all.
+2. An anchor whose segments are all alike is settled: all of their windows repeat. Equal segments of the other
+   anchors are counted, and one of each stands for all.
 3. Segments go to partitions by anchor. A task builds suffix arrays of many anchors' segments at once
    (two-stage sorting) and reads repeated windows off adjacent common prefixes.
 4. An anchor with over HOT distinct segments (a passage that very many texts share) never meets in one task:
@@ -222,25 +223,28 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     text = F.coalesce(F.col(text_col), F.lit(""))
     long = docs.select(_key(text).alias("key"), text.alias("text")).where(F.octet_length("text") >= length)
     all_ = _occurrences(long, length, gram)
+    # hashes of contents, as the least and greatest of numbers combine in place, which those of bytes do not
+    same = [F.min(h) == F.max(h) for h in (F.xxhash64("content"), F.xxhash64(F.lit(1), "content"))]
+    anchors = all_.groupBy("anchor").agg(F.count("*").alias("m"), (same[0] & same[1]).alias("alike")).where("m > 1").select("anchor", "alike")
     # written, so that the join shuffles both sides and may split a frequent anchor's rows
-    often = write_and_read(all_.groupBy("anchor").count().where("count > 1").select("anchor"))
-    kept = write_and_read(all_.join(often, "anchor"))
-    distinct = kept.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n")).alias("one"))
+    kept = write_and_read(all_.join(write_and_read(anchors), "anchor"))
+    alike, mixed = kept.where("alike"), kept.where("not alike")
+    distinct = mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n")).alias("one"))
     per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("contents"))
     distinct = cut(distinct.join(per_anchor, "anchor"))
     texts = write_and_read(long.dropDuplicates(["key"]).join(kept.select("key").distinct(), "key", "left_semi"))
 
-    needed = distinct.where("contents > 1").groupBy("one.key").agg(F.collect_list(F.struct("anchor", "content", "copies", "contents", F.col("one.start").alias("start"), F.col("one.n").alias("n"))).alias("parts"))
+    needed = distinct.groupBy("one.key").agg(F.collect_list(F.struct("anchor", "content", "copies", "contents", F.col("one.start").alias("start"), F.col("one.n").alias("n"))).alias("parts"))
     parts = texts.join(needed, "key").select(F.col("text").cast("binary").alias("raw"), F.explode("parts").alias("p"))
     bytes_ = F.substring(F.col("raw"), (F.col("p.start") + 1).cast("int"), (F.col("p.n") + length - 1).cast("int"))
     pieces = parts.select("p.*", bytes_.alias("bytes"))
     few = _by_suffixes(pieces.where(F.col("contents") <= hot), length)
     many = _lead(pieces.where(F.col("contents") > hot), length, gram)
-    alone = distinct.where("contents = 1").select("content", F.array(F.lit(0).cast("long"), F.col("one.n").cast("long")).alias("runs"))
-    found = alone.unionByName(few).unionByName(_by_blocks(many, length)).where(F.size("runs") > 0)
+    found = few.unionByName(_by_blocks(many, length)).where(F.size("runs") > 0)
 
-    places = kept.groupBy("key", "start", "content").agg(F.first("n").alias("n")).join(found, "content")
-    spans = places.groupBy("key").agg(F.collect_list(F.struct("start", "runs")).alias("starts"))
+    whole = alike.groupBy("key", "start").agg(F.first("n").cast("long").alias("n")).select("key", "start", F.array(F.lit(0).cast("long"), "n").alias("runs"))
+    partly = mixed.select("key", "start", "content").distinct().join(found, "content").select("key", "start", "runs")
+    spans = whole.unionByName(partly).groupBy("key").agg(F.collect_list(F.struct("start", "runs")).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
