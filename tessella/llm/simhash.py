@@ -120,39 +120,45 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def _classes(found: DataFrame, id_col: str) -> DataFrame:
-    """Rows (fp, root, component_id) of all distinct fingerprints of (id_col, fp)."""
+def classes(found: DataFrame, id_col: str, linked: DataFrame | None = None) -> DataFrame:
+    """Rows (fp, root, component_id) of all distinct fingerprints of (id_col, fp), by links (a, b) or those of links()."""
     distinct = found.groupBy("fp").agg(F.min(id_col).alias("least"))
-    grouped = components(links(distinct.select("fp")))
-    classes = distinct.join(grouped, distinct.fp == grouped.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    return classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    grouped = components(links(distinct.select("fp")) if linked is None else linked)
+    rows = distinct.join(grouped, distinct.fp == grouped.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    return rows.join(rows.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id_col, fp, component_id): the smallest id of all texts reachable over links."""
     found = cut(docs.select(id_col, fingerprint(F.col(text_col)).alias("fp")))
-    return found.join(_classes(found, id_col), "fp").select(id_col, "fp", "component_id")
+    return found.join(classes(found, id_col), "fp").select(id_col, "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with all its columns: a row of the group's least id, or of none if none has one.
+    """One document of each group, with all its columns: a row of the group's least id, or of none if none has one."""
+    mark = fingerprint(F.col(text_col))
+    found = cut(docs.select(F.col(id_col).alias("id"), mark.alias("fp")))
+    return chosen(docs, found, classes(found, "id"), id_col, mark)
+
+
+def chosen(docs: DataFrame, found: DataFrame, grouped: DataFrame, id_col: str, mark: Column) -> DataFrame:
+    """The rows of docs that one_of_each() keeps, by the fingerprints (id, fp) of all rows and their classes().
 
     A least id that one row has names its document by itself, so texts are shuffled once. Only rows whose least id
-    is null or repeated are told apart by their fingerprints as well.
+    is null or repeated are told apart by their fingerprints (mark, of docs) as well.
     """
     id_, fp, root, component = fresh(docs, "_id", "_fp", "_root", "_component")
-    found = cut(docs.select(F.col(id_col).alias(id_), fingerprint(F.col(text_col)).alias("fp")))
-    classes = cut(_classes(found, id_).select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(component)))
-    rows = found.groupBy(id_).agg(F.count("*").alias("n"))
-    least = classes.select(F.col(component).alias(id_)).distinct()
+    grouped = cut(grouped.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(component)))
+    rows = found.groupBy(F.col("id").alias(id_)).agg(F.count("*").alias("n"))
+    least = grouped.select(F.col(component).alias(id_)).distinct()
     plain = least.join(rows.where((F.col("n") == 1) & F.col(id_).isNotNull()), id_, "left_semi")
     odd = cut(rows.where((F.col("n") > 1) | F.col(id_).isNull()).select(id_))
-    chosen = docs.join(plain, docs[id_col] == F.col(id_), "left_semi")
+    kept = docs.join(plain, docs[id_col] == F.col(id_), "left_semi")
     if not odd.isEmpty():
-        some = docs.join(odd, docs[id_col].eqNullSafe(F.col(id_)), "left_semi").withColumn(fp, fingerprint(F.col(text_col)))
-        some = some.join(classes, fp).where(F.col(id_col).eqNullSafe(F.col(component))).dropDuplicates([root])
-        chosen = chosen.unionByName(some.select(*[F.col(f"`{c}`") for c in docs.columns]))
-    return chosen
+        some = docs.join(odd, docs[id_col].eqNullSafe(F.col(id_)), "left_semi").withColumn(fp, mark)
+        some = some.join(grouped, fp).where(F.col(id_col).eqNullSafe(F.col(component))).dropDuplicates([root])
+        kept = kept.unionByName(some.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return kept
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
