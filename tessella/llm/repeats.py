@@ -36,6 +36,11 @@ LENGTH, GRAM, HOT = 400, 64, 2_000
 #: Bytes of segments whose suffixes are sorted together (a single anchor may exceed it: up to HOT segments).
 CHUNK_BYTES = 1 << 20
 BLOCKS = (64, 8, 1)
+#: Words of the passages that are also removed on request, whatever their bytes.
+WORDS, GRAM_WORDS = 51, 8
+_BYTES = np.arange(256)
+_IS_BLANK = (_BYTES == 32) | (_BYTES >= 9) & (_BYTES <= 13)
+_IS_LETTER = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 PLACE_BITS = 24
 
 
@@ -101,6 +106,98 @@ def _occurrences(texts: DataFrame, length: int, gram: int) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, key binary, start long, n int, content binary")
 
 
+def _word_segments(texts: DataFrame) -> DataFrame:
+    """Rows (anchor, key, first, n, c, d): segments of consecutive word windows of (key, text), with hashes c and d.
+
+    Its anchor is the least hash among the spans of GRAM_WORDS runs at a window's begin; segments are as in segments().
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, digest = SpanHash(), xxhash.xxh3_128_intdigest
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            offsets = offsets.tolist()
+            rows, columns, contents = [], [], []
+            for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                first, last = word_windows(data[a:b])
+                if not len(last):
+                    continue
+                raw = data[a:b].tobytes()
+                value = hasher.of(hasher.totals(data[a:b]), first[0, : first.shape[1] - GRAM_WORDS + 1], first[1, GRAM_WORDS - 1 :])
+                value ^= value >> np.uint64(32)
+                value *= np.uint64(0xD6E8FEB86659FD93)
+                least = _least(value, WORDS - GRAM_WORDS + 1)[: len(last)]
+                start = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+                n = np.diff(np.append(start, len(least)))
+                rows += [i] * len(start)
+                columns.append((start, n, least[start].view(np.int64)))
+                contents += [digest(raw[x:y]) for x, y in zip(first[0, start].tolist(), last[start + n - 1].tolist(), strict=True)]
+            if rows:
+                start, n, anchor = (np.concatenate([c[j] for c in columns]) for j in range(3))
+                c, d = (np.array([(x >> s) & (2**64 - 1) for x in contents], np.uint64).view(np.int64) for s in (0, 64))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(pa.array(rows)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(c), pa.array(d)], names=["anchor", "key", "first", "n", "c", "d"])
+
+    return texts.mapInArrow(run, "anchor long, key binary, first int, n int, c long, d long")
+
+
+def word_windows(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-last bytes (two rows) of the runs of letters and digits of a text, and past-last bytes of its windows.
+
+    A word is what white space parts and holds a run; a window goes from the begin of a run to the end of the first run
+    of the word WORDS - 1 words on. So signs around a passage, or a text that it follows after a full stop, do not hide it.
+    """
+    kind = np.zeros(len(data) + 2, bool)
+    kind[1:-1] = _IS_LETTER[data]
+    edge = np.flatnonzero(kind[1:] != kind[:-1])
+    runs = np.stack([edge[::2], edge[1::2]])
+    if runs.shape[1] < WORDS:
+        return runs, edge[:0]
+    blanks = np.append(0, np.cumsum(_IS_BLANK[data]))[runs[0]]
+    word = np.append(0, np.cumsum(blanks[1:] != blanks[:-1]))
+    start = word[: np.searchsorted(word, word[-1] - WORDS + 1, "right")]
+    return runs, runs[1, np.searchsorted(word, start + WORDS - 1)]
+
+
+def _word_windows(parts: DataFrame) -> DataFrame:
+    """Rows (c, d, key, at, copies) of all windows of the segments (first, n, copies) of (key, text, parts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_intdigest
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            offsets = offsets.tolist()
+            for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                first, last = (x.tolist() for x in word_windows(data[a:b]))
+                raw, at, copies, hashes = data[a:b].tobytes(), [], [], []
+                for part in batch.column(2)[i].as_py():
+                    for w in range(part["first"], part["first"] + part["n"]):
+                        at.append(w)
+                        copies.append(part["copies"])
+                        hashes.append(digest(raw[first[0][w] : last[w]]))
+                c, d = (pa.array(np.array([(x >> s) & (2**64 - 1) for x in hashes], np.uint64).view(np.int64)) for s in (0, 64))
+                yield pa.RecordBatch.from_arrays([c, d, batch.column(0).take(pa.array([i] * len(at))), pa.array(at, pa.int32()), pa.array(copies, pa.int64())], names=["c", "d", "key", "at", "copies"])
+
+    return parts.select("key", "text", "parts").mapInArrow(run, "c long, d long, key binary, at int, copies long")
+
+
+def passages(texts: DataFrame) -> DataFrame:
+    """Rows (key, at, n): runs of n word windows from at on that repeat, of (key, text) with all copies; see _word_segments().
+
+    Segments are as for bytes. A window of an anchor whose segments are not all alike is counted by its hash, over
+    as many rows as there are windows.
+    """
+    all_ = _word_segments(texts)
+    same = [F.min(h) == F.max(h) for h in ("c", "d")]
+    anchors = all_.groupBy("anchor").agg(F.count("*").alias("m"), (same[0] & same[1]).alias("alike")).where("m > 1").select("anchor", "alike")
+    kept = write_and_read(all_.join(write_and_read(anchors), "anchor").select("key", "first", "n", "alike"))
+    alike = kept.where("alike").select("key", F.col("first").alias("at"), "n").distinct()
+    mixed = kept.where("not alike").groupBy("key", "first", "n").agg(F.count("*").alias("copies"))
+    parts = mixed.groupBy("key").agg(F.collect_list(F.struct("first", "n", "copies")).alias("parts"))
+    open_ = write_and_read(_word_windows(texts.dropDuplicates(["key"]).join(parts, "key")))
+    often = open_.groupBy("c", "d").agg(F.sum("copies").alias("m")).where("m > 1").select("c", "d")
+    return alike.unionByName(open_.join(often, ["c", "d"]).select("key", "at", F.lit(1).alias("n")))
+
+
 def _runs(flags: np.ndarray) -> list[int]:
     """First and past-last places of the runs of true values, in turn."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
@@ -191,9 +288,19 @@ def _key(text: Column) -> Column:
 
 def _spans(starts: list[dict], size: int, length: int) -> list[tuple[int, int]]:
     """The maximal covered runs of bytes of a text, from the repeated windows of its segments."""
-    spans = sorted((s["start"] + a, s["start"] + z - 1 + length) for s in starts for a, z in zip(s["runs"][::2], s["runs"][1::2], strict=True))
+    return _joined([(s["start"] + a, s["start"] + z - 1 + length) for s in starts for a, z in zip(s["runs"][::2], s["runs"][1::2], strict=True)])
+
+
+def _word_spans(data: np.ndarray, runs: list[dict]) -> list[tuple[int, int]]:
+    """The bytes of runs of word windows."""
+    first, last = word_windows(data)
+    return [(int(first[0, r["at"]]), int(last[r["at"] + r["n"] - 1])) for r in runs]
+
+
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of bytes in order, those that touch as one."""
     out: list[tuple[int, int]] = []
-    for a, b in spans:
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1] = out[-1][0], max(b, out[-1][1])
         else:
@@ -215,12 +322,14 @@ def _without(raw: bytes, spans: list[tuple[int, int]], whole_signs: bool) -> byt
     return b"".join([*out, raw[at:]])
 
 
-def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, words: bool = False) -> DataFrame:
     """Rows (key, n_removed, n_spans, kept_sha256, kept) of the distinct texts that lose bytes.
 
     key is the first half of the text's SHA-256; kept is the remaining text, without halves of signs.
+    With words, passages of WORDS words and more that repeat are removed as well, if shorter than length too.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    every = docs.select(_key(text).alias("key"), text.alias("text"))
     long = docs.select(_key(text).alias("key"), text.alias("text")).where(F.octet_length("text") >= length)
     all_ = _occurrences(long, length, gram)
     # hashes of contents, as the least and greatest of numbers combine in place, which those of bytes do not
@@ -232,7 +341,11 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     distinct = mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n")).alias("one"))
     per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("contents"))
     distinct = cut(distinct.join(per_anchor, "anchor"))
-    texts = write_and_read(long.dropDuplicates(["key"]).join(kept.select("key").distinct(), "key", "left_semi"))
+    keys, source = kept.select("key"), long
+    if words:
+        in_words = write_and_read(passages(every).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("passages")))
+        keys, source = keys.unionByName(in_words.select("key")), every
+    texts = write_and_read(source.join(keys.distinct(), "key", "left_semi").dropDuplicates(["key"]))
 
     needed = distinct.groupBy("one.key").agg(F.collect_list(F.struct("anchor", "content", "copies", "contents", F.col("one.start").alias("start"), F.col("one.n").alias("n"))).alias("parts"))
     parts = texts.join(needed, "key").select(F.col("text").cast("binary").alias("raw"), F.explode("parts").alias("p"))
@@ -245,22 +358,28 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     whole = alike.groupBy("key", "start").agg(F.first("n").cast("long").alias("n")).select("key", "start", F.array(F.lit(0).cast("long"), "n").alias("runs"))
     partly = mixed.select("key", "start", "content").distinct().join(found, "content").select("key", "start", "runs")
     spans = whole.unionByName(partly).groupBy("key").agg(F.collect_list(F.struct("start", "runs")).alias("starts"))
+    if words:
+        spans = spans.join(in_words, "key", "full_outer")
+    else:
+        spans = spans.withColumn("passages", F.lit(None).cast("array<struct<at: int, n: int>>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, starts = batch.column(0), batch.column(2)
+            keys, starts, in_words_ = batch.column(0), batch.column(2), batch.column(3)
             out: list[tuple] = []
             data, offsets = utf8(batch.column(1))
             offsets = offsets.tolist()
             for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
                 raw = data[a:b].tobytes()
-                cuts = _spans(starts[i].as_py(), len(raw), length)
+                cuts = _spans(starts[i].as_py() or [], len(raw), length)
+                if in_words_[i].is_valid:
+                    cuts = _joined(cuts + _word_spans(data[a:b], in_words_[i].as_py()))
                 kept_bytes = _without(raw, cuts, False)
                 out.append((len(raw) - len(kept_bytes), len(cuts), hashlib.sha256(kept_bytes).hexdigest(), _without(raw, cuts, True).decode()))
             kinds = pa.int64(), pa.int64(), pa.string(), pa.string()
             yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return texts.join(spans, "key").select("key", "text", "starts").mapInArrow(run, "key binary, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return texts.join(spans, "key").select("key", "text", "starts", "passages").mapInArrow(run, "key binary, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def _lead(pieces: DataFrame, length: int, gram: int) -> DataFrame:
