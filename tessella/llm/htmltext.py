@@ -35,6 +35,13 @@ STOP_WORDS = frozenset(
     """.split()
 )
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "object", "select", "button"}
+#: These end with the page if they have no end tag; the others of RAW are then no more than a tag.
+RAW_TEXT = {"script", "style", "title", "textarea", "noscript", "iframe"}
+END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+#: Elements that may be hidden and have no mark otherwise, each with what an end tag of its name does not reach beyond.
+HIDEABLE = {"p": frozenset(), "blockquote": frozenset(), "li": frozenset({"ul", "ol"}), "td": frozenset({"table"})}
+#: Start tags that end an open element of these names.
+SIBLINGS = {"li": ("li",), "td": ("td",), "th": ("td",), "tr": ("td",), "tbody": ("td",), "tfoot": ("td",)}
 ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog"}
 MAIN = {"article", "main"}
 CONTAINER = ASIDE | MAIN | {"header", "div", "section", "ul", "ol", "dl", "table", "body", "head", "fieldset", "figure", "details"}
@@ -62,8 +69,6 @@ def blocks(html: str) -> tuple[list[Block], bool]:
     stack: list[tuple[str, bool]] = []  # open containers, each with whether it is set aside
     parts: list[str] = []
     linked, in_link, heading, has_main = 0, False, False, False
-    raw: str | None = None
-
     def close() -> None:
         nonlocal linked, in_link
         text = " ".join(references.unescape("".join(parts)).split())
@@ -72,10 +77,18 @@ def blocks(html: str) -> tuple[list[Block], bool]:
             out.append(Block(text, linked, any(a for _, a in stack), any(t in MAIN for t, _ in stack), heading))
         linked, in_link = 0, False
 
+    def leave(name: str, within: frozenset = frozenset()) -> None:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] == name:
+                del stack[i:]
+                break
+            if stack[i][0] in within:
+                break
+
     at = 0
-    for token in TOKEN.finditer(html):
+    while token := TOKEN.search(html, at):
         start, end = token.span()
-        if raw is None and start > at:
+        if start > at:
             piece = html[at:start]
             parts.append(piece)
             if in_link:
@@ -85,13 +98,11 @@ def blocks(html: str) -> tuple[list[Block], bool]:
         if name is None:
             continue
         name, closing = name.lower(), bool(token[1])
-        if raw is not None:
-            if closing and name == raw:
-                raw = None
-            continue
         if name in RAW:
             if not closing and not token[3].endswith("/"):
-                raw = name
+                # what looks like tags or comments in there is none: only its own end tag counts
+                last = END[name].search(html, end)
+                at = last.end() if last else len(html) if name in RAW_TEXT else end
             parts.append(" ")
             continue
         if name == "a":
@@ -100,13 +111,14 @@ def blocks(html: str) -> tuple[list[Block], bool]:
             parts.append(" ")
         elif name in BLOCK:
             close()
+            if stack and stack[-1][0] == "p":
+                stack.pop()  # any block ends a hidden p
+            for sibling in () if closing else SIBLINGS.get(name, ()):
+                leave(sibling, HIDEABLE[sibling])
             heading = not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit()
             if name in CONTAINER:
                 if closing:
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == name:
-                            del stack[i:]
-                            break
+                    leave(name)
                 else:
                     marks = " ".join(x or y or z for x, y, z in NAMES.findall(token[3]))
                     inside = any(t in MAIN for t, _ in stack)
@@ -117,10 +129,14 @@ def blocks(html: str) -> tuple[list[Block], bool]:
                     if name in MAIN and not aside:
                         has_main = True
                     stack.append((name, aside))
-            elif name in ("p", "li", "td", "blockquote") and not closing and HIDDEN.search(token[3]):
-                raw = name  # hidden text is skipped up to its end tag
+            elif name in HIDEABLE:
+                hidden = bool(HIDDEN.search(token[3]))
+                if closing:
+                    leave(name, HIDEABLE[name])
+                elif hidden or name == "blockquote" and any(t == name for t, _ in stack):
+                    stack.append((name, hidden))  # hidden text is set aside up to its end
         # other tags are inline and part no words
-    if raw is None and at < len(html):
+    if at < len(html):
         parts.append(html[at:])
     close()
     return out, has_main

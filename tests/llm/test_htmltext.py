@@ -30,3 +30,21 @@ def test_table_with_odd_pages(spark):
     assert len(found) == 6 and all(r.n_chars == len(r.text) for r in found)
     assert sorted(r.n_chars for r in found) == [0, 0, 3, 4, 4, 20_000 * 6 - 2]
     assert extract(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<article><script>for(var i=0;i<n;i++){f(i)}</script><p>one</p><script>x</script><p>two</p></article>", "one\n\ntwo"),
+        ("<script>for(i=0;i<n;i++){}</SCRIPT ><article><p>one</p></article>", "one"),
+        ("<article><script><!-- x = '<p>'</script><p>one</p></article>", "one"),
+        ("<article><style>a<b{}</style><svg><title>no</title></svg><p>one</p><script>no end <p>no", "one"),
+        ("<article><p>one<p hidden>no<p>two<p hidden>no<h2>three</h2><p>four</article>", "one\n\ntwo\n\nthree\n\nfour"),
+        ("<article><ul><li>one<li hidden>no<p>no</p><ul><li>no</li></ul>no<li>two</ul><p>three</article>", "one\n\ntwo\n\nthree"),
+        ("<article><div><p hidden>no</div><p>one</p><ul><li hidden>no</ul><p>two</article>", "one\n\ntwo"),
+        ("<article><blockquote hidden>no<blockquote>no</blockquote>no</blockquote><p>one</article>", "one"),
+        ("<article><table><tr><td hidden>no<td>one</tr></table></article>", "one"),
+    ],
+)
+def test_scripts_and_hidden_elements_end(html, text):
+    assert main_text(html) == text
