@@ -2,8 +2,8 @@
 
 A page is cut into blocks at block-level tags. Pass one labels each block: what stands in menus, headers,
 footers, sidebars, notices, adverts, forms or reader comments, and what is mostly links, is boilerplate; what
-stands in the page's article, and long blocks rich in stop words, are text; other long blocks are boilerplate,
-short ones stay ambiguous. Pass two gives each ambiguous block the label of its nearest decided neighbour
+stands in the page's article, and long blocks rich in stop words, are text (all long blocks, if the page as a whole
+has few words of the listed languages); other long blocks are boilerplate, short ones stay ambiguous. Pass two gives each ambiguous block the label of its nearest decided neighbour
 outside such places; if two at equal distance differ, a heading, a sentence end or stop words make it text; a
 page of short blocks only is all text.
 
@@ -126,7 +126,7 @@ def blocks(html: str) -> tuple[list[Block], bool]:
                     if name == "body":
                         stack.clear()
                         aside = False
-                    if name in MAIN and not aside:
+                    if name in MAIN and not aside and not any(a for _, a in stack):
                         has_main = True
                     stack.append((name, aside))
             elif name in HIDEABLE:
@@ -149,6 +149,9 @@ def _stop_share(text: str) -> float:
 
 def labels(found: list[Block], has_main: bool) -> list[int]:
     """Both passes."""
+    body = " ".join(b.text for b in found if not b.aside and b.linked <= FEW_LINKS * len(b.text))
+    # without stop words of a listed language, length and links decide
+    known = _stop_share(body) >= STOPS / 2
     first = []
     for b in found:
         if b.aside or has_main and not b.main:
@@ -158,7 +161,7 @@ def labels(found: list[Block], has_main: bool) -> list[int]:
         elif b.main:
             first.append(TEXT)
         elif len(b.text) >= LONG:
-            first.append(TEXT if _stop_share(b.text) >= STOPS / 2 else BOILERPLATE)
+            first.append(TEXT if not known or _stop_share(b.text) >= STOPS / 2 else BOILERPLATE)
         else:
             first.append(SHORT)
     out = list(first)

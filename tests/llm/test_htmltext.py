@@ -48,3 +48,22 @@ def test_table_with_odd_pages(spark):
 )
 def test_scripts_and_hidden_elements_end(html, text):
     assert main_text(html) == text
+
+
+FINNISH = "Talon takana seisoi vanha kuusi, jonka oksilla linnut lauloivat aamusta iltaan koko pitkän kesän ajan."
+NAMES = "Virtanen Matti, Korhonen Liisa, Nieminen Pekka, Laine Anna, Heikkinen Juhani, Koskinen Maria, Salo Eero"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div><p>" + LONG + "</p></div><section class=comments><article><p>" + LONG + " no</p></article></section>", LONG),
+        ("<div><p>" + LONG + "</p></div><aside><main><p>no</p></main></aside>", LONG),
+        ("<div><p>" + FINNISH + "</p><p>" + FINNISH + "</p></div>", FINNISH + "\n\n" + FINNISH),
+        ("<div class=menu><p>no</p></div><table><tr><td>" + NAMES + "</td></tr></table>", NAMES),
+        ("<div><p>" + FINNISH + "</p><p><a href=x>" + FINNISH + "</a></p></div>", FINNISH),
+        ("<div><p>" + LONG + "</p><p>" + LONG + "</p><p>" + NAMES + "</p></div>", LONG + "\n\n" + LONG),
+    ],
+)
+def test_main_text_without_an_article(html, text):
+    assert main_text(html) == text
