@@ -31,28 +31,31 @@ def unseen_sentences(chunks: DataFrame, limit: int = 3, lead_limit: int = 5) ->
     return chunks.groupBy("topic").applyInPandas(select, "topic string, chunk_id string, position long, sentence string")
 
 
-def take_turns(candidates: DataFrame, count: int, kinds: list[str]) -> DataFrame:
+def take_turns(candidates: DataFrame, count: int, kinds: list[str], fillers: tuple[str, ...] = (), again: bool = False) -> DataFrame:
     """(topic, place, origin, question): kinds take turns, each origin and each question once, until count are chosen.
 
-    candidates has (topic, kind, order, origin, question); what one kind takes is gone for the others, so a topic's
-    candidates, tens of rows, are worked off in one loop.
+    If these run out the filler kinds take turns in the same way and then, with again, the kinds once more, now with
+    second questions of used origins. candidates has (topic, kind, order, origin, question); what one kind takes is
+    gone for the others, so a topic's candidates, tens of rows, are worked off in one loop.
     """
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        pools = {k: rows[rows["kind"] == k].sort_values("order", kind="stable").itertuples() for k in kinds}
-        used, asked, out, live = set(), set(), [], set(kinds)
-        while live and len(out) < count:
-            for kind in kinds:
-                if kind not in live or len(out) >= count:
-                    continue
-                for c in pools[kind]:
-                    if c.origin not in used and c.question.casefold() not in asked:
-                        used.add(c.origin)
-                        asked.add(c.question.casefold())
-                        out.append((c.topic, len(out), c.origin, c.question))
-                        break
-                else:
-                    live.discard(kind)
+        used, asked, out = set(), set(), []
+        for turns, repeat in ((kinds, False), (fillers, False), (kinds if again else (), True)):
+            pools = {k: rows[rows["kind"] == k].sort_values("order", kind="stable").itertuples() for k in turns}
+            live = set(turns)
+            while live and len(out) < count:
+                for kind in turns:
+                    if kind not in live or len(out) >= count:
+                        continue
+                    for c in pools[kind]:
+                        if (repeat or c.origin not in used) and c.question.casefold() not in asked:
+                            used.add(c.origin)
+                            asked.add(c.question.casefold())
+                            out.append((c.topic, len(out), c.origin, c.question))
+                            break
+                    else:
+                        live.discard(kind)
         return pd.DataFrame(out, columns=["topic", "place", "origin", "question"])
 
     return candidates.groupBy("topic").applyInPandas(choose, "topic string, place long, origin string, question string")

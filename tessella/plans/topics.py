@@ -140,8 +140,8 @@ def g3_unseen_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions from conversations, roles taking turns; checked against a plain loop in the tests."""
     rows = table(spark, sf_dir, "conversations")
-    candidates = rows.select(F.col("conv_id").cast("string").alias("topic"), F.col("role").alias("kind"), F.col("turn").alias("order"), F.floor(F.col("turn") / 2).cast("string").alias("origin"), F.substring("text", 1, 60).alias("question"))
-    return S.take_turns(candidates, 4, ["user", "assistant", "system"])
+    candidates = rows.select(F.col("conv_id").cast("string").alias("topic"), F.col("role").alias("kind"), F.col("turn").alias("order"), F.floor(F.col("turn") / 2).cast("string").alias("origin"), F.coalesce("text", F.lit("")).alias("question"))
+    return S.take_turns(candidates, 4, ["user", "assistant", "system"], again=True)
 
 
 @query("h29_pairs", "SELECT conv_id, turn, trim(text) AS question, role AS answer FROM conversations WHERE position(';' IN text) = 0 AND position(chr(10) IN text) = 0 AND trim(text) <> '' AND NOT regexp_matches(trim(text), '^([0-9]+[.)]|[-*•])')")
