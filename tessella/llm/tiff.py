@@ -5,7 +5,9 @@ that are raw, PackBits, LZW or deflate, undoes horizontal differencing, joins pl
 samples of 8 or 16 bits. The writer stores samples in any of these forms without loss.
 
 Null media give no page. Media that are no TIFF, or a page that cannot be decoded, give one row with `error`
-set and null samples, so no input is lost. Equal media give equal rows. Only the media column is read.
+set and null samples, so no input is lost. A page without width or height, or one that claims more samples than
+its data can hold (MOST for each stored byte), is such a page; no strip is decoded beyond its own samples.
+Equal media give equal rows. Only the media column is read.
 
 For op10 a text is the payload of one RGB page 64 pixels wide (192 bytes a row, padded with blanks); the CRC
 of the payload picks the form: mostly deflate in strips or tiles, some PackBits, some LZW.
@@ -35,6 +37,8 @@ RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 ROW, PAD = 192, b" "
 STRIP, TILE = 256, (32, 128)
+#: Bytes that a stored byte can stand for at most: an LZW code of 9 to 12 bits is a word of under 4,096 bytes.
+MOST = 4096
 
 
 def packbits(data: bytes) -> bytes:
@@ -55,16 +59,19 @@ def packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpackbits(data: bytes) -> bytes:
-    out, i, n = [], 0, len(data)
-    while i < n:
+def unpackbits(data: bytes, most: int = 1 << 62) -> bytes:
+    """The bytes of a strip, or their begin if there are most of them before its end."""
+    out, i, n, done = [], 0, len(data), 0
+    while i < n and done < most:
         head = data[i]
         if head < 128:
             out.append(data[i + 1 : i + 2 + head])
             i += 2 + head
+            done += head + 1
         elif head > 128:
             out.append(data[i + 1 : i + 2] * (257 - head))
             i += 2
+            done += 257 - head
         else:
             i += 1
     return b"".join(out)
@@ -119,10 +126,11 @@ def lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unlzw(data: bytes) -> bytes:
+def unlzw(data: bytes, most: int = 1 << 62) -> bytes:
+    """The bytes of a strip, or their begin if there are most of them before its end."""
     words: list[bytes] = []
     out: list[bytes] = []
-    bits, held, width, last = 0, 0, 9, b""
+    bits, held, width, last, done = 0, 0, 9, b"", 0
     for byte in data:
         bits = bits << 8 | byte
         held += 8
@@ -146,12 +154,19 @@ def unlzw(data: bytes) -> bytes:
             words.append(last + word[:1])
         out.append(word)
         last = word
+        done += len(word)
+        if done >= most:
+            break
         if len(words) + 1 >= 1 << width and width < 12:
             width += 1
     return b"".join(out)
 
 
-DECODERS = {RAW: bytes, LZW: unlzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpackbits}
+def inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, max(1, most))
+
+
+DECODERS = {RAW: lambda data, most: data[:most], LZW: unlzw, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpackbits}
 ENCODERS = {RAW: bytes, LZW: lzw, DEFLATE: lambda data: zlib.compress(data, 1), PACKBITS: packbits}
 
 
@@ -217,18 +232,22 @@ def _page(data: bytes, order: str, fields: dict[int, tuple]) -> np.ndarray:
     if set(bits) not in ({8}, {16}) or compression not in DECODERS or predictor not in (1, 2):
         raise ValueError(f"not supported: bits {bits}, compression {compression}, predictor {predictor}")
     dtype = np.dtype(f"{order}u{bits[0] // 8}")
+    if not width or not height or not samples:
+        raise ValueError(f"a page of {width} by {height} by {samples} samples")
     planes = samples if fields.get(PLANAR, (1,))[0] == 2 else 1
     deep = samples // planes
     tiled = TILE_AT in fields
     tw, th = (fields[TILE_WIDTH][0], fields[TILE_HEIGHT][0]) if tiled else (width, min(fields.get(STRIP_ROWS, (height,))[0], height) or 1)
     places, sizes = (fields[TILE_AT], fields[TILE_SIZE]) if tiled else (fields[STRIP_AT], fields[STRIP_SIZE])
+    if not tw or not th or width * height * samples * dtype.itemsize > MOST * sum(sizes):
+        raise ValueError(f"{width} by {height} samples in {sum(sizes)} bytes of {tw} by {th}")
     across, down = -(-width // tw), -(-height // th)
     out = np.zeros((height, width, samples), dtype)
     for k, (at, size) in enumerate(zip(places, sizes, strict=True)):
         plane, rest = divmod(k, across * down)
         y, x = rest // across * th, rest % across * tw
         rows = th if tiled else min(th, height - y)
-        raw = DECODERS[compression](data[at : at + size])
+        raw = DECODERS[compression](data[at : at + size], rows * tw * deep * dtype.itemsize)
         block = np.frombuffer(raw, dtype, rows * tw * deep).reshape(rows, tw, deep)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=dtype.newbyteorder("="))

@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import struct
 import zlib
 
 import numpy as np
@@ -57,3 +58,50 @@ def test_all_forms_are_used_and_equal_texts_are_equal():
     forms = {tiff.read_tiff(tiff.stored(b"text %d" % i))[0][1] for i in range(200)}
     assert forms == {tiff.DEFLATE, tiff.LZW, tiff.PACKBITS}
     assert tiff.stored(b"same") == tiff.stored(b"same") and zlib.crc32(tiff.stored(b"a")) != zlib.crc32(tiff.stored(b"b"))
+
+
+def field(data, tag, value):
+    """data with another value in the field of that tag of its only directory."""
+    out = bytearray(data)
+    (at,) = struct.unpack_from("<I", data, 4)
+    for i in range(struct.unpack_from("<H", data, at)[0]):
+        here = at + 2 + 12 * i
+        if struct.unpack_from("<H", data, here)[0] == tag:
+            struct.pack_into("<I", out, here + 8, value)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("tag", [tiff.WIDTH, tiff.HEIGHT, tiff.STRIP_ROWS, tiff.SAMPLES])
+@pytest.mark.parametrize("value", [0, 0x7FFFFFFF])
+def test_forged_sizes_give_an_error_row_or_the_page(tag, value):
+    for compression in tiff.ENCODERS:
+        page = np.arange(6, dtype=np.uint8).reshape(2, 3, 1)
+        ((found, _, error),) = tiff.read_tiff(field(tiff.write_tiff([page], compression), tag, value))
+        assert (found is None) == (error is not None)
+        if tag != tiff.STRIP_ROWS:
+            assert error
+
+
+def test_zip_bombs_are_not_unpacked():
+    bomb = zlib.compress(bytes(200 << 20), 9)
+    assert len(tiff.inflate(bomb, 192)) == 192
+    assert len(tiff.unlzw(tiff.lzw(b"a" * 1_000_000), 5000)) < 10_000
+    assert len(tiff.unpackbits(tiff.packbits(b"a" * 1_000_000), 5000)) < 6_000
+
+
+def test_streams_written_by_hand():
+    # 9-bit codes clear, 7, 258 (7 7), 8, end: bits 100000000 000000111 100000010 000001000 100000001
+    bits = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 257))
+    raw = int(bits.ljust(48, "0"), 2).to_bytes(6, "big")
+    assert tiff.unlzw(raw) == bytes([7, 7, 7, 8])
+    # the example of the format's own description
+    plain = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    assert tiff.unpackbits(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == plain
+
+
+def test_a_file_made_by_hand():
+    # big-endian, 2 x 1 pixels, one sample of 8 bits, raw, one strip after the directory
+    fields = [(256, 4, 2), (257, 4, 1), (258, 3, 8 << 16), (259, 3, 1 << 16), (262, 3, 1 << 16), (273, 4, 8 + 2 + 12 * 8 + 4), (278, 4, 1), (279, 4, 2)]
+    data = b"MM\0*" + struct.pack(">I", 8) + struct.pack(">H", 8) + b"".join(struct.pack(">HHII", t, k, 1, v) for t, k, v in fields) + bytes(4) + b"\x05\x09"
+    ((page, compression, error),) = tiff.read_tiff(data)
+    assert error is None and compression == 1 and page.tolist() == [[[5], [9]]]
