@@ -1,11 +1,13 @@
 """Operator 9: the main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags. Pass one labels each block: what stands in menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments, and what is mostly links, is boilerplate; what
-stands in the page's article, and long blocks rich in stop words, are text (all long blocks, if the page as a whole
-has few words of the listed languages); other long blocks are boilerplate, short ones stay ambiguous. Pass two gives each ambiguous block the label of its nearest decided neighbour
-outside such places; if two at equal distance differ, a heading, a sentence end or stop words make it text; a
-page of short blocks only is all text.
+A page is cut into blocks at block-level tags. What stands in menus, headers, footers, sidebars, notices, adverts,
+forms or reader comments is set aside, as is all outside of the page's article, if it marks one; none of it is text
+or has a say. Pass one labels the other blocks: mostly links are boilerplate (long ones of an article are text), long
+blocks rich in stop words are text (all long blocks, if the page as a whole has few words of the listed languages);
+other long blocks are boilerplate, or ambiguous in an article; short blocks stay ambiguous. Pass two gives each
+ambiguous block the label of its nearest decided neighbour. If that is no text in an article, or two at equal
+distance differ outside of one, a heading, a sentence end or stop words make it text; two that differ in an article
+make it text, as does the want of any decided neighbour. Both passes, and the cutting, take time in proportion to the page.
 
 Character references are decoded, white space in a block becomes one blank, blocks are joined by an empty
 line in page order. Null and empty pages, and pages without text, give an empty text; markup that is cut off
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,7 +54,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z]
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 LONG, FEW_LINKS, STOPS = 70, 0.5, 0.2
-TEXT, BOILERPLATE, SHORT = 1, 0, -1
+TEXT, BOILERPLATE, SHORT, ASIDE_LABEL = 1, 0, -1, -2
+FAR = 1 << 62
 
 
 @dataclass
@@ -67,23 +71,37 @@ def blocks(html: str) -> tuple[list[Block], bool]:
     """The blocks of a page in order, and whether the page marks an article."""
     out: list[Block] = []
     stack: list[tuple[str, bool]] = []  # open containers, each with whether it is set aside
+    places: dict[str, list[int]] = defaultdict(list)  # of each name in the stack
+    asides: list[int] = []  # places in the stack that are set aside
     parts: list[str] = []
     linked, in_link, heading, has_main = 0, False, False, False
+    endless: set[str] = set()  # raw elements that have no end tag from here on
+
     def close() -> None:
         nonlocal linked, in_link
         text = " ".join(references.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append(Block(text, linked, any(a for _, a in stack), any(t in MAIN for t, _ in stack), heading))
+            out.append(Block(text, linked, bool(asides), any(places[t] for t in MAIN), heading))
         linked, in_link = 0, False
 
+    def push(name: str, aside: bool) -> None:
+        places[name].append(len(stack))
+        if aside:
+            asides.append(len(stack))
+        stack.append((name, aside))
+
+    def shorten(size: int) -> None:
+        while len(stack) > size:
+            name, aside = stack.pop()
+            places[name].pop()
+            if aside:
+                asides.pop()
+
     def leave(name: str, within: frozenset = frozenset()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == name:
-                del stack[i:]
-                break
-            if stack[i][0] in within:
-                break
+        here = places[name][-1] if places[name] else -1
+        if here > max((places[w][-1] for w in within if places[w]), default=-1):
+            shorten(here)
 
     at = 0
     while token := TOKEN.search(html, at):
@@ -101,7 +119,9 @@ def blocks(html: str) -> tuple[list[Block], bool]:
         if name in RAW:
             if not closing and not token[3].endswith("/"):
                 # what looks like tags or comments in there is none: only its own end tag counts
-                last = END[name].search(html, end)
+                last = None if name in endless else END[name].search(html, end)
+                if not last:
+                    endless.add(name)
                 at = last.end() if last else len(html) if name in RAW_TEXT else end
             parts.append(" ")
             continue
@@ -112,7 +132,7 @@ def blocks(html: str) -> tuple[list[Block], bool]:
         elif name in BLOCK:
             close()
             if stack and stack[-1][0] == "p":
-                stack.pop()  # any block ends a hidden p
+                shorten(len(stack) - 1)  # any block ends a hidden p
             for sibling in () if closing else SIBLINGS.get(name, ()):
                 leave(sibling, HIDEABLE[sibling])
             heading = not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit()
@@ -121,20 +141,20 @@ def blocks(html: str) -> tuple[list[Block], bool]:
                     leave(name)
                 else:
                     marks = " ".join(x or y or z for x, y, z in NAMES.findall(token[3]))
-                    inside = any(t in MAIN for t, _ in stack)
+                    inside = any(places[t] for t in MAIN)
                     aside = name in ASIDE or name == "header" and not inside or name == "head" or bool(MARKED.search(marks)) or bool(HIDDEN.search(token[3]))
                     if name == "body":
-                        stack.clear()
+                        shorten(0)
                         aside = False
-                    if name in MAIN and not aside and not any(a for _, a in stack):
+                    if name in MAIN and not aside and not asides:
                         has_main = True
-                    stack.append((name, aside))
+                    push(name, aside)
             elif name in HIDEABLE:
                 hidden = bool(HIDDEN.search(token[3]))
                 if closing:
                     leave(name, HIDEABLE[name])
-                elif hidden or name == "blockquote" and any(t == name for t, _ in stack):
-                    stack.append((name, hidden))  # hidden text is set aside up to its end
+                elif hidden or name == "blockquote" and places[name]:
+                    push(name, hidden)  # hidden text is set aside up to its end
         # other tags are inline and part no words
     if at < len(html):
         parts.append(html[at:])
@@ -147,37 +167,49 @@ def _stop_share(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def labels(found: list[Block], has_main: bool) -> list[int]:
-    """Both passes."""
+def first_labels(found: list[Block], has_main: bool) -> list[int]:
+    """Pass one; SHORT are the ambiguous blocks."""
     body = " ".join(b.text for b in found if not b.aside and b.linked <= FEW_LINKS * len(b.text))
     # without stop words of a listed language, length and links decide
     known = _stop_share(body) >= STOPS / 2
-    first = []
+    out = []
     for b in found:
         if b.aside or has_main and not b.main:
-            first.append(BOILERPLATE)
+            out.append(ASIDE_LABEL)
         elif b.linked > FEW_LINKS * len(b.text) and not (b.main and b.heading):
-            first.append(BOILERPLATE if not b.main or len(b.text) < LONG else TEXT)
-        elif b.main:
-            first.append(TEXT)
-        elif len(b.text) >= LONG:
-            first.append(TEXT if not known or _stop_share(b.text) >= STOPS / 2 else BOILERPLATE)
-        else:
-            first.append(SHORT)
-    out = list(first)
-    for i, label in enumerate(first):
-        if label != SHORT:
-            continue
-        for d in range(1, len(first)):
-            near = {first[j] for j in (i - d, i + d) if 0 <= j < len(first) and not found[j].aside} - {SHORT}
-            if near:
-                out[i] = near.pop() if len(near) == 1 else SHORT
-                break
+            out.append(BOILERPLATE if not b.main or len(b.text) < LONG else TEXT)
+        elif len(b.text) < LONG:
+            out.append(SHORT)
+        elif not known or _stop_share(b.text) >= STOPS / 2:
+            out.append(TEXT)
         else:
-            out[i] = TEXT
-        if out[i] == SHORT:
-            b = found[i]
-            out[i] = TEXT if b.heading or b.text[-1] in ".!?" or _stop_share(b.text) >= STOPS else BOILERPLATE
+            out.append(SHORT if b.main else BOILERPLATE)
+    return out
+
+
+def _nearest(labels: list[int]) -> list[tuple[int, int]]:
+    """For each place the distance to the last decided label before it, and that label; none is far away."""
+    out, at, label = [], -1, TEXT
+    for i, x in enumerate(labels):
+        out.append((i - at if at >= 0 else FAR, label))
+        if x in (TEXT, BOILERPLATE):
+            at, label = i, x
+    return out
+
+
+def labels(found: list[Block], has_main: bool) -> list[int]:
+    """Both passes."""
+    first = first_labels(found, has_main)
+    out = []
+    for b, label, before, after in zip(found, first, _nearest(first), reversed(_nearest(first[::-1])), strict=True):
+        if label == SHORT:
+            near = {x for d, x in (before, after) if d == min(before[0], after[0])}
+            label = near.pop() if len(near) == 1 else SHORT
+            if label == SHORT and b.main:
+                label = TEXT
+            elif label == SHORT or label == BOILERPLATE and b.main:
+                label = TEXT if b.heading or b.text[-1] in ".!?" or _stop_share(b.text) >= STOPS else BOILERPLATE
+        out.append(label)
     return out
 
 

@@ -1,5 +1,9 @@
+import random
+import time
+
 import pytest
 
+from tessella.llm import htmltext
 from tessella.llm.htmltext import extract, main_text
 
 LONG = "The cat of the house is in the garden and it was with them for the day of it all."
@@ -67,3 +71,37 @@ NAMES = "Virtanen Matti, Korhonen Liisa, Nieminen Pekka, Laine Anna, Heikkinen J
 )
 def test_main_text_without_an_article(html, text):
     assert main_text(html) == text
+
+
+def brute_labels(found, has_main):
+    """Both passes by their description, each ambiguous block searched outward."""
+    first = htmltext.first_labels(found, has_main)
+    out = list(first)
+    for i, b in enumerate(found):
+        if first[i] != htmltext.SHORT:
+            continue
+        by = sorted((abs(i - j), first[j]) for j in range(len(found)) if first[j] in (0, 1))
+        near = {x for d, x in by if d == by[0][0]} or {1}
+        if near == {1} or len(near) == 2 and b.main:
+            out[i] = 1
+        elif near == {0} and not b.main:
+            out[i] = 0
+        else:
+            out[i] = int(b.heading or b.text[-1] in ".!?" or htmltext._stop_share(b.text) >= htmltext.STOPS)
+    return out
+
+
+def test_two_passes_equal_a_search_for_each_block():
+    rng = random.Random(5)
+    parts = ["<p>Short one.</p>", "<p>no end</p>", f"<p>{LONG}</p>", f"<p>{NAMES}</p>", "<p><a href=x>link</a></p>", "<h2>Head</h2>", "<aside><p>no</p></aside>", "<ul><li>item<li><a href=y>to</a></ul>", "<div class=menu><p>off</p></div>", "<article>", "</article>", "<div>", "</div>"]
+    for _ in range(400):
+        found = htmltext.blocks("".join(rng.choice(parts) for _ in range(rng.randint(0, 25))))
+        assert [x == 1 for x in htmltext.labels(*found)] == [x == 1 for x in brute_labels(*found)]
+
+
+def test_pages_of_many_blocks_take_time_in_proportion():
+    # each of these took minutes when a block searched outward and a tag walked over all open elements
+    for page, n in [("<p>word</p>" * 100_000, 100_000), ("<div>" * 30_000 + "<p>w" * 30_000, 30_000), ("<svg>" * 50_000 + "x", 1), ("<ul><li hidden>" + "<div>" * 3_000 + "<li>x" * 20_000, 20_000)]:
+        began = time.perf_counter()
+        assert len(main_text(page).split("\n\n")) == n
+        assert time.perf_counter() - began < 20
