@@ -48,49 +48,6 @@ def bm25(slots: DataFrame, chunks: DataFrame) -> DataFrame:
     return weighed.join(asked, "term").groupBy("slot_id", *CHUNK).agg(F.sum(F.col("part") * F.col("times")).alias("score")).where("score > 0")
 
 
-def gram_rows(rows: DataFrame, text: str = "text", sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
-    """rows without their text, once for each character n-gram of each blank-padded word, as column gram.
-
-    The same grams as functions.text.padded_grams(), as numbered rows: all of it is compiled, no array is nested.
-    """
-    rest = [c for c in rows.columns if c != text]
-    words_ = rows.select(*rest, F.explode(F.split(F.lower(text), r"[ \t\r\n]+")).alias("_w")).where("_w <> ''")
-    words_ = words_.select(*rest, F.concat(F.lit(" "), "_w", F.lit(" ")).alias("_w")).withColumn("_l", F.length("_w"))
-    ends = [F.greatest(F.col("_l") - sizes[0] + 1, F.lit(1))]
-    for n in sizes[1:]:
-        ends.append(ends[-1] + F.greatest(F.col("_l") - n + 1, F.lit(0)))
-    numbered = words_.select(*rest, "_w", *[e.alias(f"_e{i}") for i, e in enumerate(ends)]).select("*", F.explode(F.sequence(F.lit(1), F.col(f"_e{len(sizes) - 1}"))).alias("_i"))
-    gram = F.substring("_w", F.col("_i"), F.lit(sizes[0]))
-    for i, n in reversed(list(enumerate(sizes))[1:]):
-        gram = F.when((F.col("_i") > F.col(f"_e{i - 1}")) & (F.col("_i") <= F.col(f"_e{i}")), F.substring("_w", F.col("_i") - F.col(f"_e{i - 1}"), F.lit(n))).otherwise(gram)
-    return numbered.select(*rest, gram.alias("gram"))
-
-
-def char_tfidf(slots: DataFrame, chunks: DataFrame, least: float = 0.02) -> DataFrame:
-    """Rows (slot_id, topic, chunk_id, score): cosine of TF-IDF weights of padded character 3- to 5-grams.
-
-    As usual for that measure: 1 + ln tf, ln((1 + n) / (1 + df)) + 1, unit length; counted over the topic's
-    chunks and all slots together. Squares and products are summed in 1e-12 and 1e-6 as whole numbers.
-    """
-    topics = chunks.select("topic").distinct()
-    rows = chunks.select("topic", F.lit(None).cast("long").alias("slot_id"), "chunk_id", "text")
-    rows = rows.unionByName(slots.select("slot_id", "text").join(topics).select("topic", "slot_id", F.lit(None).cast("string").alias("chunk_id"), "text"))
-    tf = gram_rows(rows).groupBy("topic", "slot_id", "chunk_id", "gram").agg(F.count("*").alias("tf"))
-    n = rows.groupBy("topic").agg(F.count("*").alias("n"))
-    df = tf.groupBy("topic", "gram").agg(F.count("*").alias("df")).join(n, "topic")
-    idf = df.select("topic", "gram", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weights = tf.join(idf, ["topic", "gram"]).withColumn("w", scaled((F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")))
-    norms = weights.groupBy("topic", "slot_id", "chunk_id").agg(F.sum(F.col("w") * F.col("w")).alias("norm"))
-    ours = weights.where("slot_id IS NOT NULL").select("topic", "slot_id", "gram", F.col("w").alias("sw"))
-    theirs = weights.where("slot_id IS NULL").select("topic", "chunk_id", "gram", "w")
-    dots = theirs.join(ours, ["topic", "gram"]).groupBy("topic", "slot_id", "chunk_id").agg(F.sum(F.col("w") * F.col("sw")).alias("dot"))
-    left = norms.where("slot_id IS NOT NULL").select("topic", "slot_id", F.col("norm").alias("sn"))
-    right = norms.where("slot_id IS NULL").select("topic", "chunk_id", F.col("norm").alias("cn"))
-    value = F.col("dot").cast("double") / (F.sqrt(F.col("sn").cast("double")) * F.sqrt(F.col("cn").cast("double")))
-    scored = dots.join(left, ["topic", "slot_id"]).join(right, ["topic", "chunk_id"]).select("slot_id", *CHUNK, value.alias("v"))
-    return scored.where(F.col("v") > least).select("slot_id", *CHUNK, scaled(F.col("v")).alias("score"))
-
-
 def top_candidates(scores: DataFrame, n: int = CANDIDATES) -> DataFrame:
     """Scores as shares of the topic's largest one, the n best of each slot; ties go to the earlier chunk."""
     largest = F.max("score").over(Window.partitionBy("topic"))

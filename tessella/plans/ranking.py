@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import STOP_WORDS, words
+from tessella.operators import ngrams as G
 from tessella.operators import ranking as R
 from tessella.plans.registry import query, table
 
@@ -120,13 +121,13 @@ def e3_top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = R.char_tfidf(slots(spark, sf_dir), chunks(spark, sf_dir))
+    chars = G.char_tfidf(slots(spark, sf_dir), chunks(spark, sf_dir))
     return R.fuse({"bm25": R.top_candidates(_bm25(spark, sf_dir)), "char": R.top_candidates(chars)})
 
 
 @query("k2_char_tfidf", f"WITH {PARAGRAPHS_SQL}, {CHAR_SQL} SELECT topic, slot_id, count(*) AS n, sum(score)::BIGINT AS total, max(score) AS best FROM chars GROUP BY ALL")
 def k2_char_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = R.char_tfidf(slots(spark, sf_dir), chunks(spark, sf_dir))
+    scores = G.char_tfidf(slots(spark, sf_dir), chunks(spark, sf_dir))
     return scores.groupBy("topic", "slot_id").agg(F.count("*").alias("n"), F.sum("score").alias("total"), F.max("score").alias("best"))
 
 
