@@ -41,4 +41,5 @@ from tessella.plans import (  # noqa: E402, F401  the modules register their que
     texts,
     rules,
     topics,
+    archives,
 )
