@@ -17,7 +17,7 @@ K1, B = 1.5, 0.75
 CANDIDATES = 15
 CONFIDENT, MIN_SCORE = 650_000, 250_000
 #: Weights of the rankers in tenths, and the bonus per further vote in tenths.
-WEIGHTS = {"bm25": 10, "char": 7}
+WEIGHTS = {"bm25": 10, "char": 7, "embedding": 10}
 VOTE_BONUS = 1
 CHUNK = ["topic", "chunk_id"]
 

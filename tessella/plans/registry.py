@@ -42,4 +42,5 @@ from tessella.plans import (  # noqa: E402, F401  the modules register their que
     rules,
     topics,
     archives,
+    composing,
 )
