@@ -43,4 +43,5 @@ from tessella.plans import (  # noqa: E402, F401  the modules register their que
     topics,
     archives,
     composing,
+    resolving,
 )
