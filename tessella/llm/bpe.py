@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import MIX, SpanHash, slices, spans, table, utf8
+from tessella.llm.common import MIX, SpanHash, by_value, slices, spans, table, utf8
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 LONG_PIECE = 1024
@@ -290,12 +290,12 @@ def encode_documents(docs: DataFrame, rank_file: str | None = None, id_col: str
     of either. The rank file (about 1 MB) is read on the driver and broadcast; nothing is shuffled.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((Vocabulary(read_ranks(rank_file or default_path())), character_classes()))
+    shared = by_value(spark, (Vocabulary(read_ranks(rank_file or default_path())), character_classes()))
     names = ("n_tokens", *keep)
     kinds = dict(_FIELDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*shared.value)
+        codec = Codec(*shared())
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in slices(offsets):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,27 +22,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session: as spark.checkpoint.dir says, a temporary one only where it is unset."""
+    """The checkpoint folder of the session: as spark.checkpoint.dir says; where it is unset a temporary one, in local mode only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
     return context.getCheckpointDir()
 
 
+def by_value(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast a value of bounded size; the function returned gives it in a task.
+
+    Broadcasts are pickled by reference to their classes; packed like this, an executor needs no copy of this subpackage.
+    """
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(packed.value)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder that the cluster shares."""
     _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+#: Tables of write_and_read() that are still there, in order.
+_WRITTEN: list[str] = []
+
+
 def write_and_read(df: DataFrame) -> DataFrame:
-    """Like cut(), as a compressed table in the shared folder: for rows with texts."""
+    """Like cut(), as a compressed table in the shared folder: for rows with texts. See discard()."""
     path = f"{_shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, keep: Iterable[str] = ()) -> None:
+    """Delete the tables of write_and_read() that hold none of the files to keep: for when what was made from them is written."""
+    names = {name for file in keep for name in file.split("/")[-2:-1]}
+    for path in [p for p in _WRITTEN if p.rsplit("/", 1)[1] not in names]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _WRITTEN.remove(path)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the n + 1 offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

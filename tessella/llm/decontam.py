@@ -15,13 +15,14 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SpanHash, cut, fresh, slices, table, utf8
+from tessella.llm.common import SpanHash, by_value, cut, fresh, slices, table, utf8
 from tessella.llm.words import Words
 
 WINDOW, SHINGLE = 10, 5
@@ -116,10 +117,10 @@ class Index:
 
 def _frequencies(docs: DataFrame, text_col: str, wanted: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
     """In how many documents each benchmark shingle stands; as many rows at most as the block has shingles."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    shared = by_value(docs.sparkSession, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, keys = SpanHash(), shared.value
+        hasher, keys = SpanHash(), shared()
         sieves = {s: _sieve(k) for s, k in keys.items()}
         total = {s: np.zeros(len(k), np.int64) for s, k in keys.items()}
         for batch in batches:
@@ -145,7 +146,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-int(total) // BLOCK_BYTES)
     for i in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i)
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i)
         yield [(r.id, r.text) for r in part.collect()]
 
 
@@ -153,19 +154,20 @@ def contamination(docs: DataFrame, items: DataFrame, names: tuple[str, str, str]
     """docs with three more columns of the given names: the number of words, the hit runs (first and past-last
     word, in turn) and the ids of the items that hit. Runs of several blocks are joined row by row.
     """
-    sc = docs.sparkSession.sparkContext
     out = docs.select("*", F.lit(0).cast("long").alias(names[0]), F.array().cast("array<long>").alias(names[1]), F.array().cast("array<string>").alias(names[2]))
     column = docs.columns.index(text_col)
     blocks = 0
-    for block in [*_blocks(items, item_id, item_text)] or [[]]:
+    for block in chain(_blocks(items, item_id, item_text), [[]]):
+        if blocks and not block:
+            break
         if blocks:
             out = cut(out)
         blocks += 1
         windows = Windows(block, SpanHash())
-        shared = sc.broadcast(windows.index(_frequencies(docs, text_col, windows.shingles()) if windows.text else {}))
+        shared = by_value(docs.sparkSession, windows.index(_frequencies(docs, text_col, windows.shingles()) if windows.text else {}))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, column=column) -> Iterator[pa.RecordBatch]:
-            hasher, index = SpanHash(), shared.value
+            hasher, index = SpanHash(), shared()
             for batch in batches:
                 data, offsets = utf8(batch.column(column))
                 n = batch.num_columns

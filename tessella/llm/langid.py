@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import fold, slices, table, utf8
+from tessella.llm.common import by_value, fold, slices, table, utf8
 
 BUCKETS, DIM, ORDERS = 1 << 15, 16, (1, 2, 3, 4)
 PER_LANGUAGE, MAX_ROWS, EPOCHS, BATCH, RATE = 500, 6_000, 8, 32, 0.5
+#: Parts of a language whose least rows are found apart.
+PARTS = 64
 #: Share of wrong answers that an accepted prediction may have on the calibration rows.
 ERROR = 0.01
 UNDETERMINED = "und"
@@ -75,8 +77,8 @@ class Model:
             if not len(found) or not self.names:
                 names.append(UNDETERMINED)
                 continue
-            counts = np.bincount(found, minlength=BUCKETS)
-            p = _softmax(((counts @ self.weights) / len(found) + self.bias)[None] / self.temperature)[0]
+            total = np.bincount(found, minlength=BUCKETS) @ self.weights if len(found) > BUCKETS else self.weights[found].sum(axis=0, dtype=np.float64)
+            p = _softmax((total / len(found) + self.bias)[None] / self.temperature)[0]
             names.append(self.names[int(p.argmax())])
             scores[i] = p.max()
         return names, scores
@@ -149,8 +151,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX
     """Choose the rows by id and language alone, then fetch their texts: a bounded sample of whole documents."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
     order = F.xxhash64("doc_id"), F.col("doc_id")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    chosen = known.select("doc_id", "lang").withColumn("_n", rank).where(F.col("_n") <= per_language)
+    # the least of each language among the least of each of its parts, so no task meets a whole language
+    chosen = known.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(PARTS)).alias("_part"))
+    for keys in (("lang", "_part"), ("lang",)):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        chosen = chosen.withColumn("_n", rank).where(F.col("_n") <= per_language)
     chosen = chosen.groupBy("doc_id").agg(F.min("lang").alias("_lang"), F.min("_n").alias("_n")).orderBy("_n", *order).limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "_lang")), "doc_id")
     # of repeated ids one text, the least, is learned from
@@ -162,10 +167,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, max_rows: int = MAX
 
 def languages(docs: DataFrame, model: Model) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score, rejected) of all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, letter_classes()))
+    shared = by_value(docs.sparkSession, (model, letter_classes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, letters = shared.value
+        model, letters = shared()
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             for a, b in slices(offsets):

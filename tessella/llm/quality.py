@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SpanHash, fold, slices, table, utf8
+from tessella.llm.common import SpanHash, by_value, fold, slices, table, utf8
 
 TRAIN_ROWS, BINS, DEPTH, TREES, RATE, L2, MIN_CHILD = 20_000, 64, 4, 80, 0.15, 1.0, 8
 #: A document is kept from this score on.
@@ -170,13 +170,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> F
 
 def scorer(spark: SparkSession, forest: Forest):
     """A column function: text to score."""
-    shared = spark.sparkContext.broadcast(forest)
+    shared = by_value(spark, forest)
 
     def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        hasher = SpanHash()
+        hasher, forest = SpanHash(), shared()
         for column in columns:
             data, offsets = utf8(column)
-            parts = [shared.value.scores(statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], hasher)) for a, b in slices(offsets)]
+            parts = [forest.scores(statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], hasher)) for a, b in slices(offsets)]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     score.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
