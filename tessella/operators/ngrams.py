@@ -112,7 +112,7 @@ def char_tfidf(slots: DataFrame, chunks: DataFrame, least: float = 0.02, part_ro
     rows = chunks.select("topic", "chunk_id", F.lower("text").alias("text"))
     sizes = rows.groupBy("topic").agg(F.count("*").alias("n"))
     sizes = sizes.select("topic", (F.col("n") + len(slot_ids)).alias("n"), F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
-    extra = chunks.sparkSession.createDataFrame(pd.DataFrame({"gram": grams_of_slots, "more": slot_df.astype(np.int64)}))
+    extra = chunks.sparkSession.createDataFrame(pd.DataFrame({"gram": grams_of_slots, "more": slot_df.astype(np.int64)}), "gram long, more long")
     # grams that only slots have are counted too
     own = sizes.select("topic").join(extra.select("gram", F.col("more").alias("df")))
     df = _document_frequencies(rows).unionByName(own).groupBy("topic", "gram").agg(F.sum("df").alias("df")).join(sizes, "topic")

@@ -22,25 +22,31 @@ VOTE_BONUS = 1
 CHUNK = ["topic", "chunk_id"]
 
 
-def term_counts(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (topic, chunk_id, term, tf, dl): one shuffle on (topic, chunk, term) with map-side counts."""
-    tokens = chunks.select(*CHUNK, words(F.col(text)).alias("w"))
-    terms = tokens.select(*CHUNK, F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return terms.groupBy(*CHUNK, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def frequencies(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (term, df, tf): in how many chunks a term stands, and how often in all; one shuffle of counts by term."""
+    tokens = chunks.select(words(F.col(text)).alias("w"))
+    once = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("once")))
+    each = F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(0).alias("once")))
+    rows = tokens.select(F.explode(F.concat(once, each)).alias("t")).select("t.term", "t.once")
+    return rows.groupBy("term").agg(F.sum("once").alias("df"), F.sum(1 - F.col("once")).alias("tf"))
 
 
 def bm25(slots: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rows (slot_id, topic, chunk_id, score): Okapi BM25, with a query word that is repeated counted again.
 
-    Both sides meet on the term, never as a product of slots and chunks; query terms are pre-counted.
+    Both sides meet on the term, never as a product of slots and chunks; query terms are pre-counted. They are of a
+    template's slots, so they are broadcast, and words that no slot asks for go before anything is shuffled. Each
+    chunk also gives one row without a term, for its length, so texts are read and split once.
     """
-    tf = term_counts(chunks)
-    lengths = chunks.select("topic", F.size(words(F.col("text"))).alias("dl")).groupBy("topic").agg(F.count("*").alias("n"), F.sum("dl").alias("total"))
-    df = tf.groupBy("topic", "term").agg(F.count("*").alias("df"))
     asked = slots.select("slot_id", F.explode(words(F.col("text"))).alias("term")).groupBy("slot_id", "term").agg(F.count("*").alias("times"))
-    used = asked.select("term").distinct()
+    used = F.broadcast(asked.select("term").union(asked.sparkSession.createDataFrame([("",)], "term string")).distinct())
+    tokens = chunks.select(*CHUNK, words(F.col("text")).alias("w")).select(*CHUNK, F.size("w").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("term"))
+    counted = tokens.join(used, "term").groupBy(*CHUNK, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    per_term = counted.groupBy("topic", "term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+    lengths = per_term.where("term = ''").select("topic", F.col("df").alias("n"), "total")
+    tf = counted.where("term <> ''")
     n, freq = F.col("n").cast("double"), F.col("df").cast("double")
-    stats = df.join(used, "term").join(lengths, "topic")
+    stats = per_term.where("term <> ''").select("topic", "term", "df").join(lengths, "topic")
     stats = stats.select("topic", "term", F.log(1 + (n - freq + 0.5) / (freq + 0.5)).alias("idf"), (F.col("total") / n).alias("avgdl"))
     tfd = F.col("tf").cast("double")
     part = F.col("idf") * tfd * (K1 + 1) / F.greatest(tfd + K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1.0))), F.lit(1e-6))

@@ -101,8 +101,7 @@ def b4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d3_document_frequency", f"WITH {PARAGRAPHS_SQL}, t AS (SELECT chunk_id, unnest({WORDS_SQL.format('text')}) AS term FROM chunks) SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS tf FROM t GROUP BY term")
 def d3_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = R.term_counts(chunks(spark, sf_dir))
-    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return R.frequencies(chunks(spark, sf_dir))
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,12 +64,11 @@ def k9_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "j5_time_reference",
     """SELECT doc_id, CASE WHEN a >= 2 AND a >= b THEN 'prospective' WHEN b + o >= 2 THEN 'historical' ELSE 'present' END AS value FROM (
-  SELECT doc_id, len(regexp_extract_all(lower(text), 'tion')) AS a, len(regexp_extract_all(lower(text), 'was|were')) AS b, len(list_filter(regexp_extract_all(text, '(?:^|[^0-9])(1[0-9]{3}|20[0-9]{2})(?:[^0-9]|$)', 1), lambda y: y::INT < 1996)) AS o FROM documents WHERE NOT regexp_matches(text, '[0-9]{4}[^0-9][0-9]{4}'))""",
+  SELECT doc_id, len(regexp_extract_all(lower(text), 'tion')) AS a, len(regexp_extract_all(lower(text), 'was|were')) AS b, len(list_filter(regexp_extract_all(regexp_replace(text, '([^0-9])', '\\1\\1', 'g'), '(?:^|[^0-9])(1[0-9]{3}|20[0-9]{2})(?:[^0-9]|$)', 1), lambda y: y::INT < 1996)) AS o FROM documents)""",
 )
 def j5_time_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The year that counts as now is a parameter; two years side by side are left out as the two regex dialects differ there."""
-    docs = table(spark, sf_dir, "documents").where("NOT rlike(text, '[0-9]{4}[^0-9][0-9]{4}')")
-    return L.time_reference(docs, "was|were", "tion", 2026, "doc_id")
+    """The year that counts as now is a parameter. SQL, without look-around, doubles what parts two years."""
+    return L.time_reference(table(spark, sf_dir, "documents"), "was|were", "tion", 2026, "doc_id")
 
 
 def _policy_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

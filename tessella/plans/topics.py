@@ -144,17 +144,18 @@ def e5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.take_turns(candidates, 4, ["user", "assistant", "system"], again=True)
 
 
-@query("h29_pairs", "SELECT conv_id, turn, trim(text) AS question, role AS answer FROM conversations WHERE position(';' IN text) = 0 AND position(chr(10) IN text) = 0 AND trim(text) <> '' AND NOT regexp_matches(trim(text), '^([0-9]+[.)]|[-*•])')")
+PAIRS_SQL = """l AS (SELECT conv_id, turn, unnest(string_split(text || ';' || role || ';', chr(10))) AS line, generate_subscripts(string_split(text || ';' || role || ';', chr(10)), 1) - 1 AS position FROM conversations),
+p AS (SELECT *, list_transform(string_split(line, ';'), lambda x: trim(x)) AS p FROM l)"""
+
+
+@query("h29_pairs", rf"WITH {PAIRS_SQL} SELECT conv_id, turn, regexp_replace(p[1], '^\s*(?:[0-9]+[.)]|[-*•])\s*', '') AS question, substring(p[2], 1, 400) AS answer FROM p WHERE len(p) >= 2 AND p[1] <> '' AND p[2] <> ''")
 def h29_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where("NOT contains(text, ';') AND NOT contains(text, '\n') AND NOT rlike(trim(text), '^([0-9]+[.)]|[-*•])')")
-    keyed = rows.select(F.struct("conv_id", "turn").alias("k"), F.concat("text", F.lit(";"), "role", F.lit(";")).alias("text"))
-    return S.parsed_pairs(keyed, "k").select("k.conv_id", "k.turn", "question", "answer")
+    return h29_pairs_whole(spark, sf_dir).select("conv_id", "turn", "question", "answer")
 
 
 @query(
     "h29_pairs_whole",
-    """WITH l AS (SELECT conv_id, turn, unnest(string_split(text || ';' || role || ';', chr(10))) AS line, generate_subscripts(string_split(text || ';' || role || ';', chr(10)), 1) - 1 AS position FROM conversations),
-p AS (SELECT *, list_transform(string_split(line, ';'), lambda x: trim(x)) AS p FROM l)
+    f"""WITH {PAIRS_SQL}
 SELECT conv_id, turn, position::INTEGER AS position, regexp_replace(p[1], '^\\s*(?:[0-9]+[.)]|[-*•])\\s*', '') AS question, substring(p[2], 1, 400) AS answer, nullif(p[3], '') AS level FROM p WHERE len(p) >= 2 AND p[1] <> '' AND p[2] <> ''""",
 )
 def h29_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:

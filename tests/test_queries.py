@@ -10,8 +10,6 @@ from tessella.plans.registry import ORACLES, QUERIES, flagship
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-#: Slow to run here, and checked at a larger scale: the two below differ from k4_fused_scores by one step each.
-SKIPPED = {"k5_section_smoothing", "k2_char_tfidf"}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +27,7 @@ def plain(value):
     return value.replace(tzinfo=None) if isinstance(value, datetime.datetime) else value
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SKIPPED))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
     df = QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
