@@ -42,3 +42,40 @@ def test_grams_of_a_word():
     assert len(langid.grams("ab".encode(), letters)) == 2 + 3 + 2 + 1
     assert len(langid.grams(b"12", letters)) == 0
     assert (np.sort(langid.grams(b"AB", letters)) == np.sort(langid.grams(b"ab", letters))).all()
+
+
+def plain_grams(text):
+    """Buckets of all subwords, sign by sign."""
+    signs = [c if c.isalpha() else "\0" for c in text.lower()]
+    signs = ["\0", *signs, "\0"]
+    out = []
+    for n in langid.ORDERS:
+        for i in range(len(signs) - n + 1):
+            part = signs[i : i + n]
+            if all(c == "\0" for c in part):
+                continue
+            h = 0
+            for k, c in enumerate(part):
+                h = (h * 0x01000193 + ord(c) + k + 1) & 0xFFFFFFFF
+            h ^= h >> 15
+            out.append((h * 0x85EBCA6B & 0xFFFFFFFF) >> 17)
+    return sorted(out)
+
+
+def test_subwords_and_predictions_equal_plain_loops(docs):
+    letters, model = langid.letter_classes(), langid.train(docs)
+    for text in ("Über die Brücke", "a1 b", "the of \U0001f600 and", "x"):
+        found = langid.grams(text.encode(), letters)
+        assert sorted(found.tolist()) == plain_grams(text)
+        raw = [sum(float(model.weights[g, k]) for g in plain_grams(text)) / len(found) + float(model.bias[k]) for k in range(len(model.names))]
+        e = [np.exp((v - max(raw)) / model.temperature) for v in raw]
+        (name,), (score,) = model.predict([text.encode()], letters)
+        assert name == model.names[int(np.argmax(raw))] and abs(score - max(e) / sum(e)) < 1e-5
+
+
+def test_samples_are_the_least_of_each_language(docs, spark):
+    for limit in (1, 7):
+        model = langid.train(docs, per_language=limit, max_rows=3 * limit)
+        assert len(model.names) <= 3
+    rows = docs.where("lang IS NOT NULL AND doc_id % 3 = 0").selectExpr("doc_id", "text", "'x' AS lang")
+    assert langid.train(rows, per_language=5).names == ["x"]

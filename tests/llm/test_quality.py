@@ -1,8 +1,14 @@
+import math
 import random
+import re
+from collections import Counter
+from itertools import pairwise
 
+import numpy as np
 import pytest
 
 from tessella.llm import quality
+from tessella.llm.common import SpanHash
 
 
 @pytest.fixture(scope="module")
@@ -47,3 +53,51 @@ def test_equal_texts_equal_scores(corpus, spark):
     twice = docs.where("doc_id < 2").selectExpr("doc_id", "text").unionByName(docs.where("doc_id < 2").selectExpr("doc_id + 9000 AS doc_id", "text"))
     rows = {r.doc_id: r.score for r in quality.quality_scores(twice, labels).collect()}
     assert rows[0] == rows[9000] and rows[1] == rows[9001]
+
+
+def plain_statistics(text):
+    """Some of the features of a text, by plain loops."""
+    kinds = [int(quality.BYTE_KINDS[b]) for b in text]
+    words = [w for w in re.split(rb"[ \t\r\f\v\n]+", text) if w]
+    counts = Counter(words)
+    n = max(1, len(words))
+    mean = sum(map(len, words)) / n
+    return {
+        **{k: kinds.count(k) / max(1, len(text)) for k in range(12)},
+        12: np.log1p(len(text)), 13: np.log1p(len(words)), 14: mean, 15: np.sqrt(max(0, sum(len(w) ** 2 for w in words) / n - mean**2)), 16: sum(a == b for a, b in pairwise(words)) / n,
+        17: sum(words[i] == words[i - g] for i in range(len(words)) for g in range(2, 9) if i >= g) / n, 18: len(counts) / n, 19: max(counts.values(), default=0) / n,
+    }
+
+
+def test_statistics_equal_plain_loops():
+    rng = random.Random(7)
+    texts = [b"", b" \n ", b"a", b"a a a\nb", "Üß ß".encode(), *[" ".join(rng.choice(["ab", "AB", "a!", "||", "1", "ab"]) for _ in range(rng.randint(1, 60))).encode() for _ in range(60)]]
+    offsets = np.cumsum([0, *map(len, texts)])
+    found = quality.statistics(np.frombuffer(b"".join(texts), np.uint8), offsets, SpanHash())
+    for row, text in zip(found, texts, strict=True):
+        for i, value in plain_statistics(text).items():
+            assert abs(row[i] - value) < 1e-5, (text, i)
+
+
+def test_trees_equal_plain_loops():
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((400, 3)), 2).astype(np.float32)
+    y = ((x[:, 0] > 0.6) ^ (x[:, 2] < 0.3)).astype(float)
+    forest = quality.fit(x, y)
+    binned = [[sum(e < v for e in edges) for v, edges in zip(row, forest.edges, strict=True)] for row in x]
+    for row, score in zip(binned[:80], forest.scores(x)[:80], strict=True):
+        total = forest.base
+        for feature, limit, leaf in zip(forest.feature, forest.limit, forest.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(row[feature[node]] > limit[node])
+            total += leaf[node - len(feature)]
+        assert abs(1 / (1 + math.exp(-total)) - score) < 1e-9
+    # the first split is the best of all by exhaustive search
+    p = y.mean()
+    gradient, hessian = p - y, np.full(len(y), p * (1 - p))
+    gain = lambda g, h: g * g / (h + quality.L2)
+    best = max((gain(gradient[b <= t].sum(), hessian[b <= t].sum()) + gain(gradient[b > t].sum(), hessian[b > t].sum()), -i, -t) for i in range(3) for b in [np.array([r[i] for r in binned])] for t in range(b.max()) if quality.MIN_CHILD <= (b <= t).sum() <= len(y) - quality.MIN_CHILD)
+    b = np.array([r[forest.feature[0][0]] for r in binned])
+    left = b <= forest.limit[0][0]
+    assert abs(gain(gradient[left].sum(), hessian[left].sum()) + gain(gradient[~left].sum(), hessian[~left].sum()) - best[0]) < 1e-6

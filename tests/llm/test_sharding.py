@@ -54,3 +54,26 @@ def test_written_shards(spark, odd, tmp_path):
 def test_no_python_in_the_plan(odd):
     plan = sharding.assign(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_shards_and_slots_equal_a_plain_assignment(spark):
+    docs = spark.range(300).select((F.col("id") % 250).alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 240).alias("text"))
+    found = sharding.assign(docs, shards=7, bucket_rows=20).collect()
+    # every draw of every row, and the largest of each id
+    draws = docs.select("doc_id").distinct().join(spark.range(8).select(F.col("id").cast("int").alias("s"))).select("doc_id", "s", F.xxhash64(F.lit(sharding.SEED), "s", "doc_id").alias("draw")).collect()
+    best = {}
+    for r in draws:
+        for n in (7, 8):
+            if r.s < n:
+                best[r.doc_id, n] = max(best.get((r.doc_id, n), (-(2**63) - 1, -1)), (r.draw, r.s))
+    assert all((r.shard, r.grown_shard) == (best[r.doc_id, 7][1], best[r.doc_id, 8][1]) for r in found)
+    # slots go bucket by bucket, as the seeded hash scatters the rows
+    buckets = max(1, -(-300 // (7 * 20)))
+    key = docs.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("c"), (F.octet_length("text") + 16).cast("long").alias("size"))
+    of = {(r.doc_id, r.c): r.b for r in key.select("doc_id", "c", F.pmod(F.xxhash64(F.lit(sharding.SEED + 1), "doc_id", "c", "size"), F.lit(buckets)).alias("b")).collect()}
+    for shard in range(7):
+        rows = sorted((r for r in found if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in rows] == list(range(len(rows)))
+        order = [of[r.doc_id, r.text_crc32] for r in rows]
+        assert order == sorted(order)
+    assert [r.doc_id for r in sorted(found, key=lambda r: (r.shard, r.slot))] != sorted(r.doc_id for r in found)
