@@ -1,7 +1,7 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB text."""
 
 from tessella.llm.bpe import op1_bpe
-from tessella.llm.chat import OP8_SQL, op8_chat
+from tessella.llm.chat import OP8_SQL, TOOL_CALLS_SQL, chat_tool_calls, op8_chat
 from tessella.llm.decontam import OP5_SQL, op5_decontamination
 from tessella.llm.htmltext import op9_html
 from tessella.llm.langid import op3_language
@@ -22,5 +22,6 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_html": op9_html,
     "op10_tiff": op10_tiff,
+    "chat_tool_calls": chat_tool_calls,
 }
-ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL, "op8_chat": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL, "op8_chat": OP8_SQL, "chat_tool_calls": TOOL_CALLS_SQL}
