@@ -165,8 +165,8 @@ def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("turn")
     ident = lambda k: F.concat(F.lit("t"), k.cast("string"))
     after = F.when(n >= 4, F.struct(ident(n - 4).alias("$ref")))
-    args = F.when(n % 3 == 0, F.to_json(F.struct(F.col("role").alias("q"), n.alias("n"), after.alias("after")))).when(n % 3 == 1, F.to_json(F.struct(F.lit(5).alias("q"), after.alias("after")))).otherwise(F.to_json(F.struct(n.alias("n"), F.lit(True).alias("x"), after.alias("after"))))
-    call = F.struct(ident(n).alias("id"), F.when(n % 8 == 0, "search").otherwise("find").alias("name"), args.alias("arguments"))
+    args = F.when((F.col("conv_id") + n) % 3 == 0, F.to_json(F.struct(F.col("role").alias("q"), n.alias("n"), after.alias("after")))).when((F.col("conv_id") + n) % 3 == 1, F.to_json(F.struct(F.lit(5).alias("q"), after.alias("after")))).otherwise(F.to_json(F.struct(n.alias("n"), F.lit(True).alias("x"), after.alias("after"))))
+    call = F.struct(ident(n).alias("id"), F.when((F.col("conv_id") + F.floor(n / 4)) % 3 != 0, "search").otherwise("find").alias("name"), args.alias("arguments"))
     text = F.when(n % 4 == 0, F.to_json(F.struct(F.lit("asks").alias("content"), F.array(call).alias("tool_calls")))).when(n % 4 == 1, F.to_json(F.struct("text", ident(n - 1).alias("tool_call_id"), F.col("text").alias("content")))).otherwise(F.col("text"))
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text.alias("text"))
     found = format_chat(messages, spark.createDataFrame(TOOL_SCHEMA, SCHEMA_COLUMNS), pair_turns=False)
@@ -177,10 +177,10 @@ TOOL_CALLS_SQL = """
 WITH m AS (SELECT conv_id, turn, coalesce(role, 'user') AS role FROM conversations), t AS (SELECT DISTINCT conv_id, turn FROM m),
 r AS (SELECT a.conv_id, a.turn, count(b.turn) > 0 AS answered, (SELECT count(*) FROM t c WHERE c.conv_id = a.conv_id AND c.turn % 4 = 0 AND c.turn < a.turn) = a.turn // 4 AS whole FROM t a LEFT JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.turn % 4 = 0 GROUP BY ALL),
 c AS (SELECT m.*, answered, whole, CASE WHEN turn >= 4 THEN '"after":{"$ref":"t' || turn - 4 || '"}' END AS wait FROM m JOIN r USING (conv_id, turn)),
-a AS (SELECT *, CASE turn % 3 WHEN 0 THEN '{' || concat_ws(',', wait, '"n":' || turn, '"q":' || to_json(role)) || '}' WHEN 1 THEN '{' || concat_ws(',', wait, '"q":5') || '}' ELSE '{' || concat_ws(',', wait, '"n":' || turn, '"x":true') || '}' END AS args,
-  CASE WHEN turn % 8 <> 0 THEN 'unknown tool' WHEN turn % 3 = 1 THEN 'type:q' WHEN turn % 3 = 2 THEN 'missing:q,unexpected:x' ELSE '' END AS wrong FROM c)
+a AS (SELECT *, CASE (conv_id + turn) % 3 WHEN 0 THEN '{' || concat_ws(',', wait, '"n":' || turn, '"q":' || to_json(role)) || '}' WHEN 1 THEN '{' || concat_ws(',', wait, '"q":5') || '}' ELSE '{' || concat_ws(',', wait, '"n":' || turn, '"x":true') || '}' END AS args,
+  CASE WHEN (conv_id + turn // 4) % 3 = 0 THEN 'unknown tool' WHEN (conv_id + turn) % 3 = 1 THEN 'type:q' WHEN (conv_id + turn) % 3 = 2 THEN 'missing:q,unexpected:x' ELSE '' END AS wrong FROM c)
 SELECT conv_id, turn, 1 AS seq, 'call' AS kind, 't' || turn AS call_id, answered AS linked, concat_ws(',', nullif(wrong, ''), CASE WHEN NOT whole THEN 'tangled references' END) AS errors, turn AS order_turn, CASE WHEN whole THEN turn // 2 ELSE 0 END::INTEGER AS order_level,
-  '{"arguments":' || args || ',"call_id":"t' || turn || '","conv_id":' || conv_id || ',"kind":"call","name":"' || CASE WHEN turn % 8 = 0 THEN 'search' ELSE 'find' END || '","role":' || to_json(role) || ',"turn":' || turn || '}' AS json FROM a
+  '{"arguments":' || args || ',"call_id":"t' || turn || '","conv_id":' || conv_id || ',"kind":"call","name":"' || CASE WHEN (conv_id + turn // 4) % 3 <> 0 THEN 'search' ELSE 'find' END || '","role":' || to_json(role) || ',"turn":' || turn || '}' AS json FROM a
 UNION ALL SELECT m.conv_id, m.turn, 0, CASE WHEN m.turn % 4 = 1 THEN 'result' ELSE 'message' END, CASE WHEN m.turn % 4 = 1 THEN 't' || m.turn - 1 END, CASE WHEN m.turn % 4 = 1 THEN r.turn IS NOT NULL END, '', m.turn, CASE WHEN m.turn % 4 = 1 THEN CASE WHEN r.whole THEN r.turn // 2 + 1 ELSE 1 END ELSE 0 END, NULL
 FROM m LEFT JOIN r ON r.conv_id = m.conv_id AND r.turn = m.turn - 1 AND m.turn % 4 = 1
 """
