@@ -5,10 +5,11 @@ the same places, so the least hash among the GRAM-byte strings of a window (the
 anchor, is the same for all of them. Consecutive windows with one anchor form a segment. Then:
 
 1. Anchors that occur once in all texts are dropped: none of their windows can repeat.
-2. An anchor whose segments are all alike is settled: all of their windows repeat. Equal segments of the other
-   anchors are counted, and one of each stands for all.
-3. Segments go to partitions by anchor. A task builds suffix arrays of many anchors' segments at once
-   (two-stage sorting) and reads repeated windows off adjacent common prefixes.
+2. Equal segments are counted. All windows of a segment with copies repeat; one of the copies stands for all below,
+   where segments without copies are held against those of the same anchor.
+3. Segments go to partitions by anchor. A task takes the stretches whose middle bytes also occur in another segment
+   of the anchor, sorts the suffixes of many anchors' stretches at once (two-stage sorting) and reads repeated
+   windows off adjacent common prefixes.
 4. An anchor with over HOT distinct segments (a passage that very many texts share) never meets in one task:
    its windows are told apart by shared cores, in blocks of 64, 8 and 1, each level a pre-aggregated count.
 5. Repeated windows come back to all texts as byte spans and are cut out.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SpanHash, cut, fresh, table, utf8, write_and_read
+from tessella.llm.common import MIX, SpanHash, cut, fresh, spans, table, utf8, write_and_read
 from tessella.llm.suffixes import repeated
 
 LENGTH, GRAM, HOT = 400, 64, 2_000
 #: Bytes of segments whose suffixes are sorted together (a single anchor may exceed it: up to HOT segments).
 CHUNK_BYTES = 1 << 20
+#: Groups of places that an anchor may have in a window; the windows of one group share all but few bytes.
+PARTS = 8
 BLOCKS = (64, 8, 1)
 #: Words of the passages that are also removed on request, whatever their bytes.
 WORDS, GRAM_WORDS = 51, 8
@@ -72,21 +76,34 @@ def segments(data: np.ndarray, hasher: SpanHash, length: int = LENGTH, gram: int
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(4))
 
 
+def _anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Rows (anchor) of all segments of (text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = SpanHash()
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            found = [segments(data[a:b], hasher, length, gram)[3] for a, b in pairwise(offsets.tolist()) if b - a >= length]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["anchor"])
+
+    return texts.select("text").mapInArrow(run, "anchor long")
+
+
 def _occurrences(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows (anchor, key, start, n, content) of all segments of (key, text)."""
+    """Rows (anchor, key, start, n, lead, content) of all segments of (key, text); lead is the anchor's place in a segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, digest = SpanHash(), xxhash.xxh3_128_digest
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            offsets = offsets.tolist()
             rows, columns, contents, size = [], [], [], 0
 
             def packed(rows=rows, columns=columns, contents=contents, batch=batch):
-                start, n, anchor = (np.concatenate([c[i] for c in columns]) for i in (0, 1, 3))
-                return pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(pa.array(np.repeat(rows, [len(c[0]) for c in columns]))), pa.array(start), pa.array(n.astype(np.int32)), pa.array(contents, pa.binary())], names=["anchor", "key", "start", "n", "content"])
+                start, n, place, anchor = (np.concatenate([c[i] for c in columns]) for i in range(4))
+                keys = batch.column(0).take(pa.array(np.repeat(rows, [len(c[0]) for c in columns])))
+                return pa.RecordBatch.from_arrays([pa.array(anchor), keys, pa.array(start), pa.array(n.astype(np.int32)), pa.array((place - start).astype(np.int32)), pa.array(contents, pa.binary())], names=["anchor", "key", "start", "n", "lead", "content"])
 
-            for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+            for i, (a, b) in enumerate(pairwise(offsets.tolist())):
                 if b - a < length:
                     continue
                 text = data[a:b]
@@ -103,7 +120,26 @@ def _occurrences(texts: DataFrame, length: int, gram: int) -> DataFrame:
             if rows:
                 yield packed()
 
-    return texts.mapInArrow(run, "anchor long, key binary, start long, n int, content binary")
+    return texts.mapInArrow(run, "anchor long, key binary, start long, n int, lead int, content binary")
+
+
+def _pieces(parts: DataFrame, length: int) -> DataFrame:
+    """Rows (anchor, key, start, n, lead, copies, contents, bytes) of the segments in parts, of rows (key, text, parts)."""
+    names = ("anchor", "start", "n", "lead", "copies", "contents")
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(1))
+            for i, (a, b) in enumerate(pairwise(offsets.tolist())):
+                found, raw = batch.column(2)[i].as_py(), data[a:b].tobytes()
+                for at in range(0, len(found), 10_000):
+                    some = found[at : at + 10_000]
+                    cut_ = [raw[p["start"] : p["start"] + p["n"] + length - 1] for p in some]
+                    columns = [pa.array([p[c] for p in some], kind) for c, kind in zip(names, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(some))), *columns, pa.array(cut_, pa.binary())], names=["key", *names, "bytes"])
+
+    return parts.select("key", "text", "parts").mapInArrow(run, "key binary, anchor long, start long, n int, lead int, copies long, contents long, bytes binary")
 
 
 def _word_segments(texts: DataFrame) -> DataFrame:
@@ -204,39 +240,73 @@ def _runs(flags: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def _by_suffixes(pieces: DataFrame, length: int) -> DataFrame:
-    """Rows (content, runs): repeated windows among the segments of each anchor, by suffix array."""
+def stretches(text: np.ndarray, first: np.ndarray, anchor: np.ndarray, n: np.ndarray, lead: np.ndarray, copies: np.ndarray, length: int, gram: int, hasher: SpanHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, first and past-last window of the runs of windows that may be equal to windows of another segment.
 
-    def solved(rows: list[tuple]) -> pa.RecordBatch:
-        sizes = [len(r[3]) for r in rows]
-        text = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        valid, weight = np.zeros(len(text), bool), np.zeros(len(text), np.int64)
-        first = np.cumsum([0, *sizes]).tolist()
-        for a, b, r in zip(first[:-1], first[1:], rows, strict=True):
-            valid[a : b - length + 1] = True
-            weight[a:b] = r[2]
-        found = repeated(text, valid, weight, length)
-        runs = [_runs(found[a : b - length + 1]) for a, b in zip(first[:-1], first[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.binary()), pa.array(runs, pa.list_(pa.int64()))], names=["content", "runs"])
+    first is where each segment begins in text. Windows whose anchors stand at places of one of PARTS groups share all
+    bytes but few at both ends; a group whose shared bytes no other segment of its anchor has is left out, as is
+    one that segments with copies alone have, all of whose windows are known to repeat.
+    """
+    step = -(-(length - gram + 1) // PARTS)
+    low, high = (lead - n + 1) // step, lead // step
+    count = high - low + 1
+    row = np.repeat(np.arange(len(n)), count)
+    part = spans(low, count)
+    begin = first[row] + lead[row] - part * step
+    key = hasher.of(hasher.totals(text), begin, begin + length - step + 1)
+    key = (key ^ (anchor[row].view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * MIX + part.astype(np.uint64)
+    _, group = np.unique(key, return_inverse=True)
+    several, alone = np.bincount(group), np.bincount(group, copies[row] == 1)
+    open_ = np.flatnonzero((several[group] > 1) & (alone[group] > 0))
+    # from the last group to the first, windows are in order
+    order = open_[np.lexsort((-part[open_], row[open_]))]
+    row, part = row[order], part[order]
+    a = np.maximum(0, lead[row] - (part + 1) * step + 1)
+    z = np.minimum(n[row], lead[row] - part * step + 1)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (a[1:] != z[:-1])
+    head = np.flatnonzero(new)
+    return row[head], a[head], z[np.append(head[1:], len(row)) - 1] if len(row) else z
+
+
+def _by_suffixes(pieces: DataFrame, length: int, gram: int) -> DataFrame:
+    """Rows (key, start, runs): repeated windows of the segments without copies among those of each anchor, by suffix array."""
+
+    def solved(rows: list[tuple], hasher: SpanHash) -> pa.RecordBatch:
+        anchor, n, lead, copies = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+        sizes = n + length - 1
+        text, first = np.frombuffer(b"".join(r[6] for r in rows), np.uint8), np.cumsum(sizes) - sizes
+        row, a, z = stretches(text, first, anchor, n, lead, copies, length, gram, hasher)
+        sizes = z - a + length - 1
+        text, first = text[spans(first[row] + a, sizes)], np.cumsum(sizes) - sizes
+        valid, weight = np.zeros(len(text), bool), np.repeat(copies[row], sizes)
+        valid[spans(first, z - a)] = True
+        found = repeated(text, valid, weight, length, hasher)
+        runs: dict[int, list[int]] = {}
+        for i in np.flatnonzero(copies[row] == 1).tolist():
+            at = _runs(found[first[i] : first[i] + z[i] - a[i]])
+            if at:
+                runs.setdefault(int(row[i]), []).extend((np.array(at) + a[i]).tolist())
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][4] for i in runs], pa.binary()), pa.array([rows[i][5] for i in runs], pa.int64()), pa.array(runs.values(), pa.list_(pa.int64()))], names=["key", "start", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+        hasher, rows, size = SpanHash(), [], 0
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size > CHUNK_BYTES and r[0] != rows[-1][0]:
-                    yield solved(rows)
+                    yield solved(rows, hasher)
                     rows, size = [], 0
                 rows.append(r)
-                size += len(r[3])
+                size += len(r[6])
         if rows:
-            yield solved(rows)
+            yield solved(rows, hasher)
 
-    sorted_ = pieces.select("anchor", "content", "copies", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    return sorted_.mapInArrow(run, "content binary, runs array<long>")
+    sorted_ = pieces.select("anchor", "n", "lead", "copies", "key", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    return sorted_.mapInArrow(run, "key binary, start long, runs array<long>")
 
 
 def _blocks(active: DataFrame, block: int, length: int) -> DataFrame:
-    """Rows (core, whole, content, a, z, copies): the windows a to z of a segment that lie in one block.
+    """Rows (core, whole, key, start, a, z, copies): the windows a to z of a segment that lie in one block.
 
     active has a row for each segment, with its open runs of windows (a, z) and what each stands for (n).
     Blocks are laid out from the anchor, so equal windows are in blocks of one number. core hashes the bytes
@@ -247,7 +317,7 @@ def _blocks(active: DataFrame, block: int, length: int) -> DataFrame:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             out: list[tuple] = []
-            for anchor, content, lead, raw, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, key, start, lead, raw, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for run_ in runs:
                     a, end, copies = run_["a"], run_["z"], run_["n"]
                     while a < end:
@@ -255,31 +325,31 @@ def _blocks(active: DataFrame, block: int, length: int) -> DataFrame:
                         z = min(end, (number + 1) * block + lead)
                         mark = b"%d %d " % (anchor, number)
                         core = digest(mark + raw[(number + 1) * block + lead - 1 : number * block + lead + length])
-                        out.append((core, digest(mark + b"%d %d " % (a - lead, z - lead) + raw[a : z - 1 + length]), content, a, z, copies))
+                        out.append((core, digest(mark + b"%d %d " % (a - lead, z - lead) + raw[a : z - 1 + length]), key, start, a, z, copies))
                         a = z
-            kinds = pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()
-            names = ["core", "whole", "content", "a", "z", "copies"]
+            kinds = pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()
+            names = ["core", "whole", "key", "start", "a", "z", "copies"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
-    return active.select("anchor", "content", "lead", "bytes", "runs").mapInArrow(run, "core binary, whole binary, content binary, a long, z long, copies long")
+    return active.select("anchor", "key", "start", "lead", "bytes", "runs").mapInArrow(run, "core binary, whole binary, key binary, start long, a long, z long, copies long")
 
 
 def _by_blocks(pieces: DataFrame, length: int) -> DataFrame:
-    """Rows (content, runs) for anchors with very many segments; no task holds the segments of one anchor."""
+    """Rows (key, start, runs) for anchors with very many segments; no task holds the segments of one anchor."""
     pieces = write_and_read(pieces)
     active = pieces.withColumn("runs", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").cast("long").alias("z"), F.col("copies").alias("n"))))
     found: DataFrame | None = None
     for block in (b for b in BLOCKS if b <= length // 2):
         rows = write_and_read(_blocks(active, block, length))
-        counted = rows.groupBy("core", "whole").agg(F.sum("copies").alias("n"), F.min(F.struct("content", "a", "z")).alias("one"))
-        hits = rows.join(counted.where("n > 1").select("core", "whole"), ["core", "whole"]).select("content", "a", "z")
+        counted = rows.groupBy("core", "whole").agg(F.sum("copies").alias("n"), F.min(F.struct("key", "start", "a", "z")).alias("one"))
+        hits = rows.join(counted.where("n > 1").select("core", "whole"), ["core", "whole"]).select("key", "start", "a", "z")
         found = hits if found is None else found.unionByName(hits)
         if block > 1:
             # of each kind of block in a core with several kinds one goes on, with the count of all it stands for
             several = counted.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
-            open_ = counted.join(several, "core").groupBy("one.content").agg(F.sort_array(F.collect_list(F.struct("one.a", "one.z", "n"))).alias("runs"))
-            active = pieces.join(open_, "content")
-    return found.groupBy("content").agg(F.flatten(F.sort_array(F.collect_list(F.array("a", "z")))).alias("runs"))
+            open_ = counted.join(several, "core").groupBy("one.key", "one.start").agg(F.sort_array(F.collect_list(F.struct("one.a", "one.z", "n"))).alias("runs"))
+            active = pieces.join(open_, ["key", "start"])
+    return found.groupBy("key", "start").agg(F.flatten(F.sort_array(F.collect_list(F.array("a", "z")))).alias("runs"))
 
 
 def _key(text: Column) -> Column:
@@ -331,37 +401,31 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = docs.select(_key(text).alias("key"), text.alias("text"))
     long = docs.select(_key(text).alias("key"), text.alias("text")).where(F.octet_length("text") >= length)
-    all_ = _occurrences(long, length, gram)
-    # hashes of contents, as the least and greatest of numbers combine in place, which those of bytes do not
-    same = [F.min(h) == F.max(h) for h in (F.xxhash64("content"), F.xxhash64(F.lit(1), "content"))]
-    anchors = all_.groupBy("anchor").agg(F.count("*").alias("m"), (same[0] & same[1]).alias("alike")).where("m > 1").select("anchor", "alike")
+    anchors = _anchors(long, length, gram).groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
     # written, so that the join shuffles both sides and may split a frequent anchor's rows
-    kept = write_and_read(all_.join(write_and_read(anchors), "anchor"))
-    alike, mixed = kept.where("alike"), kept.where("not alike")
-    distinct = mixed.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n")).alias("one"))
-    per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("contents"))
-    distinct = cut(distinct.join(per_anchor, "anchor"))
+    kept = write_and_read(_occurrences(long, length, gram).join(write_and_read(anchors), "anchor"))
+    distinct = cut(kept.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n", "lead")).alias("one")))
+    per_anchor = distinct.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("copies").alias("fewest")).where("contents > 1 and fewest = 1")
+    open_ = distinct.join(per_anchor.select("anchor", "contents"), "anchor").select("anchor", "copies", "contents", "one.*")
     keys, source = kept.select("key"), long
     if words:
         in_words = write_and_read(passages(every).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("passages")))
         keys, source = keys.unionByName(in_words.select("key")), every
     texts = write_and_read(source.join(keys.distinct(), "key", "left_semi").dropDuplicates(["key"]))
 
-    needed = distinct.groupBy("one.key").agg(F.collect_list(F.struct("anchor", "content", "copies", "contents", F.col("one.start").alias("start"), F.col("one.n").alias("n"))).alias("parts"))
-    parts = texts.join(needed, "key").select(F.col("text").cast("binary").alias("raw"), F.explode("parts").alias("p"))
-    bytes_ = F.substring(F.col("raw"), (F.col("p.start") + 1).cast("int"), (F.col("p.n") + length - 1).cast("int"))
-    pieces = parts.select("p.*", bytes_.alias("bytes"))
-    few = _by_suffixes(pieces.where(F.col("contents") <= hot), length)
-    many = _lead(pieces.where(F.col("contents") > hot), length, gram)
-    found = few.unionByName(_by_blocks(many, length)).where(F.size("runs") > 0)
-
-    whole = alike.groupBy("key", "start").agg(F.first("n").cast("long").alias("n")).select("key", "start", F.array(F.lit(0).cast("long"), "n").alias("runs"))
-    partly = mixed.select("key", "start", "content").distinct().join(found, "content").select("key", "start", "runs")
-    spans = whole.unionByName(partly).groupBy("key").agg(F.collect_list(F.struct("start", "runs")).alias("starts"))
+    def pieces(some: DataFrame) -> DataFrame:
+        needed = some.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "n", "lead", "copies", "contents")).alias("parts"))
+        return _pieces(texts.join(needed, "key"), length)
+
+    few = _by_suffixes(pieces(open_.where(F.col("contents") <= hot)), length, gram)
+    found = few.unionByName(_by_blocks(pieces(open_.where(F.col("contents") > hot)), length))
+    settled = kept.join(distinct.where("copies > 1").select("content"), "content", "left_semi")
+    whole = settled.groupBy("key", "start").agg(F.first("n").cast("long").alias("n")).select("key", "start", F.array(F.lit(0).cast("long"), "n").alias("runs"))
+    spanned = whole.unionByName(found).groupBy("key").agg(F.collect_list(F.struct("start", "runs")).alias("starts"))
     if words:
-        spans = spans.join(in_words, "key", "full_outer")
+        spanned = spanned.join(in_words, "key", "full_outer")
     else:
-        spans = spans.withColumn("passages", F.lit(None).cast("array<struct<at: int, n: int>>"))
+        spanned = spanned.withColumn("passages", F.lit(None).cast("array<struct<at: int, n: int>>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,19 +443,7 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
             kinds = pa.int64(), pa.int64(), pa.string(), pa.string()
             yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return texts.join(spans, "key").select("key", "text", "starts", "passages").mapInArrow(run, "key binary, n_removed long, n_spans long, kept_sha256 string, kept string")
-
-
-def _lead(pieces: DataFrame, length: int, gram: int) -> DataFrame:
-    """pieces with the place of the anchor in each segment."""
-
-    def lead(bytes_: pa.Array, n: pa.Array) -> pa.Array:
-        hasher = SpanHash()
-        data, offsets = utf8(bytes_)
-        return pa.array([int(segments(data[a:b], hasher, length, gram)[2][0]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.int64())
-
-    lead.__annotations__ = {"bytes_": pa.Array, "n": pa.Array, "return": pa.Array}
-    return pieces.withColumn("lead", F.arrow_udf(lead, "long")("bytes", "n"))
+    return texts.join(spanned, "key").select("key", "text", "starts", "passages").mapInArrow(run, "key binary, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -4,8 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 
+from tessella.llm.common import SpanHash
+
 #: Signs in one 63-bit word of nine bits each.
 PACK = 7
+#: Neighbours in order that are compared at once.
+ROWS = 2048
+
+
+def _hashes(text: np.ndarray, places: np.ndarray, depth: int, hasher: SpanHash) -> np.ndarray:
+    """Hashes of the depth bytes from each place on, or of those up to the end."""
+    return hasher.of(hasher.totals(text), places, np.minimum(places + depth, len(text)))
 
 
 def _packed(signs: np.ndarray, room: int) -> np.ndarray:
@@ -26,10 +35,10 @@ def _smaller_than_next(signs: np.ndarray) -> np.ndarray:
     return np.append(step[nearest] > 0, False)
 
 
-def _sorted_directly(places: np.ndarray, packed: np.ndarray, depth: int) -> np.ndarray:
-    """Places in order of their suffixes' first depth signs, word by word within groups that still tie."""
-    order = places[np.argsort(packed[places], kind="stable")]
-    key = packed[order]
+def _sorted_directly(number: np.ndarray, place: np.ndarray, packed: np.ndarray, depth: int) -> np.ndarray:
+    """Numbers in order of the first depth signs of the suffixes at their places, word by word within groups that still tie."""
+    order = number[np.argsort(packed[place], kind="stable")]
+    key = packed[place[order]]
     new = np.ones(len(order), bool)
     new[1:] = key[1:] != key[:-1]
     for at in range(PACK, depth, PACK):
@@ -41,7 +50,7 @@ def _sorted_directly(places: np.ndarray, packed: np.ndarray, depth: int) -> np.n
         if not len(rows):
             break
         group, here = group[rows], order[rows]
-        key = packed[here + at]
+        key = packed[place[here] + at]
         by = np.lexsort((key, group))
         order[rows], key = here[by], key[by]
         split = np.ones(len(rows), bool)
@@ -50,8 +59,14 @@ def _sorted_directly(places: np.ndarray, packed: np.ndarray, depth: int) -> np.n
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """All places of a byte text in order of their suffixes' first depth bytes, and the packed words.
+def _classes(places: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each class of equal values, and each place's class."""
+    _, at, group = np.unique(value, return_index=True, return_inverse=True)
+    return places[at], group
+
+
+def suffix_array(text: np.ndarray, depth: int, hasher: SpanHash) -> np.ndarray:
+    """All places of a byte text in order of their suffixes' first depth bytes.
 
     Suffixes smaller than their successors are sorted directly. Each other suffix is its first sign before a
     smaller suffix, so a scan from the least bucket upward appends it to its own bucket in the right order;
@@ -60,7 +75,13 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     signs = np.append(text.astype(np.int16) + 1, 0).astype(np.int16)
     packed = _packed(signs, depth + PACK)
     smaller = _smaller_than_next(signs)
-    direct = _sorted_directly(np.flatnonzero(smaller), packed, depth)
+    # suffixes that are equal up to depth are sorted as one
+    places = np.flatnonzero(smaller)
+    one, group = _classes(places, _hashes(text, places, depth, hasher))
+    rank = np.empty(len(one), np.int64)
+    by = _sorted_directly(np.arange(len(one)), one, packed, depth)
+    rank[by] = np.arange(len(one))
+    direct = places[np.argsort(rank[group], kind="stable")]
     borders = np.searchsorted(signs[direct], np.arange(258))
     waiting: list[list[np.ndarray]] = [[] for _ in range(257)]
     waiting[0].append(np.array([len(text)]))
@@ -89,36 +110,32 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
             for part in np.split(before, np.flatnonzero(np.diff(to)) + 1):
                 waiting[signs[part[0]]].append(part)
         waiting[sign] = []
-    return np.concatenate(out), packed
+    return np.concatenate(out)
 
 
-def common_prefixes(order: np.ndarray, packed: np.ndarray, depth: int) -> np.ndarray:
-    """Signs that each place's suffix shares with the one before it in order, in whole words up to depth."""
+def common_prefixes(order: np.ndarray, text: np.ndarray, depth: int) -> np.ndarray:
+    """Bytes that each place's suffix shares with the one before it in order, up to depth (0 for the first)."""
     shared = np.zeros(len(order), np.int64)
-    live = np.arange(1, len(order))
-    for at in range(0, depth, PACK):
-        if not len(live):
-            break
-        a, b = packed[order[live] + at], packed[order[live - 1] + at]
-        same = a == b
-        if at + PACK > depth:  # the last word counts only as far as depth
-            cut = 9 * (at + PACK - depth)
-            same = (a >> cut) == (b >> cut)
-        live = live[same]
-        shared[live] = min(depth, at + PACK)
+    wide = np.lib.stride_tricks.sliding_window_view(np.append(text, np.zeros(depth, text.dtype)), depth)
+    left = len(text) - order
+    for a in range(1, len(order), ROWS):
+        here, before = order[a : a + ROWS], order[a - 1 : a - 1 + ROWS][: len(order) - a]
+        differs = wide[here] != wide[before]
+        most = np.minimum(np.minimum(left[a : a + ROWS], left[a - 1 : a - 1 + ROWS][: len(order) - a]), depth)
+        shared[a : a + ROWS] = np.minimum(np.where(differs.any(axis=1), differs.argmax(axis=1), depth), most)
     return shared
 
 
-def repeated(text: np.ndarray, valid: np.ndarray, weight: np.ndarray, depth: int) -> np.ndarray:
+def repeated(text: np.ndarray, valid: np.ndarray, weight: np.ndarray, depth: int, hasher: SpanHash) -> np.ndarray:
     """For each place, whether it is valid and its next depth bytes also start at another valid place.
 
     weight tells how many occurrences a place stands for.
     """
-    order, packed = suffix_array(text, depth)
+    order = suffix_array(text, depth, hasher)
     order = order[order < len(text)]
     order = order[valid[order]]
     out = np.zeros(len(text), bool)
     if len(order):
-        group = np.cumsum(common_prefixes(order, packed, depth) < depth) - 1
+        group = np.cumsum(common_prefixes(order, text, depth) < depth) - 1
         out[order] = np.bincount(group, weight[order])[group] > 1
     return out

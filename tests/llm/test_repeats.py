@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tessella.llm import repeats
+from tessella.llm.common import SpanHash
 from tessella.llm.suffixes import repeated, suffix_array
 
 
@@ -30,7 +31,7 @@ def test_suffix_arrays():
         if trial % 5 == 0 and len(text):
             text = np.tile(text[: max(1, len(text) // 7)], 7)
         raw, n = text.tobytes(), len(text)
-        order, _ = suffix_array(text, 400)
+        order = suffix_array(text, 400, SpanHash())
         assert order.tolist() == sorted(range(n + 1), key=lambda i: raw[i:])
         for depth in (3, 7, 10):
             valid = (rng.random(n) < 0.9) & (np.arange(n) + depth <= n)
@@ -38,7 +39,7 @@ def test_suffix_arrays():
             count = Counter()
             for i in np.flatnonzero(valid):
                 count[raw[i : i + depth]] += weight[i]
-            assert repeated(text, valid, weight, depth).tolist() == [bool(v and count[raw[i : i + depth]] > 1) for i, v in enumerate(valid)]
+            assert repeated(text, valid, weight, depth, SpanHash()).tolist() == [bool(v and count[raw[i : i + depth]] > 1) for i, v in enumerate(valid)]
 
 
 def planted(seed):
