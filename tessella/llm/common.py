@@ -59,6 +59,12 @@ def write_and_read(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def done(table_: DataFrame) -> None:
+    """Delete the tables of write_and_read() that a frame is read from: for when nothing else needs them."""
+    names = {file.split("/")[-2] for file in table_.inputFiles()}
+    discard(table_.sparkSession, [f"{p}/" for p in _WRITTEN if p.rsplit("/", 1)[1] not in names])
+
+
 def discard(spark: SparkSession, keep: Iterable[str] = ()) -> None:
     """Delete the tables of write_and_read() that hold none of the files to keep: for when what was made from them is written."""
     names = {name for file in keep for name in file.split("/")[-2:-1]}

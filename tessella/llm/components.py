@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import cut
 
+#: Links that a partition holds at least, on average.
+ROWS = 100_000
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the node's least neighbour (itself included)."""
@@ -27,10 +30,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round is three to four shuffles over links only; it ends when every node hangs on its least one.
     A hub is never gathered: its links are split by AQE's skew handling and reduced by partial aggregates.
+    Rounds keep as many partitions as there are links for (ROWS each): few links in many files cost more than the work.
     """
     links = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    parts = -(-links.count() // ROWS) or 1
     while True:
-        links = cut(_small_star(_large_star(links)))
+        links = cut(_small_star(_large_star(links.coalesce(parts))).coalesce(parts))
         # done when each node has one link, and no node is both linked and linked to
         roots = links.select(F.col("b").alias("a")).distinct()
         many = links.groupBy("a").count().where("count > 1")

@@ -120,10 +120,10 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def classes(found: DataFrame, id_col: str, linked: DataFrame | None = None) -> DataFrame:
-    """Rows (fp, root, component_id) of all distinct fingerprints of (id_col, fp), by links (a, b) or those of links()."""
+def classes(found: DataFrame, id_col: str, grouped: DataFrame | None = None) -> DataFrame:
+    """Rows (fp, root, component_id) of all distinct fingerprints of (id_col, fp), by components (node, component) or those of links()."""
     distinct = found.groupBy("fp").agg(F.min(id_col).alias("least"))
-    grouped = components(links(distinct.select("fp")) if linked is None else linked)
+    grouped = components(links(distinct.select("fp"))) if grouped is None else grouped
     rows = distinct.join(grouped, distinct.fp == grouped.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     return rows.join(rows.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
 
