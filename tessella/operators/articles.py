@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 
 # What is no prose in the supported projects.
 SKIP_TAGS = {"head", "title", "script", "style", "nav", "noscript", "figure", "iframe", "svg", "audio", "video", "h1", "footer"}
-SKIP_CLASSES = {"reference", "references", "mw-editsection", "thumb", "hatnote", "noprint", "navbox", "toc", "metadata", "infobox", "sidebar", "gallery", "printfooter", "catlinks", "ad"}
-NAMESPACES = ("Datei:", "File:", "Kategorie:", "Category:", "Spezial:", "Special:", "Hilfe:", "Help:", "Wikipedia:", "Portal:", "Vorlage:", "Template:")
+SKIP_CLASSES = {
+    "reference", "references", "mw-editsection", "thumb", "thumbinner", "thumbcaption", "hatnote", "noprint", "navbox", "toc", "metadata", "infobox", "sidebar", "mw-empty-elt", "gallery", "mw-references-wrap", "mw-indicators", "mw-jump-link", "printfooter",
+    "catlinks", "rellink", "noexcerpt", "mwe-math-element", "mwe-math-fallback-image-inline", "mw-kartographer-container", "mw-halign-right", "mw-halign-left", "BKL", "Begriffsklaerung", "ad",
+}
+SKIP_CLASS_BEGINS = ("vector-toc", "mw-indicator", "mw-jump", "navbox-", "infobox_", "Vorlage_Begriffskl")
+SKIP_IDS = {"toc", "mw-navigation", "footer", "siteNotice", "mw-panel", "mw-head", "p-lang"}
+NAMESPACES = (
+    "Datei:", "File:", "Kategorie:", "Category:", "Spezial:", "Special:", "Hilfe:", "Help:", "Wikipedia:", "Portal:", "Vorlage:", "Template:", "Diskussion:", "Benutzer:", "Klexikon:", "Wikibooks:", "Wikiversity:", "Media:", "Bild:",
+)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 LEVELS = {"h2": 2, "h3": 3, "h4": 4, "h5": 4, "h6": 4}
 BLOCKS = {"p", "blockquote", "dd", "dt", "div", "pre", "section", "article", "ul", "ol", "table"}
@@ -68,7 +75,8 @@ class _Reader(HTMLParser):
         self.in_title = tag == "h1"
         classes = set((named.get("class") or "").split())
         plain = tag == "table" and "wikitable" not in classes
-        if tag in SKIP_TAGS - {"h1"} or classes & SKIP_CLASSES or plain:
+        marked = classes & SKIP_CLASSES or any(c.startswith(SKIP_CLASS_BEGINS) for c in classes) or named.get("id") in SKIP_IDS
+        if tag in SKIP_TAGS - {"h1"} or plain or marked and tag not in ("html", "body", "main"):
             if tag in BLOCKS:  # what is skipped inside a line does not end it
                 self._flush()
             if tag not in VOID:

@@ -126,3 +126,11 @@ def test_composed_documents_read_back(spark):
     back = {(r.d, r.slot): r for r in C.parsed_sections(docs, "d").collect()}
     assert set(back) == {("d", "a"), ("d", "b"), ("e", "a")} and all(r.untouched for r in back.values())
     assert back[("e", "a")].body == "x\n\n## nicht\n\ny" and back[("d", "b")].body == ""
+
+
+def test_skipped_parts_of_articles(spark):
+    from tessella.operators.articles import parsed
+
+    html = '<body class="metadata"><h1>T</h1><p>one</p><div class="infobox_x">no</div><div id="siteNotice"><p>no</p></div><span class="mw-jump-link">no</span><p>two<span class="noexcerpt">no</span></p><p><a href="Media:x">m</a></p></body>'
+    (row,) = parsed(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()
+    assert [p.text for s in row.sections for p in s.paragraphs] == ["one", "two", "m"] and not any(s.links for s in row.sections)
