@@ -39,7 +39,8 @@ def events(messages: DataFrame, pair_turns: bool = True) -> DataFrame:
     rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), text.alias("text"))
     rows = rows.withColumn("json", F.when(F.ltrim("text").startswith("{"), F.from_json("text", _SHAPE)))
     plain = F.col("json").isNull() | F.coalesce("json.content", "json.tool_call_id").isNull() & F.col("json.tool_calls").isNull()
-    here, before = F.concat_ws(":", "conv_id", "turn"), F.concat_ws(":", "conv_id", F.col("turn") - 1)
+    # null without a conversation or a turn: such messages are never linked
+    here, before = F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")), F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - 1).cast("string"))
     asks, answers = F.lit(pair_turns) & plain & (F.col("role") == "user"), F.lit(pair_turns) & plain & (F.col("role") == "assistant")
     none = F.lit(None).cast("string")
     entry = lambda kind, call, name, arguments, content: F.struct(kind.alias("kind"), call.alias("call_id"), name.alias("name"), arguments.alias("arguments"), content.alias("content"))
@@ -140,13 +141,13 @@ OP8_SQL = """
 WITH m AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations),
 e AS (
   SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-         CASE role WHEN 'user' THEN concat_ws(':', conv_id, turn) WHEN 'assistant' THEN concat_ws(':', conv_id, turn - 1) END AS call_id
+         CASE role WHEN 'user' THEN conv_id || ':' || turn WHEN 'assistant' THEN conv_id || ':' || (turn - 1) END AS call_id
   FROM m),
 g AS (
   SELECT conv_id, call_id, min(turn) FILTER (kind = 'call') AS call_turn, count(*) FILTER (kind = 'result') AS results
   FROM e WHERE call_id IS NOT NULL GROUP BY conv_id, call_id)
 SELECT e.conv_id, turn, 0 AS seq, role, kind, e.call_id,
-       CASE kind WHEN 'call' THEN results > 0 WHEN 'result' THEN call_turn IS NOT NULL END AS linked, '' AS errors,
+       CASE kind WHEN 'call' THEN coalesce(results > 0, false) WHEN 'result' THEN call_turn IS NOT NULL END AS linked, '' AS errors,
        greatest(turn, coalesce(call_turn, turn)) AS order_turn, CASE kind WHEN 'result' THEN 1 ELSE 0 END AS order_level,
        CASE kind
          WHEN 'call' THEN '{"arguments":{"text":' || to_json(text) || '},"call_id":' || to_json(e.call_id) || ',"conv_id":' || e.conv_id || ',"kind":"call","name":"reply","role":' || to_json(role) || ',"turn":' || turn || '}'

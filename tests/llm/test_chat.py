@@ -72,3 +72,8 @@ def test_plain_dialogue_and_empty_table(spark, schemas):
     assert formatted.count() == 0
     plan = formatted._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_messages_without_a_turn_or_a_conversation_are_not_linked(spark, schemas):
+    rows = run(spark, [(1, None, "user", "a"), (1, None, "assistant", "b"), (None, 0, "user", "c"), (None, 1, "assistant", "d"), (1, 4, "user", "e"), (1, 5, "assistant", "f")], schemas, pair=True)
+    assert {(r.conv_id, r.turn, r.linked, r.call_id) for r in rows} == {(1, None, False, None), (None, 0, False, None), (None, 1, False, None), (1, 4, True, "1:4"), (1, 5, True, "1:4")}
