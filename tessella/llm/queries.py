@@ -10,6 +10,7 @@ from tessella.llm.repeats import op4_suffix_dedup
 from tessella.llm.sharding import op7_sharding
 from tessella.llm.simhash import op6_simhash
 from tessella.llm.tiff import op10_tiff
+from tessella.llm.whitening import op12_whitening
 
 QUERIES = {
     "op1_bpe": op1_bpe,
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_html": op9_html,
     "op10_tiff": op10_tiff,
+    "op12_whitening": op12_whitening,
     "chat_tool_calls": chat_tool_calls,
 }
 ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL, "op8_chat": OP8_SQL, "chat_tool_calls": TOOL_CALLS_SQL}
