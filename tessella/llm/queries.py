@@ -9,6 +9,7 @@ from tessella.llm.quality import op2_quality
 from tessella.llm.repeats import op4_suffix_dedup
 from tessella.llm.sharding import op7_sharding
 from tessella.llm.simhash import op6_simhash
+from tessella.llm.spelling import OP11_SQL, op11_spelling
 from tessella.llm.tiff import op10_tiff
 from tessella.llm.whitening import op12_whitening
 
@@ -23,7 +24,8 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_html": op9_html,
     "op10_tiff": op10_tiff,
+    "op11_spelling": op11_spelling,
     "op12_whitening": op12_whitening,
     "chat_tool_calls": chat_tool_calls,
 }
-ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL, "op8_chat": OP8_SQL, "chat_tool_calls": TOOL_CALLS_SQL}
+ORACLES: dict[str, str] = {"op5_decontamination": OP5_SQL, "op8_chat": OP8_SQL, "op11_spelling": OP11_SQL, "chat_tool_calls": TOOL_CALLS_SQL}
