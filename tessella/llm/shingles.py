@@ -46,17 +46,17 @@ REMEMBERED = 2_000_000
 _FACTORS = np.random.default_rng(42).integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def shingles(text: bytes) -> np.ndarray:
+def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
     words, digest = text.lower().split(), xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         return np.array([digest(b" ".join(words), 42)] if words else [], np.uint64)
     whole, at, start, end = b" ".join(words), 0, [], []
     for n in map(len, words):
         start.append(at)
         end.append(at + n)
         at += n + 1
-    return np.unique(np.array([digest(whole[a:b], 42) for a, b in zip(start, end[SHINGLE - 1 :], strict=False)], np.uint64))
+    return np.unique(np.array([digest(whole[a:b], 42) for a, b in zip(start, end[size - 1 :], strict=False)], np.uint64))
 
 
 def _keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -97,15 +97,15 @@ def sketch(texts: DataFrame) -> DataFrame:
 class Sets:
     """The shingles of texts that a task meets again and again; forgets all beyond REMEMBERED shingles."""
 
-    def __init__(self) -> None:
+    def __init__(self, size: int = SHINGLE) -> None:
         self.known: dict[int, np.ndarray] = {}
-        self.held = 0
+        self.held, self.size = 0, size
 
     def of(self, fp: int, text: pa.Scalar) -> np.ndarray:
         if fp not in self.known:
             if self.held > REMEMBERED:
                 self.known, self.held = {}, 0
-            self.known[fp] = shingles(text.as_buffer().to_pybytes())
+            self.known[fp] = shingles(text.as_buffer().to_pybytes(), self.size)
             self.held += len(self.known[fp])
         return self.known[fp]
 
