@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -47,31 +49,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Tables of write_and_read() that are still there, in order.
-_WRITTEN: list[str] = []
+#: Where write_and_read() notes its tables while an owner is at work.
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def owning() -> Iterator[list[str]]:
+    """The paths of the tables that write_and_read() writes meanwhile: the owner deletes them when what reads them is done."""
+    paths: list[str] = []
+    token = _OWNED.set(paths)
+    try:
+        yield paths
+    finally:
+        _OWNED.reset(token)
 
 
 def write_and_read(df: DataFrame) -> DataFrame:
-    """Like cut(), as a compressed table in the shared folder: for rows with texts. See discard()."""
+    """Like cut(), as a compressed table in the shared folder: for rows with texts. See owning() and done()."""
     path = f"{_shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    if (owned := _OWNED.get()) is not None:
+        owned.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def done(table_: DataFrame) -> None:
-    """Delete the tables of write_and_read() that a frame is read from: for when nothing else needs them."""
-    names = {file.split("/")[-2] for file in table_.inputFiles()}
-    discard(table_.sparkSession, [f"{p}/" for p in _WRITTEN if p.rsplit("/", 1)[1] not in names])
-
-
-def discard(spark: SparkSession, keep: Iterable[str] = ()) -> None:
-    """Delete the tables of write_and_read() that hold none of the files to keep: for when what was made from them is written."""
-    names = {name for file in keep for name in file.split("/")[-2:-1]}
-    for path in [p for p in _WRITTEN if p.rsplit("/", 1)[1] not in names]:
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables of write_and_read(); those that are gone already are left out."""
+    for path in paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        _WRITTEN.remove(path)
+
+
+def tables(df: DataFrame) -> set[str]:
+    """The names of the tables of write_and_read() that a frame is read from."""
+    return {file.split("/")[-2] for file in df.inputFiles() if file.split("/")[-3:-2] == ["tables"]}
+
+
+def done(table_: DataFrame) -> None:
+    """Delete the tables of write_and_read() that a frame is read from: for when nothing else needs them."""
+    spark = table_.sparkSession
+    delete(spark, [f"{_shared_folder(spark)}/tables/{name}" for name in tables(table_)])
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

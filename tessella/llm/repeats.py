@@ -46,6 +46,8 @@ _BYTES = np.arange(256)
 _IS_BLANK = (_BYTES == 32) | (_BYTES >= 9) & (_BYTES <= 13)
 _IS_LETTER = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 PLACE_BITS = 24
+#: Groups of one content's segments, at least, and segments of a group if all were of one content.
+SALTS, PACKED = 1024, 10_000
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -352,6 +354,18 @@ def _by_blocks(pieces: DataFrame, length: int) -> DataFrame:
     return found.groupBy("key", "start").agg(F.flatten(F.sort_array(F.collect_list(F.array("a", "z")))).alias("runs"))
 
 
+def _settled(kept: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Rows (key, start, n) of the segments in kept whose content has copies.
+
+    A passage that very many texts share has as many segments of one content. They are packed into groups of bounded
+    size, so that the join meets groups, and unpacked in even parts.
+    """
+    salts = max(SALTS, kept.count() // PACKED)
+    packed = kept.groupBy("content", F.pmod(F.xxhash64("key"), F.lit(salts)).alias("salt")).agg(F.collect_list(F.struct("key", "start", "n")).alias("rows"))
+    found = packed.join(distinct.where("copies > 1").select("content"), "content", "left_semi")
+    return found.select("rows").hint("rebalance").select(F.inline("rows"))
+
+
 def _key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
@@ -419,8 +433,7 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
 
     few = _by_suffixes(pieces(open_.where(F.col("contents") <= hot)), length, gram)
     found = few.unionByName(_by_blocks(pieces(open_.where(F.col("contents") > hot)), length))
-    settled = kept.join(distinct.where("copies > 1").select("content"), "content", "left_semi")
-    whole = settled.groupBy("key", "start").agg(F.first("n").cast("long").alias("n")).select("key", "start", F.array(F.lit(0).cast("long"), "n").alias("runs"))
+    whole = _settled(kept, distinct).groupBy("key", "start").agg(F.first("n").cast("long").alias("n")).select("key", "start", F.array(F.lit(0).cast("long"), "n").alias("runs"))
     spanned = whole.unionByName(found).groupBy("key").agg(F.collect_list(F.struct("start", "runs")).alias("starts"))
     if words:
         spanned = spanned.join(in_words, "key", "full_outer")

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from tessella.llm import repeats
 from tessella.llm.common import write_and_read
 
 
@@ -45,3 +46,22 @@ def test_stages_take_odd_and_empty_documents(spark, odd, empty, tmp_path):
         assert encoded.count() == docs.count()
     clean = corpus_pipeline.decontamination_stage(spark, odd, str(tmp_path)).collect()
     assert len(clean) == odd.count() - 2 and all(r.doc_id != 5 or not (r.text or "").startswith("Same") for r in clean)
+
+
+def test_what_is_not_computed_yet_keeps_its_tables(spark, tmp_path):
+    """A result held while stages begin, and two pipelines in turns."""
+    rng = random.Random(2)
+    passage = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 99)) for _ in range(90))
+    docs = spark.createDataFrame([(i, f"{passage} {i}" if i % 2 else f"{i} {passage} {passage[:i]}") for i in range(40)], "doc_id long, text string")
+    held = repeats.removed(docs)
+    near, repeated = corpus_pipeline.near_duplicate_stage, corpus_pipeline.repeats_stage
+    one, two = repeated(spark, docs, ""), repeated(spark, docs.where("doc_id < 20"), "")
+    first = write_and_read(one)
+    further = near(spark, first, "")
+    second = write_and_read(two)
+    after = near(spark, second, "")
+    assert held.count() == 40 and first.count() == 40 and second.count() == 20
+    assert further.count() <= 40 and after.count() <= 20
+    # two was computed, so its tables went with the last stage that began; a stage over a frame that is not written keeps what it needs
+    chained = near(spark, repeated(spark, docs, ""), "")
+    assert near(spark, docs, "").count() <= 40 and chained.count() <= 40
