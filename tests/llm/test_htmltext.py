@@ -73,6 +73,43 @@ def test_main_text_without_an_article(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "with-nav", "post comments-open", "content-search", "article share-enabled", "notice-board", "page-header-visible", "social-history", "promoted", "sidebar", "comments"])
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_names_on_what_holds_the_text(tag, name):
+    page = f"<nav><p>{LONG} no</p></nav><{tag} class='{name}'><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></{tag}><footer>no</footer>"
+    assert main_text(page) == f"Head\n\n{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["comments", "comment-list", "related-posts", "site-footer", "page-header", "ad", "ad-slot", "social share-buttons", "cookie_banner", "newsletter-signup", "widget-area", "main-menu"])
+def test_names_of_what_is_no_text(name):
+    page = f"<div class=content><p>{LONG}</p><p>{LONG}</p></div><div class='{name}'><p>{LONG} no</p></div>"
+    assert main_text(page) == f"{LONG}\n\n{LONG}"
+    assert main_text(page.replace("div class=content", "article").replace("</div><div", "</article><div", 1)) == f"{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<form action=x><nav><p>no</p></nav><div><p>{LONG}</p><p>{LONG}</p></div></form>", f"{LONG}\n\n{LONG}"),
+        (f"<form><article><p>{LONG}</p><form><p>{LONG} no</p></form></article></form>", LONG),
+        (f"<div><p>{LONG}</p><form><p>{LONG} no</p></form></div>", LONG),
+        (f"<div id=content><p>{LONG}</p><p>{LONG}</p></div><section class='related'><article><p>{LONG} no</p></article></section>", f"{LONG}\n\n{LONG}"),
+        (f"<div class=ad>{LONG}</div><article><h1>Head</h1><p>Short.</article>", "Head\n\nShort."),
+        # comments longer than the article are comments
+        (f"<article><p>{LONG}</p></article><div class=comments>{f'<p>{LONG} no</p>' * 9}</div>", LONG),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><div class=comments>{f'<p>{LONG} no</p>' * 5}</div>", f"{LONG}\n\n{LONG}"),
+        (f"<div class=overlay><p>{LONG}</p><p>{LONG}</p><div class=comments><p>{LONG} no</p></div></div>", f"{LONG}\n\n{LONG}"),
+    ],
+)
+def test_forms_and_names_around_a_page(html, text):
+    assert main_text(html) == text
+
+
+def test_articles_that_hold_little_do_not_stand_for_the_page():
+    page = f"<div id=content>{f'<p>{LONG}</p>' * 5}</div><section class=more-stories><article><p>A teaser.</p></article></section>"
+    assert main_text(page).startswith("\n\n".join([LONG] * 5))
+
+
 def brute_labels(found, has_main):
     """Both passes by their description, each ambiguous block searched outward."""
     first = htmltext.first_labels(found, has_main)
@@ -87,7 +124,7 @@ def brute_labels(found, has_main):
         elif near == {0} and not b.main:
             out[i] = 0
         else:
-            out[i] = int(b.heading or b.text[-1] in ".!?" or htmltext._stop_share(b.text) >= htmltext.STOPS)
+            out[i] = int(b.heading or b.text[-1] in ".!?" or b.stop_share() >= htmltext.STOPS)
     return out
 
 
