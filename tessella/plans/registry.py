@@ -44,4 +44,5 @@ from tessella.plans import (  # noqa: E402, F401  the modules register their que
     archives,
     composing,
     resolving,
+    reading,
 )
