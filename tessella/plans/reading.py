@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import formulas as L
-from tessella.plans.registry import query, table
+from tessella.operators import inverted
+from tessella.plans.ranking import chunks, slots
+from tessella.plans.registry import ORACLES, query, table
 from tessella.sources import zim
 from tessella.sources.shared import shared_folder
 
@@ -31,3 +33,11 @@ def a1_archive_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     zim.save(pages, folder)
     found = zim.contents(zim.entries(spark, folder, 1_000))
     return found.select("path", "title", "mime", F.md5("content").alias("digest"))
+
+
+@query("a7_indexed_search", ORACLES["a7_search"])
+def a7_indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of a7_search by an index of all paragraphs that is written before."""
+    path = shared_folder(spark, "indexes")
+    inverted.build(chunks(spark, sf_dir).select("chunk_id", "text"), path)
+    return inverted.search(spark, slots(spark, sf_dir), path)
