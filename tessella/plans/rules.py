@@ -13,6 +13,7 @@ from tessella.operators import lexicon as L
 from tessella.operators import mentions as M
 from tessella.operators import policy as P
 from tessella.plans.ranking import PARAGRAPHS_SQL, WORDS_SQL, paragraphs
+from tessella.operators import dictionary
 from tessella.plans.registry import query, table
 
 
@@ -203,11 +204,26 @@ d AS (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS title, lower(text)
 SELECT item_id, count(*) AS n, sum(CASE WHEN position(word IN title) > 0 THEN 3 ELSE 0 END + 1)::BIGINT AS score, min(position(word IN body))::BIGINT AS first FROM e JOIN d ON word <> '' AND position(word IN body) > 0 GROUP BY item_id""",
 )
 def d17_entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A word counts 3 in the title and 1 in the text; the words are the small side of a containment join."""
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1)).alias("word")).where("word <> ''")
-    docs = table(spark, sf_dir, "documents").select(F.lower(F.split("text", "\n")[0]).alias("title"), F.lower("text").alias("body"))
-    met = docs.join(words, F.contains("body", "word"))
-    return met.groupBy("item_id").agg(F.count("*").alias("n"), F.sum(F.when(F.contains("title", "word"), 4).otherwise(1)).cast("long").alias("score"), F.min(F.expr("instr(body, word)")).cast("long").alias("first"))
+    """A word counts 3 in the title and 1 in the text; the words are a dictionary that titles and texts are read against."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.regexp_extract("text", "^([A-Za-z]+)", 1)).alias("word"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.split("text", "\n")[0]).alias("title"), F.lower("text").alias("body"))
+    in_body = dictionary.found(docs, ["doc_id"], "body", words, "item_id", "word")
+    in_title = dictionary.found(docs, ["doc_id"], "title", words, "item_id", "word").select("doc_id", "item_id", F.lit(True).alias("titled"))
+    met = in_body.join(in_title, ["doc_id", "item_id"], "left")
+    return met.groupBy("item_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("titled"), 4).otherwise(1)).cast("long").alias("score"), F.min("first").alias("first"))
+
+
+@query(
+    "r6_titles_in_texts",
+    r"""WITH t AS (SELECT item_id, regexp_extract(text, '^\S+ \S+') AS title FROM benchmark), m AS MATERIALIZED (SELECT doc_id, item_id, text, title FROM documents JOIN t ON title <> '' AND contains(text, title))
+SELECT doc_id, item_id, position(title IN text)::BIGINT AS first FROM m WHERE regexp_matches(text, '(^|[^\pL\pN_])' || regexp_escape(title) || '([^\pL\pN_]|$)')""",
+)
+def r6_titles_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of two words that stand as such in documents, with their first place as such or in other words."""
+    titles = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract("text", r"^\S+ \S+", 0).alias("title"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    as_words = dictionary.found(docs, ["doc_id"], "text", titles, "item_id", "title", words=True).select("doc_id", "item_id")
+    return dictionary.found(docs, ["doc_id"], "text", titles, "item_id", "title").join(as_words, ["doc_id", "item_id"]).select("doc_id", "item_id", "first")
 
 
 @query(

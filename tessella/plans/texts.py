@@ -9,6 +9,7 @@ from tessella.functions import text as X
 from tessella.operators import citations as C
 from tessella.operators import curriculum as U
 from tessella.operators import sharing as S
+from tessella.operators import neighbours as V
 from tessella.plans.ranking import PARAGRAPHS_SQL, WORDS_SQL, paragraphs
 from tessella.plans.registry import query, table
 
@@ -234,6 +235,19 @@ def c16_cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(ask, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.floor(value * 1e4 + 0.5).cast("long").alias("sim_e4"))
 
 
+@query(
+    "c16_nearest_vectors",
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 20 = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 9) AS sim FROM q JOIN v ON q.vec_id <> v.vec_id)
+SELECT query_id, vec_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id)::INTEGER AS place FROM s) WHERE place <= 10""",
+)
+def c16_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of each query vector (ids divisible by 20) among all, by cells, exactly."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = V.nearest(vectors, vectors.where("vec_id % 20 = 0"), exact=True)
+    return found.select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), "place")
+
+
 @query("m4_live_cache", "SELECT user_id, event_type, max(ts) AS last_ts, count(*) AS writes FROM events GROUP BY user_id, event_type HAVING max(ts) + INTERVAL 6 HOUR > (SELECT max(ts) FROM events)")
 def m4_live_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries whose last write is younger than six hours at the end of the log."""
