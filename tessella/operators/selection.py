@@ -1,34 +1,57 @@
-"""Selections that depend on what was taken before, one topic at a time: sentences once per text, questions in turns."""
+"""Selections that depend on what was taken before: sentences once per text, questions in turns."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+UNKNOWN, PRINTED, LEFT = 0, 1, 2
+
+
+def _settled(state: DataFrame) -> DataFrame:
+    """One round over chunks (topic, at, most, marks, status): what is known of each sentence after it.
+
+    A sentence is left if its mark is printed before it or its chunk is full, and printed if no earlier one of its mark can
+    be printed any more and all sentences before it in its chunk are settled.
+    """
+    each = state.select("topic", "at", F.posexplode(F.arrays_zip("marks", "status")).alias("i", "s")).select("topic", F.struct("at", "i").alias("place"), "s.marks", "s.status")
+    earliest = lambda kind: F.min(F.when(F.col("status") == kind, F.col("place")))
+    firsts = each.where(F.col("status") != LEFT).groupBy("topic", "marks").agg(earliest(PRINTED).alias("printed"), earliest(UNKNOWN).alias("unknown")).where("unknown IS NOT NULL")
+    met = each.where(F.col("status") == UNKNOWN).join(firsts, ["topic", "marks"])
+    seen = F.coalesce(F.col("printed") < F.col("place"), F.lit(False))
+    told = met.select("topic", "place.at", F.struct(F.col("place.i").alias("i"), F.struct(seen.alias("seen"), (F.col("unknown") == F.col("place")).alias("first")).alias("told")).alias("entry"))
+    told = told.groupBy("topic", "at").agg(F.map_from_entries(F.collect_list("entry")).alias("told"))
+
+    def step(acc: Column, i: Column) -> Column:
+        before, of = F.get(F.col("status"), i), F.col("told")[i]
+        now = F.when(before != UNKNOWN, before).when(of["seen"] | (acc["taken"] >= F.col("most")), LEFT).when(acc["sure"] & of["first"], PRINTED).otherwise(UNKNOWN)
+        return F.get(F.transform(F.array(now), lambda n: F.struct((acc["taken"] + (n == PRINTED).cast("int")).alias("taken"), (acc["sure"] & (n != UNKNOWN)).alias("sure"), F.concat(acc["status"], F.array(n)).alias("status"))), 0)
+
+    start = F.struct(F.lit(0).alias("taken"), F.lit(True).alias("sure"), F.array().cast("array<int>").alias("status"))
+    folded = F.aggregate(F.sequence(F.lit(0), F.size("marks") - 1), start, step, lambda acc: acc["status"])
+    return state.join(told, ["topic", "at"], "left").select("topic", "at", "most", "marks", F.when(F.col("told").isNull(), F.col("status")).otherwise(folded).alias("status"))
+
+
 def unseen_sentences(chunks: DataFrame, limit: int = 3, lead_limit: int = 5) -> DataFrame:
     """(topic, chunk_id, position, sentence): per chunk the first sentences that no earlier chunk printed.
 
     chunks has (topic, chunk_id, order, is_lead, sentences, fingerprints). A chunk stops at its limit, and what it
-    does not reach stays unseen for later chunks, so a topic is read in order; it holds the chunks it prints only.
+    does not reach stays unseen for later chunks. All chunks of all topics are settled at once, round by round, until nothing
+    is unknown: the earliest chunk that still waits is settled in each round, in practice almost all are after a few. No
+    topic is gathered; a chunk's own sentences are one row.
     """
-
-    def select(rows: pd.DataFrame) -> pd.DataFrame:
-        seen, out = set(), []
-        for r in rows.sort_values("order", kind="stable").itertuples():
-            taken = 0
-            for sentence, mark in zip(r.sentences, r.fingerprints, strict=True):
-                if mark in seen:
-                    continue
-                seen.add(mark)
-                out.append((r.topic, r.chunk_id, taken, sentence))
-                taken += 1
-                if taken >= (lead_limit if r.is_lead else limit):
-                    break
-        return pd.DataFrame(out, columns=["topic", "chunk_id", "position", "sentence"])
-
-    return chunks.groupBy("topic").applyInPandas(select, "topic string, chunk_id string, position long, sentence string")
+    rows = chunks.select("topic", "chunk_id", F.struct("order", "chunk_id", F.monotonically_increasing_id().alias("row")).alias("at"), F.when(F.col("is_lead"), lead_limit).otherwise(limit).alias("most"), "sentences", F.transform("fingerprints", lambda f: F.coalesce(f, F.lit("\0"))).alias("marks"))
+    rows = rows.where((F.size("marks") > 0) & F.col("topic").isNotNull()).checkpoint()
+    state = rows.select("topic", "at", "most", "marks", F.transform("marks", lambda _: F.lit(UNKNOWN)).alias("status"))
+    while True:
+        state = _settled(state).checkpoint()
+        if state.where(F.array_contains("status", UNKNOWN)).isEmpty():
+            break
+    printed = F.filter("sentences", lambda _, i: F.get(F.col("status"), i) == PRINTED)
+    found = rows.drop("most", "marks").join(state.select("topic", "at", "status"), ["topic", "at"])
+    return found.select("topic", "chunk_id", F.posexplode(printed).alias("position", "sentence")).withColumn("position", F.col("position").cast("long"))
 
 
 def take_turns(candidates: DataFrame, count: int, kinds: list[str], fillers: tuple[str, ...] = (), again: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import STOP_WORDS, words
+from tessella.operators import scans
 from tessella.operators import ngrams as G
 from tessella.operators import ranking as R
 from tessella.plans.registry import query, table
@@ -189,9 +190,8 @@ SELECT source, count(*) FILTER (total <= 20000) AS n_kept, coalesce(sum(n) FILTE
 def f6_character_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of each source in reading order up to a cap of signs: a prefix, as lengths are never negative."""
     rows = paragraphs(spark, sf_dir).select("source", "doc_id", "pos", F.length("text").cast("long").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("source").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0))
     fits = F.col("total") <= 20_000
-    return rows.withColumn("total", total).groupBy("source").agg(F.count(F.when(fits, 1)).alias("n_kept"), F.coalesce(F.sum(F.when(fits, F.col("n"))), F.lit(0)).alias("chars"), (F.max("total") > 20_000).alias("truncated"))
+    return scans.before(rows, ["source"], ["doc_id", "pos"], F.col("n")).withColumn("total", F.col("before") + F.col("n")).groupBy("source").agg(F.count(F.when(fits, 1)).alias("n_kept"), F.coalesce(F.sum(F.when(fits, F.col("n"))), F.lit(0)).alias("chars"), (F.max("total") > 20_000).alias("truncated"))
 
 
 @query("h1_words", f"SELECT doc_id, len(w) AS n, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, {WORDS_SQL.format('text')} AS w FROM documents)")

@@ -13,7 +13,7 @@ from tessella.operators import lexicon as L
 from tessella.operators import mentions as M
 from tessella.operators import policy as P
 from tessella.plans.ranking import PARAGRAPHS_SQL, WORDS_SQL, paragraphs
-from tessella.operators import dictionary
+from tessella.operators import dictionary, scans
 from tessella.plans.registry import query, table
 
 
@@ -272,6 +272,5 @@ def v7_fallback_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e11_citation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources numbered in reading order within a topic: ranked once per document, then joined to its paragraphs."""
     rows = paragraphs(spark, sf_dir).select("source", "doc_id", F.col("pos").cast("long").alias("pos"))
-    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long")
-    cited = rows.select("source", "doc_id").distinct().withColumn("number", number)
+    cited = scans.numbered(rows.select("source", "doc_id").distinct(), ["source"], ["doc_id"], "place").select("source", "doc_id", (F.col("place") + 1).alias("number"))
     return rows.join(cited, ["source", "doc_id"]).select("source", "doc_id", "pos", "number")

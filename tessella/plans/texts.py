@@ -10,6 +10,7 @@ from tessella.operators import citations as C
 from tessella.operators import curriculum as U
 from tessella.operators import sharing as S
 from tessella.operators import neighbours as V
+from tessella.operators import scans
 from tessella.plans.ranking import PARAGRAPHS_SQL, WORDS_SQL, paragraphs
 from tessella.plans.registry import query, table
 
@@ -202,8 +203,8 @@ def e9_lead_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def e4_reading_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = paragraphs(spark, sf_dir).select("source", "doc_id", F.col("pos").cast("long").alias("pos"))
-    position = F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "pos")) - 1
-    return rows.select("source", "doc_id", "pos", position.cast("long").alias("position"), (F.col("pos") == F.min("pos").over(Window.partitionBy("doc_id"))).alias("is_lead"))
+    rows = scans.numbered(rows, ["source"], ["doc_id", "pos"])
+    return rows.select("source", "doc_id", "pos", "position", (F.col("pos") == F.min("pos").over(Window.partitionBy("doc_id"))).alias("is_lead"))
 
 
 @query(

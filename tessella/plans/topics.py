@@ -130,9 +130,9 @@ def k11_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("g3_unseen_sentences")
 def g3_unseen_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of each document's paragraphs, none twice; checked against a plain loop in the tests."""
+    """Sentences of each source's documents in reading order, none twice; checked against a plain loop in the tests."""
     rows = paragraphs(spark, sf_dir).withColumn("sentences", N.usable(N.sentences(F.col("text"))))
-    chunks = rows.select(F.col("doc_id").cast("string").alias("topic"), F.col("pos").cast("string").alias("chunk_id"), F.col("pos").alias("order"), (F.col("pos") == 0).alias("is_lead"), "sentences", F.transform("sentences", N.fingerprint).alias("fingerprints"))
+    chunks = rows.select(F.col("source").alias("topic"), F.concat_ws("-", "doc_id", "pos").alias("chunk_id"), F.struct("doc_id", "pos").alias("order"), (F.col("pos") == 0).alias("is_lead"), "sentences", F.transform("sentences", N.fingerprint).alias("fingerprints"))
     return S.unseen_sentences(chunks)
 
 
