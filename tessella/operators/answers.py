@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +58,26 @@ def with_notes(rows: DataFrame, notes: DataFrame, on: list[str], may_go: Column
     return rows.join(valid, on, "left").where(~(gone & may_go) if may_go is not None else ~gone)
 
 
+def likeness(a: Column, b: Column) -> Column:
+    """Twice the signs of the longest matching blocks of two texts, found one after another, over the signs of both; no built-in has it.
+
+    The order of a and b matters where blocks of one length compete. Null where one of them is.
+    """
+
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        out, matcher = [], SequenceMatcher(None)
+        for s, t in zip(x.to_pylist(), y.to_pylist(), strict=True):
+            if s is None or t is None:
+                out.append(None)
+                continue
+            matcher.set_seqs(s, t)
+            out.append(matcher.ratio())
+        return pa.array(out, pa.float64())
+
+    run.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "double")(a, b)
+
+
 def verdict(sentence: Column, said: Column, alike: float = 0.5, longer: float = 1.5) -> Column:
     """(outcome, text) of a check: kept, struck, corrected or unchecked.
 
@@ -62,9 +85,7 @@ def verdict(sentence: Column, said: Column, alike: float = 0.5, longer: float =
     sentence, is no question, not over 1.5 times as long and like the sentence by half of its signs.
     """
     text = one_line(said)
-    longest = F.greatest(F.length(text), F.length(sentence))
-    same = 1 - F.levenshtein(F.lower(text), F.lower(sentence)) / longest
-    fits = F.rlike(text, F.lit(r"[.!]$")) & (F.length(text) <= F.length(sentence) * longer) & (same >= alike)
+    fits = F.rlike(text, F.lit(r"[.!]$")) & (F.length(text) <= F.length(sentence) * longer) & (likeness(sentence, text) >= alike)
     outcome = F.when(text.isNull() | (text == ""), "unchecked").when(F.rlike(text, F.lit("(?i)^(streichen|strike|löschen)")), "struck").when((F.lower(text) == "ok") | (text == sentence), "kept").when(fits, "corrected").otherwise("unchecked")
     return F.struct(outcome.alias("outcome"), F.when(outcome == "corrected", text).when(outcome != "struck", sentence).alias("text"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,18 +25,39 @@ def parents(closure: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(best, "node", "left").select("node", "label", "parent")
 
 
-def depths(spark: SparkSession, tree: DataFrame, view: str = "_tree_for_depths") -> DataFrame:
-    """(node, depth) by a bounded recursion from the roots; nodes on a cycle are never reached and are left out."""
+def walked(spark: SparkSession, tree: DataFrame, start: str, step: str, value: str) -> DataFrame:
+    """(node, value, depth) by a bounded recursion from the roots; step sees `t`, the node, and `w`, its parent's row."""
+    view = f"_tree_{uuid.uuid4().hex}"
     tree.createOrReplaceTempView(view)
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(node, depth) AS (
-          SELECT node, 0 FROM {view} WHERE parent IS NULL
-          UNION ALL
-          SELECT t.node, w.depth + 1 FROM {view} t JOIN walk w ON t.parent = w.node WHERE w.depth < {MAX_DEPTH})
-        SELECT node, min(depth) AS depth FROM walk GROUP BY node
-        """
-    )
+    try:
+        return spark.sql(
+            f"""
+            WITH RECURSIVE walk(node, {value}, depth) AS (
+              SELECT node, {start}, 0 FROM {view} WHERE parent IS NULL
+              UNION ALL
+              SELECT t.node, {step}, w.depth + 1 FROM {view} t JOIN walk w ON t.parent = w.node WHERE w.depth < {MAX_DEPTH})
+            SELECT node, {value}, depth FROM walk
+            """
+        )
+    finally:
+        spark.catalog.dropTempView(view)  # the frame holds the plan, not the name
+
+
+def depths(spark: SparkSession, tree: DataFrame) -> DataFrame:
+    """(node, depth): steps to the root. From a node that leads to a cycle, steps until one comes back to a node met before.
+
+    tree is read once a level; if it is not cheap, checkpoint it before.
+    """
+    down = walked(spark, tree, "true", "true", "reached").groupBy("node").agg(F.min("depth").alias("depth"))
+    lost = tree.join(down, "node", "left_anti").select("node", F.array("node").alias("met"), F.col("parent").alias("next"))
+    up, found = tree.select(F.col("node").alias("next"), F.col("parent").alias("above")), [down]
+    for _ in range(MAX_DEPTH):
+        if lost.isEmpty():
+            break
+        back = F.coalesce(F.array_contains("met", F.col("next")), F.lit(True))
+        found.append(lost.where(back).select("node", (F.size("met") - 1).alias("depth")))
+        lost = lost.where(~back).join(up, "next").select("node", F.concat("met", F.array("next")).alias("met"), F.col("above").alias("next")).checkpoint()
+    return reduce(DataFrame.unionByName, [f.withColumn("depth", F.col("depth").cast("int")) for f in found])
 
 
 def fair_cut(hits: DataFrame, group: str, rank: str, order: list[str], limit: int) -> DataFrame:

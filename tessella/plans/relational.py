@@ -286,7 +286,7 @@ UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey, 1 FROM nation
 UNION ALL SELECT 's' || s_suppkey, s_name, 'n' || s_nationkey, 2 FROM supplier""",
 )
 def l1_closure_to_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = T.parents(*_closure(spark, sf_dir)).persist()  # the recursion reads it once a level
+    tree = T.parents(*_closure(spark, sf_dir)).checkpoint()  # the recursion reads it once a level
     return tree.join(T.depths(spark, tree), "node").select("node", "label", "parent", "depth")
 
 
@@ -307,16 +307,8 @@ def l4_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 'n' || n_nationkey, r_name || '/' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'r' || r_regionkey, r_name FROM region""",
 )
 def l5_path_to_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    T.parents(*_closure(spark, sf_dir)).persist().createOrReplaceTempView("_tree_for_paths")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(node, path, depth) AS (
-          SELECT node, label, 0 FROM _tree_for_paths WHERE parent IS NULL
-          UNION ALL
-          SELECT t.node, w.path || '/' || t.label, w.depth + 1 FROM _tree_for_paths t JOIN walk w ON t.parent = w.node WHERE w.depth < {T.MAX_DEPTH})
-        SELECT node, path FROM walk
-        """
-    )
+    tree = T.parents(*_closure(spark, sf_dir)).checkpoint()
+    return T.walked(spark, tree, "label", "w.path || '/' || t.label", "path").select("node", "path")
 
 
 @query(

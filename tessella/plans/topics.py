@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import sentences as N
 from tessella.operators import keys as K
+from tessella.operators import questions as Q
 from tessella.operators import selection as S
 from tessella.operators import topics as T
 from tessella.plans.ranking import paragraphs
@@ -136,6 +137,13 @@ def g3_unseen_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.unseen_sentences(chunks)
 
 
+@query("h19_question_keywords")
+def h19_question_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each turn of a conversation names; checked against a plain loop in the tests."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.initcap("text").alias("text"))
+    return Q.keywords(turns, "id")
+
+
 @query("e5_turns")
 def e5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions from conversations, roles taking turns; checked against a plain loop in the tests."""
