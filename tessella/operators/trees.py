@@ -43,12 +43,14 @@ def walked(spark: SparkSession, tree: DataFrame, start: str, step: str, value: s
         spark.catalog.dropTempView(view)  # the frame holds the plan, not the name
 
 
-def depths(spark: SparkSession, tree: DataFrame) -> DataFrame:
-    """(node, depth): steps to the root. From a node that leads to a cycle, steps until one comes back to a node met before.
+def depths(spark: SparkSession, tree: DataFrame, cycles: bool = False) -> DataFrame:
+    """(node, depth): steps to the root. Nodes that lead to a cycle are left out; with cycles, their depth is the steps until one comes back to a node met before.
 
     tree is read once a level; if it is not cheap, checkpoint it before.
     """
     down = walked(spark, tree, "true", "true", "reached").groupBy("node").agg(F.min("depth").alias("depth"))
+    if not cycles:
+        return down
     lost = tree.join(down, "node", "left_anti").select("node", F.array("node").alias("met"), F.col("parent").alias("next"))
     up, found = tree.select(F.col("node").alias("next"), F.col("parent").alias("above")), [down]
     for _ in range(MAX_DEPTH):

@@ -287,7 +287,7 @@ UNION ALL SELECT 's' || s_suppkey, s_name, 'n' || s_nationkey, 2 FROM supplier""
 )
 def l1_closure_to_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = T.parents(*_closure(spark, sf_dir)).checkpoint()  # the recursion reads it once a level
-    return tree.join(T.depths(spark, tree), "node").select("node", "label", "parent", "depth")
+    return tree.join(T.depths(spark, tree, cycles=True), "node").select("node", "label", "parent", "depth")
 
 
 @query(
