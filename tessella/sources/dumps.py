@@ -104,12 +104,90 @@ def turtle_triples(statement: str) -> Iterator[tuple[str, str, str]]:
                 yield subject, predicate, term
 
 
-def turtle(spark: SparkSession, path: str) -> DataFrame:
-    """(subject, predicate, object) of a Turtle file; statements are the records that the reader splits at full stops."""
+# A line read from one of the states OUTSIDE, IN_DOUBLE and IN_SINGLE (long literals, the only ones that go over lines).
+OUTSIDE, IN_DOUBLE, IN_SINGLE = range(3)
+_OUTER = re.compile(r'"""|\'\'\'|"(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\'|<[^<>"\s]*>|#.*|\.(?=\s|$|#)')
+_INNER = {IN_DOUBLE: re.compile(r'\\.|"""'), IN_SINGLE: re.compile(r"\\.|'''")}
+_OPENED = {'"""': IN_DOUBLE, "'''": IN_SINGLE}
+
+
+def cut_line(line: str, state: int) -> tuple[list[str], int]:
+    """The parts of a line between the full stops that end statements, and the state behind it; comments go."""
+    parts, begin, at = [], 0, 0
+    while True:
+        found = (_OUTER if state == OUTSIDE else _INNER[state]).search(line, at)
+        if not found:
+            return [*parts, line[begin:]], state
+        at = found.end()
+        if state != OUTSIDE:
+            state = state if found[0][0] == "\\" else OUTSIDE
+        elif found[0] in _OPENED:
+            state = _OPENED[found[0]]
+        elif found[0][0] == "#":
+            return [*parts, line[begin : found.start()]], state
+        elif found[0] == ".":
+            parts.append(line[begin : found.start()])
+            begin = at
+
+
+def _blocks(lines: DataFrame) -> dict[tuple[str, int], tuple[int, int]]:
+    """For each block of a file the state in which it begins, and the number of its first statement.
+
+    A task tells for its blocks, from each state, in which one they end and how many statements end in them; these
+    functions are composed block by block. There is a row for each block of a file, not for each line.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends: dict[tuple[str, int], list[list[int]]] = {}
+        for batch in batches:
+            for line, file, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                of = ends.setdefault((file, start), [[s, 0] for s in range(3)])
+                for one in of:
+                    parts, one[0] = cut_line(line, one[0])
+                    one[1] += len(parts) - 1
+        columns = [pa.array([k[0] for k in ends], pa.string()), pa.array([k[1] for k in ends], pa.int64())]
+        columns += [pa.array([[one[i] for one in v] for v in ends.values()], pa.list_(pa.int64())) for i in range(2)]
+        yield pa.RecordBatch.from_arrays(columns, names=["file", "start", "state", "count"])
+
+    told = lines.mapInArrow(run, "file string, start long, state array<long>, count array<long>")
+    begun: dict[tuple[str, int], tuple[int, int]] = {}
+    last, state, number = None, OUTSIDE, 0
+    for r in told.orderBy("file", "start").toLocalIterator():
+        if r.file != last:
+            last, state, number = r.file, OUTSIDE, 0
+        begun[r.file, r.start] = state, number
+        state, number = r.state[state], number + r["count"][state]
+    return begun
+
+
+def turtle(spark: SparkSession, path: str) -> DataFrame:
+    """(subject, predicate, object) of Turtle files, which may be cut anywhere: in a literal, a list or a comment.
+
+    Lines are read twice: once for the state in which each block begins, once to number the statements. The parts of a
+    statement then meet, so it may run over lines and blocks. Directives give nothing; names keep their prefixes.
+    """
+    # Spark cuts a file at line ends; a block's first byte and its place give the order of lines
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    begun = spark.sparkContext.broadcast(_blocks(lines))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at = begun.value, {}
+        for batch in batches:
+            out = []
+            for line, file, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                state, statement, place = at.get((file, start)) or (*known[file, start], 0)
+                parts, state = cut_line(line, state)
+                for i, part in enumerate(parts):
+                    out.append((file, statement + i, start, place + i, part + ("\n" if i == len(parts) - 1 else "")))
+                at[file, start] = state, statement + len(parts) - 1, place + len(parts)
+            kinds = pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["file", "statement", "start", "place", "part"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [t for s in batch.column(0).to_pylist() if not s.lstrip().startswith("@") for t in turtle_triples(s + " .")]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["subject", "predicate", "object"])
 
-    return spark.read.option("lineSep", " .\n").text(path).mapInArrow(run, "subject string, predicate string, object string")
+    parts = lines.mapInArrow(number, "file string, statement long, start long, place long, part string")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "place", "part"))), lambda p: p["part"]), "")
+    return parts.groupBy("file", "statement").agg(whole.alias("text")).select("text").mapInArrow(read, "subject string, predicate string, object string")
