@@ -10,6 +10,7 @@ from tessella.operators import keys as K
 from tessella.operators import questions as Q
 from tessella.operators import selection as S
 from tessella.operators import topics as T
+from tessella.operators import verification as V
 from tessella.plans.ranking import paragraphs
 from tessella.plans.registry import query, table
 
@@ -137,6 +138,16 @@ def g3_unseen_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.unseen_sentences(chunks)
 
 
+@query("p3_verified_answers")
+def p3_verified_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that cite paragraphs of their documents, every other one the paragraph behind it; checked by cases in the tests."""
+    rows = paragraphs(spark, sf_dir).select(F.col("doc_id").alias("id"), (F.col("pos") + 1).cast("int").alias("number"), "text").where("number < 1000")
+    cited = F.concat(F.regexp_replace("text", r"[\s.]+$", ""), F.lit(" ["), (F.col("number") + F.col("number") % 2).cast("string"), F.lit("]."))
+    answers = rows.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", cited.alias("t")))), lambda p: p["t"]), "\n\n").alias("text"))
+    found = V.verified(answers, rows, "id", "Schlussfolgerung")
+    return found.select("id", F.md5("text").alias("digest"), "kept", "dropped", F.array_join(F.transform("sources", lambda n: n.cast("string")), ",").alias("sources"))
+
+
 @query("h19_question_keywords")
 def h19_question_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each turn of a conversation names; checked against a plain loop in the tests."""
