@@ -13,7 +13,7 @@ Null texts are no part of the index, texts without words are never found, and wo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import scaled, words
@@ -42,7 +42,8 @@ def build(articles: DataFrame, path: str, block: int = BLOCK) -> None:
     """Write the index of (chunk_id, text) under a path: postings by parts of the terms, and the totals."""
     tokens = articles.where("text IS NOT NULL").select("chunk_id", words(F.col("text")).alias("w"))
     totals = tokens.agg(F.count("*").cast("double").alias("n"), F.coalesce(F.sum(F.size("w")), F.lit(0)).cast("double").alias("total"))
-    totals.select("n", (F.col("total") / F.greatest("n", F.lit(1.0))).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
+    kind = articles.schema["chunk_id"].dataType.simpleString()
+    totals.select("n", (F.col("total") / F.greatest("n", F.lit(1.0))).alias("avgdl"), F.lit(kind).alias("kind")).write.mode("overwrite").parquet(f"{path}/totals")
     counted = tokens.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     terms = counted.groupBy("term").agg(F.count("*").alias("df"))
     blocks = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("df") / block)))).cast("long")
@@ -54,6 +55,13 @@ def build(articles: DataFrame, path: str, block: int = BLOCK) -> None:
     postings.withColumn("bucket", _bucket("term")).repartitionByRange("bucket", "term", "block").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
 
 
+def _read(spark: SparkSession, path: str) -> tuple[DataFrame, Row]:
+    """Postings and totals of an index; an index of no texts has no file of postings."""
+    totals = spark.read.parquet(f"{path}/totals").first()
+    shape = f"term string, block long, df long, blocks long, most double, chunks array<struct<chunk_id: {totals.kind}, tf: long, dl: int>>, bucket int"
+    return spark.read.schema(shape).parquet(f"{path}/postings"), totals
+
+
 def _asked(queries: DataFrame) -> DataFrame:
     return queries.select("slot_id", F.explode(words(F.col("text"))).alias("term")).groupBy("slot_id", "term").agg(F.count("*").alias("times"))
 
@@ -89,7 +97,7 @@ def _best(scored: DataFrame, n: int) -> DataFrame:
 
 def search(spark: SparkSession, queries: DataFrame, path: str, n: int = 10, skipping: bool = True) -> DataFrame:
     """(slot_id, chunk_id, place, score): the n chunks of best BM25 score for each query (slot_id, text)."""
-    postings, totals = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals").first()
+    postings, totals = _read(spark, path)
     asked = _asked(queries).withColumn("bucket", _bucket("term"))
     df = F.col("df").cast("double")
     rarity = postings.select("bucket", "term", "df").distinct().join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
@@ -107,7 +115,7 @@ def search(spark: SparkSession, queries: DataFrame, path: str, n: int = 10, skip
 
 def skipped(spark: SparkSession, queries: DataFrame, path: str, n: int = 10) -> tuple[int, int]:
     """How many slots a search would work out, and how many there are for its words."""
-    postings, totals = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals").first()
+    postings, totals = _read(spark, path)
     asked = _asked(queries).withColumn("bucket", _bucket("term"))
     df = F.col("df").cast("double")
     asked = asked.join(postings.select("bucket", "term", "df").distinct(), ["bucket", "term"]).withColumn("idf", F.log(1 + (totals.n - df + 0.5) / (df + 0.5)))
