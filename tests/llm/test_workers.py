@@ -16,7 +16,7 @@ def known(_):
 assert not any(spark.sparkContext.range(2, numSlices=2).mapPartitions(known).collect())
 
 sys.path.insert(0, sys.argv[1])
-from tessella.llm import bpe, decontam, htmltext, langid, quality, repeats, simhash, tiff
+from tessella.llm import bpe, decontam, htmltext, jaccard, langid, quality, repeats, simhash, spelling, tiff, whitening
 from tessella.operators import articles, ngrams
 docs = spark.createDataFrame([(i, "the cat sat on the mat number %d" % i, "en") for i in range(30)], "doc_id long, text string, lang string")
 labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
@@ -26,6 +26,8 @@ found = [
     repeats.removed(docs, length=12, gram=4), simhash.near_duplicates(docs), docs.select(tiff.store_text(docs.text)),
 ]
 assert [f.count() for f in found] == [30] * 7 and all(f.collect() for f in found)
+assert len(jaccard.jaccard_classes(docs).collect()) == 30 and spelling.variants(spelling.occurrences(docs, length=3)).collect()
+assert len(whitening.whiten(docs.selectExpr("doc_id AS vec_id", "array(doc_id * 0.5D, doc_id * doc_id * 0.1D) AS embedding")).collect()) == 60
 pages = docs.selectExpr("doc_id AS page_id", "'u' AS url", "concat('<article><h1>t</h1><p>', text) AS html")
 assert len(htmltext.extract(pages).collect()) == len(articles.parsed(pages).collect()) == 30
 slots = spark.createDataFrame([(1, "the mat")], "slot_id long, text string")
