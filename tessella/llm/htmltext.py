@@ -23,7 +23,6 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
@@ -91,7 +90,6 @@ class Block:
         return self.linked > FEW_LINKS * len(self.text)
 
 
-@lru_cache(4096)
 def marked(names: str) -> bool:
     """Whether one of the names, as a whole, is one for what is no main text."""
     for name in names.lower().split():
