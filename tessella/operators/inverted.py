@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import scaled, words
 from tessella.operators.ranking import B, K1
+from tessella.sources.shared import cut
 
 #: Chunks of a block, parts of the terms, and bits of the slot of a chunk.
 BLOCK, BUCKETS, SLOT_BITS = 128, 64, 40
@@ -101,13 +102,13 @@ def search(spark: SparkSession, queries: DataFrame, path: str, n: int = 10, skip
     asked = _asked(queries).withColumn("bucket", _bucket("term"))
     df = F.col("df").cast("double")
     rarity = postings.select("bucket", "term", "df").distinct().join(asked.select("bucket", "term").distinct(), ["bucket", "term"], "left_semi")
-    asked = asked.join(rarity.select("bucket", "term", F.log(1 + (totals.n - df + 0.5) / (df + 0.5)).alias("idf")), ["bucket", "term"]).checkpoint()
-    bounds = _bounds(asked, postings).checkpoint()
+    asked = asked.join(rarity.select("bucket", "term", F.log(1 + (totals.n - df + 0.5) / (df + 0.5)).alias("idf")), ["bucket", "term"]).transform(cut)
+    bounds = _bounds(asked, postings).transform(cut)
     if not skipping:
         return _best(_scored(bounds, asked, postings, totals.avgdl), n)
     top = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("bound")).alias("low"), "slot"))), 1, FIRST)
     first = bounds.groupBy("slot_id", "slots").agg(top.alias("top")).select("slot_id", "slots", F.explode("top.slot").alias("slot"))
-    tried = _scored(first, asked, postings, totals.avgdl).checkpoint()
+    tried = _scored(first, asked, postings, totals.avgdl).transform(cut)
     least = _best(tried, n).where(F.col("place") == n).select("slot_id", F.col("score").alias("least"))
     rest = bounds.join(first, ["slot_id", "slot"], "left_anti").join(least, "slot_id", "left").where(F.coalesce(F.col("bound") >= F.col("least"), F.lit(True)))
     return _best(tried.unionByName(_scored(rest, asked, postings, totals.avgdl)), n)

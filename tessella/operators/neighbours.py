@@ -21,6 +21,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.shared import cut
+
 SAMPLE, CELLS, MEMBERS, ROUNDS = 20_000, 64, 32, 12
 #: The share of the cells that a search looks into, if no number of them is given. Vectors without clusters, as the given ones,
 #: need over half of the cells for nine of ten neighbours; clustered ones need few.
@@ -124,12 +126,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: str = "v
         return spark.createDataFrame([], "query long, id long, like double, place int")
     probes = probes or max(1, round(PROBES * len(centroids)))
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(centroids))
-    held = _with_cells(_sound(vectors, ident, vector), centroids, 1, packed).checkpoint()
+    held = _with_cells(_sound(vectors, ident, vector), centroids, 1, packed).transform(cut)
     asked = _with_cells(_sound(queries, ident, vector), centroids, len(centroids) if exact else probes, packed)
     if not exact:
         return _merged(_looked(asked, held, k, itself), k)
-    asked = asked.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("angle", "cell"))).checkpoint()
-    first = _merged(_looked(asked.where(F.col("rank") <= probes), held, k, itself), k).checkpoint()
+    asked = asked.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("angle", "cell"))).transform(cut)
+    first = _merged(_looked(asked.where(F.col("rank") <= probes), held, k, itself), k).transform(cut)
     reach = held.groupBy("cell").agg(F.max("angle").alias("reach"))
     least = first.where(F.col("place") == k).select(F.col("query").alias("id"), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("like") - 1e-9))).alias("least"))
     open_ = asked.where(F.col("rank") > probes).join(reach, "cell").join(least, "id", "left")

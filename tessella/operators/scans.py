@@ -12,13 +12,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.shared import cut
+
 
 def before(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str = "before") -> DataFrame:
     """rows with the sum of value over the rows of their group (by) that come before them in order, 0 for the first.
 
     order is to tell the rows of a group apart; a null value counts as 0; null groups are groups.
     """
-    placed = rows.withColumn("_value", F.coalesce(value, F.lit(0)).cast("long")).repartitionByRange(*by, *order).withColumn("_block", F.spark_partition_id()).checkpoint()
+    placed = rows.withColumn("_value", F.coalesce(value, F.lit(0)).cast("long")).repartitionByRange(*by, *order).withColumn("_block", F.spark_partition_id()).transform(cut)
     sums = placed.groupBy(*by, "_block").agg(F.sum("_value").alias("_sum"))
     # a group has as many rows here as it has blocks
     earlier = F.sum("_sum").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.sources.shared import cut
+
 
 UNKNOWN, PRINTED, LEFT = 0, 1, 2
 
@@ -43,10 +45,10 @@ def unseen_sentences(chunks: DataFrame, limit: int = 3, lead_limit: int = 5) ->
     topic is gathered; a chunk's own sentences are one row.
     """
     rows = chunks.select("topic", "chunk_id", F.struct("order", "chunk_id", F.monotonically_increasing_id().alias("row")).alias("at"), F.when(F.col("is_lead"), lead_limit).otherwise(limit).alias("most"), "sentences", F.transform("fingerprints", lambda f: F.coalesce(f, F.lit("\0"))).alias("marks"))
-    rows = rows.where((F.size("marks") > 0) & F.col("topic").isNotNull()).checkpoint()
+    rows = rows.where((F.size("marks") > 0) & F.col("topic").isNotNull()).transform(cut)
     state = rows.select("topic", "at", "most", "marks", F.transform("marks", lambda _: F.lit(UNKNOWN)).alias("status"))
     while True:
-        state = _settled(state).checkpoint()
+        state = _settled(state).transform(cut)
         if state.where(F.array_contains("status", UNKNOWN)).isEmpty():
             break
     printed = F.filter("sentences", lambda _, i: F.get(F.col("status"), i) == PRINTED)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.shared import cut
+
 MAX_DEPTH = 30
 
 
@@ -46,7 +48,7 @@ def walked(spark: SparkSession, tree: DataFrame, start: str, step: str, value: s
 def depths(spark: SparkSession, tree: DataFrame, cycles: bool = False) -> DataFrame:
     """(node, depth): steps to the root. Nodes that lead to a cycle are left out; with cycles, their depth is the steps until one comes back to a node met before.
 
-    tree is read once a level; if it is not cheap, checkpoint it before.
+    tree is read once a level; if it is not cheap, cut it before.
     """
     down = walked(spark, tree, "true", "true", "reached").groupBy("node").agg(F.min("depth").alias("depth"))
     if not cycles:
@@ -58,7 +60,7 @@ def depths(spark: SparkSession, tree: DataFrame, cycles: bool = False) -> DataFr
             break
         back = F.coalesce(F.array_contains("met", F.col("next")), F.lit(True))
         found.append(lost.where(back).select("node", (F.size("met") - 1).alias("depth")))
-        lost = lost.where(~back).join(up, "next").select("node", F.concat("met", F.array("next")).alias("met"), F.col("above").alias("next")).checkpoint()
+        lost = lost.where(~back).join(up, "next").select("node", F.concat("met", F.array("next")).alias("met"), F.col("above").alias("next")).transform(cut)
     return reduce(DataFrame.unionByName, [f.withColumn("depth", F.col("depth").cast("int")) for f in found])
 
 

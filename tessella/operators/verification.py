@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import sentences as N
 from tessella.operators import citations as C
+from tessella.sources.shared import cut
 
 MARK = r"\[\d{1,3}\]"
 _BULLET = r"^\s*(?:[-*•–]|\d{1,2}[.)])\s+"
@@ -61,7 +62,7 @@ def verified(answers: DataFrame, evidence: DataFrame, by: str, mark: str | None
     rows = answers.select(by, F.posexplode(F.split(text, r"\n\s*\n")).alias("paragraph", "p")).select(by, "paragraph", F.posexplode(units(F.col("p"))).alias("unit", "u"))
     rows = rows.select(by, "paragraph", "unit", F.posexplode(claims(C.neutralise(F.col("u")))).alias("place", "claim"))
     # numbers of lists and groups without a sentence claim nothing
-    rows = rows.where(F.rlike(F.regexp_replace("claim", MARK, ""), F.lit(r"[^\s.;:,!?…()0-9]"))).checkpoint()
+    rows = rows.where(F.rlike(F.regexp_replace("claim", MARK, ""), F.lit(r"[^\s.;:,!?…()0-9]"))).transform(cut)
     key = F.struct(by, "paragraph", "unit", "place")
     rows = rows.withColumn("claim_id", key).withColumn("cited", C.markers(F.col("claim")))
     known = evidence.groupBy(by).agg(F.collect_set(F.col("number").cast("int")).alias("known"))

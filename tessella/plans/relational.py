@@ -9,6 +9,7 @@ from tessella.operators import evaluation as E
 from tessella.operators import keys as K
 from tessella.operators import trees as T
 from tessella.plans.registry import query, table
+from tessella.sources.shared import cut
 
 
 @query(
@@ -286,7 +287,7 @@ UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey, 1 FROM nation
 UNION ALL SELECT 's' || s_suppkey, s_name, 'n' || s_nationkey, 2 FROM supplier""",
 )
 def l1_closure_to_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = T.parents(*_closure(spark, sf_dir)).checkpoint()  # the recursion reads it once a level
+    tree = T.parents(*_closure(spark, sf_dir)).transform(cut)  # the recursion reads it once a level
     return tree.join(T.depths(spark, tree, cycles=True), "node").select("node", "label", "parent", "depth")
 
 
@@ -307,7 +308,7 @@ def l4_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 'n' || n_nationkey, r_name || '/' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'r' || r_regionkey, r_name FROM region""",
 )
 def l5_path_to_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = T.parents(*_closure(spark, sf_dir)).checkpoint()
+    tree = T.parents(*_closure(spark, sf_dir)).transform(cut)
     return T.walked(spark, tree, "label", "w.path || '/' || t.label", "path").select("node", "path")
 
 

@@ -1,4 +1,4 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and lineage that is cut there."""
 
 from __future__ import annotations
 
@@ -6,15 +6,26 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new name in the folder that spark.checkpoint.dir gives; where it is unset a temporary one, in local mode only."""
+def _checkpoints(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir gives; where it is unset a temporary one, in local mode only."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
         if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
-    return f"{context.getCheckpointDir()}/{kind}/{uuid.uuid4().hex}"
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new name in the shared folder."""
+    return f"{_checkpoints(spark)}/{kind}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read from there: their lineage ends, and they are worked out once."""
+    _checkpoints(df.sparkSession)
+    return df.checkpoint()
