@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import ranking as R
+from tessella.sources.shared import cut
 
 # Projects in the order in which a name is tried.
 PROJECTS = ["klexikon", "wikibooks", "wikiversity", "wikiquote", "wikisource", "wiktionary", "wikivoyage", "wikipedia"]
@@ -73,7 +74,7 @@ def concepts(vocabularies: DataFrame, text: str = "json", most_levels: int = 16)
     for depth in range(most_levels):
         read = level.select(F.from_json("json", shape).alias("c"), "parent")
         found.append(read.select("c.id", F.col("c.prefLabel.de").alias("label"), "parent", F.lit(depth).alias("level")))
-        level = read.select(F.explode("c.narrower").alias("json"), F.col("c.id").alias("parent"))
+        level = cut(read.select(F.explode("c.narrower").alias("json"), F.col("c.id").alias("parent")))  # else each level reads all above it again
         if level.isEmpty():
             break
     return reduce(DataFrame.unionByName, found)
