@@ -61,7 +61,7 @@ def suggestions(asked: DataFrame, titles: DataFrame, prefix: str = "prefix", tit
 
 def search(queries: DataFrame, articles: DataFrame, n: int = 10) -> DataFrame:
     """(slot_id, chunk_id, place, score): the n articles of best BM25 score for each query (slot_id, text)."""
-    found = R.bm25(queries, articles.withColumn("topic", F.lit("all")))
+    found = R.bm25(queries, articles.withColumn("topic", F.lit("all")), "best", n)
     order = Window.partitionBy("slot_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("slot_id", "chunk_id", "place", "score")
 

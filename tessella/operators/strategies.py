@@ -63,7 +63,7 @@ class Inputs:
 
 
 def _bm25(i: Inputs) -> DataFrame:
-    return R.top_candidates(R.bm25(i.slots, i.chunks))
+    return R.top_candidates(R.bm25(i.slots, i.chunks, "best"))
 
 
 def _chars(i: Inputs) -> DataFrame:

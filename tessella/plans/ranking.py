@@ -105,13 +105,13 @@ def d3_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.frequencies(chunks(spark, sf_dir))
 
 
-def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.bm25(slots(spark, sf_dir), chunks(spark, sf_dir))
+def _bm25(spark: SparkSession, sf_dir: str, what: str = "best") -> DataFrame:
+    return R.bm25(slots(spark, sf_dir), chunks(spark, sf_dir), what)
 
 
 @query("k1_bm25", f"WITH {BM25_SQL} SELECT topic, slot_id, count(*) AS n, sum(score)::BIGINT AS total, max(score) AS best FROM bm25 GROUP BY ALL")
 def k1_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bm25(spark, sf_dir).groupBy("topic", "slot_id").agg(F.count("*").alias("n"), F.sum("score").alias("total"), F.max("score").alias("best"))
+    return _bm25(spark, sf_dir, "totals").select("topic", "slot_id", "n", "total", "best")
 
 
 @query("e3_top_candidates", f"WITH {BM25_SQL}, {TOP_BM25_SQL} SELECT topic, slot_id, chunk_id, rank, share FROM top_bm25")

@@ -213,3 +213,24 @@ def test_first_sentences_end_at_the_limit(spark):
     assert one(spark, markup.first_sentence, "a" * 239 + ". Mehr.") == "a" * 239 + "."
     assert one(spark, markup.first_sentence, "a" * 240 + ". Mehr.") == "a" * 239 + "…"
     assert one(spark, markup.first_sentence, "eins zwei? drei") == "eins zwei?"
+
+
+def test_best_and_totals_of_bm25_are_those_of_its_rows(spark):
+    """What tasks keep for themselves is what a ranking of all rows gives, also with ties, many parts and repeated ids."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice(["licht", "linse", "prisma", "farbe", "auge", "glas"]) for _ in range(n))
+    rows = [(t, f"c{i:03d}", prose(rng.randint(0, 6))) for t in "tu" for i in range(60)] + [("t", "c001", "Licht"), (None, "x", "Licht"), ("t", "y", None)]
+    chunks = spark.createDataFrame(rows, "topic string, chunk_id string, text string")
+    slots = spark.createDataFrame([(1, "Licht Farbe"), (2, "Glas Glas"), (3, "der die"), (4, None)], "slot_id long, text string")
+    every = ranking.bm25(slots, chunks).collect()
+    assert {(r.slot_id, r.topic) for r in every} == {(s, t) for s in (1, 2) for t in "tu"}
+    for part_rows in (9, 1000):
+        whole = {tuple(r) for r in ranking.bm25(slots, chunks, part_rows=part_rows).collect()}
+        assert whole == {tuple(r) for r in every}
+        totals = {(r.topic, r.slot_id): (r.n, r.total, r.best) for r in ranking.bm25(slots, chunks, "totals", part_rows=part_rows).collect()}
+        best = {(r.slot_id, r.topic, r.chunk_id, r.share) for r in ranking.top_candidates(ranking.bm25(slots, chunks, "best", 3, part_rows), 3).collect()}
+        assert len(totals) == 4 and len(best) == 12
+        for (t, s), found in totals.items():
+            mine = sorted((-r.score, r.chunk_id) for r in every if (r.slot_id, r.topic) == (s, t))
+            assert found == (len(mine), -sum(a for a, _ in mine), -mine[0][0])
+            assert {c for a, b, c, _ in best if (a, b) == (s, t)} == {c for _, c in mine[:3]}
