@@ -1,10 +1,10 @@
 """Character n-gram TF-IDF of chunks against slots, by sparse products in Arrow batches.
 
 Grams are 64-bit hashes of the signs of blank-padded words, so rows are narrow and all work on them is vectorised.
-Two passes over the chunks: one counts in how many rows of a topic each gram stands, with counts of each batch
+Two passes over the chunks: one counts in how many rows of a topic each gram stands, with counts of a task's batches
 merged first; one weighs chunks and slots and multiplies them. In the second a topic's chunks are dealt to parts of
-a bounded number of rows, and each part gets a copy of the topic's gram counts, which grow with the vocabulary and
-not with the rows. Slots are a template's and bounded; they travel with the function.
+a bounded number of rows and signs, large ones, as each part gets a copy of the topic's gram counts, which grow with the
+vocabulary and not with the rows. Slots are a template's and bounded; they travel with the function.
 """
 
 from __future__ import annotations
@@ -15,11 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chunks that one task weighs together.
-PART_ROWS = 4_000
+from tessella.operators.scoring import Sink, dealt, merged, schema
+
+#: Chunks and signs that one task weighs together, signs and rows that are counted at once, and grams that a task holds.
+PART_ROWS, PART_SIGNS = 50_000, 1 << 24
+SIGNS, ROWS, GRAMS_HELD = 1 << 18, 500, 2_000_000
+CANDIDATES = 15
 SIZES = (3, 4, 5)
 _BLANKS = np.array([9, 10, 13, 32], np.uint32)
 
@@ -52,45 +57,113 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(values).view(np.int64)
 
 
-def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, gram, how often) of each row's distinct grams, in order of rows and grams."""
-    row, gram = grams(texts)
-    order = np.lexsort((gram, row))
-    row, gram = row[order], gram[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, how often) of each row's distinct grams, in order of rows and grams, and the sorted grams that places name.
+
+    A word's grams are made once for all rows that have it.
+    """
+    of_word: dict[str, int] = {}
+    sizes, words = [], []
+    for t in texts:
+        found = [w for w in (t or "").replace("\t", " ").replace("\r", " ").replace("\n", " ").split(" ") if w]
+        sizes.append(len(found))
+        words += [of_word.setdefault(w, len(of_word)) for w in found]
+    word, gram = grams(list(of_word))
+    known, place = np.unique(gram, return_inverse=True)
+    place = place[np.argsort(word, kind="stable")]
+    many = np.bincount(word, minlength=len(of_word))
+    first = np.cumsum(many) - many
+    token = np.array(words, np.int64)
+    count = many[token]
+    at = np.repeat(first[token] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    key = np.repeat(np.repeat(np.arange(len(texts)), sizes), count) * max(1, len(known)) + place[at]
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
-    return row[at], gram[at], np.diff(np.append(at, len(row)))
+    return key[at] // max(1, len(known)), key[at] % max(1, len(known)), np.diff(np.append(at, len(key))), known
+
+
+def _slices(texts: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts that are counted together, with the place of the first one: of SIGNS signs or a single one that is longer."""
+    size = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False) if isinstance(texts, pa.Array) else pc.fill_null(pc.utf8_length(texts), 0).to_numpy()
+    a, held = 0, 0
+    for b, n in enumerate(size.tolist()):
+        if b > a and (held + n > SIGNS or b - a >= ROWS):
+            yield a, texts.slice(a, b - a).to_pylist()
+            a, held = b, 0
+        held += n
+    if len(size):
+        yield a, texts.slice(a).to_pylist()
+
+
+class _Counts:
+    """In how many rows of a topic each gram stands; gives out what it has when it holds too much."""
+
+    def __init__(self) -> None:
+        self.found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.held = 0
+
+    def add(self, topic: str, gram: np.ndarray, df: np.ndarray) -> None:
+        self.found.setdefault(topic, []).append((gram, df))
+        self.held += len(gram)
+
+    def merge(self) -> None:
+        for topic, parts in self.found.items():
+            if len(parts) > 1:
+                gram, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+                self.found[topic] = [(gram, np.bincount(at, np.concatenate([d for _, d in parts])).astype(np.int64))]
+        self.held = sum(len(g) for parts in self.found.values() for g, _ in parts)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        for topic, ((gram, df),) in self.found.items():
+            for a in range(0, len(gram), 50_000):
+                some = gram[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([topic] * len(some), pa.string()), pa.array(some), pa.array(df[a : a + 50_000])], names=["topic", "gram", "df"])
+        self.found, self.held = {}, 0
 
 
 def _document_frequencies(rows: DataFrame) -> DataFrame:
     """Rows (topic, gram, df) of (topic, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = _Counts()
         for batch in batches:
-            for a in range(0, len(batch), 2_000):
-                part = batch.slice(a, 2_000)
-                topic = part.column(0).dictionary_encode()
-                row, gram, _ = counted(part.column(1).to_pylist())
-                found = pa.table({"t": topic.indices.take(pa.array(row)), "gram": pa.array(gram)}).group_by(["t", "gram"]).aggregate([([], "count_all")])
-                for b in found.to_batches():
-                    yield pa.RecordBatch.from_arrays([topic.dictionary.take(b.column("t")), b.column("gram"), b.column("count_all")], names=["topic", "gram", "df"])
-
-    found = rows.select("topic", "text").mapInArrow(run, "topic string, gram long, df long")
+            topic = batch.column(0).dictionary_encode()
+            names = topic.dictionary.to_pylist()
+            of = topic.indices.to_numpy(zero_copy_only=False)
+            # the rows of a topic one after the other, so that few topics meet in a slice
+            order = np.argsort(of, kind="stable")
+            of, texts = of[order], batch.column(1).take(pa.array(order))
+            for a, some in _slices(texts):
+                row, place, _, known = counted(some)
+                mine = of[a : a + len(some)][row]
+                for t in np.unique(mine).tolist():
+                    df = np.bincount(place[mine == t], minlength=len(known))
+                    at = np.flatnonzero(df)
+                    counts.add(names[t], known[at], df[at])
+                if counts.held > 2 * GRAMS_HELD:
+                    counts.merge()
+                    if counts.held > GRAMS_HELD:
+                        yield from counts.batches()
+        yield from counts.batches()
+
+    found = rows.where(F.col("topic").isNotNull()).select("topic", "text").mapInArrow(run, "topic string, gram long, df long")
     return found.groupBy("topic", "gram").agg(F.sum("df").alias("df"))
 
 
-def _weights(gram: np.ndarray, times: np.ndarray, known: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """(1 + ln tf) x idf in whole millionths; known is sorted and has all grams."""
+def _weights(place: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """(1 + ln tf) x idf in whole millionths; idf is that of each place."""
     log = np.array([0.0, *map(math.log, range(1, int(times.max(initial=0)) + 1))])
-    return np.floor((log[times] + 1.0) * idf[np.searchsorted(known, gram)] * 1e6 + 0.5).astype(np.int64)
+    return np.floor((log[times] + 1.0) * idf[place] * 1e6 + 0.5).astype(np.int64)
 
 
 def _norms(row: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """Square roots of the sums of squared weights; sums beyond 64 bits are added as Python's integers."""
     if len(weight) and int(weight.max()) ** 2 * int(np.bincount(row).max()) < 1 << 62:
-        total = np.zeros(n, np.int64)
-        np.add.at(total, row, weight * weight)
+        total, first = np.zeros(n, np.int64), np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+        total[row[first]] = np.add.reduceat(weight * weight, first)
         return np.sqrt(total.astype(np.float64))
     exact = [0] * n
     for r, w in zip(row.tolist(), weight.tolist(), strict=True):
@@ -98,64 +171,59 @@ def _norms(row: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     return np.sqrt(np.array([float(x) for x in exact]))
 
 
-def char_tfidf(slots: DataFrame, chunks: DataFrame, least: float = 0.02, part_rows: int = PART_ROWS) -> DataFrame:
+def char_tfidf(slots: DataFrame, chunks: DataFrame, least: float = 0.02, part_rows: int = PART_ROWS, what: str = "rows", n: int = CANDIDATES) -> DataFrame:
     """Rows (slot_id, topic, chunk_id, score): cosine of TF-IDF weights of padded character 3- to 5-grams, in millionths.
 
     As usual for that measure: 1 + ln tf, ln((1 + n) / (1 + df)) + 1, unit length; counted over the topic's chunks and
-    all slots together. slots is collected: it is a template's, of bounded size.
+    all slots together. slots is collected: it is a template's, of bounded size. what is `rows`, `best` (the n best chunks
+    of each slot and some more, for a ranking that follows) or `totals` (slot_id, topic, n, total, best).
     """
     asked = slots.select("slot_id", F.lower("text").alias("text")).orderBy("slot_id").collect()
-    slot_ids = np.array([r.slot_id for r in asked], np.int64)
-    slot_row, slot_gram, slot_times = counted([r.text for r in asked])
-    grams_of_slots, slot_df = np.unique(slot_gram, return_counts=True)
+    slot_ids, slot_type, chunk_type = [r.slot_id for r in asked], slots.schema["slot_id"].dataType, chunks.schema["chunk_id"].dataType
+    slot_row, slot_place, slot_times, grams_of_slots = counted([r.text for r in asked])
+    slot_df = np.bincount(slot_place, minlength=len(grams_of_slots))
 
     rows = chunks.select("topic", "chunk_id", F.lower("text").alias("text"))
-    sizes = rows.groupBy("topic").agg(F.count("*").alias("n"))
-    sizes = sizes.select("topic", (F.col("n") + len(slot_ids)).alias("n"), F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
+    sizes = rows.groupBy("topic").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("signs"))
+    parts = F.greatest(F.ceil(F.col("n") / part_rows), F.ceil(F.col("signs") / PART_SIGNS)).cast("int")
+    sizes = sizes.select("topic", (F.col("n") + len(slot_ids)).alias("n"), parts.alias("parts"))
     extra = chunks.sparkSession.createDataFrame(pd.DataFrame({"gram": grams_of_slots, "more": slot_df.astype(np.int64)}), "gram long, more long")
     # grams that only slots have are counted too
     own = sizes.select("topic").join(extra.select("gram", F.col("more").alias("df")))
     df = _document_frequencies(rows).unionByName(own).groupBy("topic", "gram").agg(F.sum("df").alias("df")).join(sizes, "topic")
     idf = df.select("topic", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "gram", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    dealt = rows.join(sizes.select("topic", "parts"), "topic").select("topic", F.pmod(F.xxhash64("chunk_id"), F.col("parts")).cast("int").alias("part"), "chunk_id", "text")
 
     def weigh(chunk_table: pa.Table, idf_table: pa.Table) -> pa.Table:
-        schema = pa.schema([("slot_id", pa.int64()), ("topic", pa.string()), ("chunk_id", pa.string()), ("score", pa.int64())])
-        if not chunk_table.num_rows:
-            return schema.empty_table()
+        sink = Sink(what, slot_ids, slot_type, chunk_type, n)
+        if not chunk_table.num_rows or not len(grams_of_slots):
+            return sink.table(None)
         order = np.argsort(known := idf_table["gram"].to_numpy(), kind="stable")
         known, idf = known[order], idf_table["idf"].to_numpy()[order]
-        slot_weight = _weights(slot_gram, slot_times, known, idf)
+        slot_weight = _weights(slot_place, slot_times, idf[np.searchsorted(known, grams_of_slots)])
         slot_norm = _norms(slot_row, slot_weight, len(slot_ids))
         table_ = np.zeros((len(grams_of_slots), len(slot_ids)), np.int64)
-        table_[np.searchsorted(grams_of_slots, slot_gram), slot_row] = slot_weight
-        ids, topic = chunk_table["chunk_id"].to_pylist(), chunk_table["topic"][0].as_py()
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for a in range(0, len(ids), 500):
-            texts = chunk_table["text"].slice(a, 500).to_pylist()
-            row, gram, times = counted(texts)
-            weight = _weights(gram, times, known, idf)
+        table_[slot_place, slot_row] = slot_weight
+        ids = chunk_table["chunk_id"].combine_chunks()
+        for a, texts in _slices(chunk_table["text"].combine_chunks()):
+            row, place, times, mine = counted(texts)
+            weight = _weights(place, times, idf[np.searchsorted(known, mine)])
             norm = _norms(row, weight, len(texts))
-            at = np.minimum(np.searchsorted(grams_of_slots, gram), len(grams_of_slots) - 1)
-            shared = np.flatnonzero(grams_of_slots[at] == gram) if len(grams_of_slots) else np.zeros(0, np.int64)
-            ends = np.searchsorted(row[shared], np.arange(len(texts) + 1))
+            at = np.minimum(np.searchsorted(grams_of_slots, mine), len(grams_of_slots) - 1)
+            shared = grams_of_slots[at] == mine
+            both = np.flatnonzero(shared[place])
+            ends = np.searchsorted(row[both], np.arange(len(texts) + 1))
+            column, weight = at[place[both]], weight[both]
             large = len(weight) and int(weight.max()) * int(table_.max(initial=0)) * int(np.diff(ends).max()) >= 1 << 62
+            dot = np.zeros((len(texts), len(slot_ids)))
             for i in range(len(texts)):
-                mine = shared[ends[i] : ends[i + 1]]
-                if not len(mine):
-                    continue
-                if large:
-                    dot = np.array([float(x) for x in (weight[mine].astype(object)[:, None] * table_[at[mine]]).sum(axis=0)])
-                else:
-                    dot = (weight[mine] @ table_[at[mine]]).astype(np.float64)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    value = dot / (slot_norm * norm[i])
-                hit = np.flatnonzero(value > least)
-                out.append((slot_ids[hit], np.full(len(hit), a + i), np.floor(value[hit] * 1e6 + 0.5).astype(np.int64)))
-        if not out:
-            return schema.empty_table()
-        slot, at_, score = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table([pa.array(slot), pa.array([topic] * len(slot), pa.string()), pa.array(ids, pa.string()).take(pa.array(at_)), pa.array(score)], schema=schema)
-
-    both = dealt.groupBy("topic", "part").cogroup(idf.groupBy("topic", "part"))
-    return both.applyInArrow(weigh, "slot_id long, topic string, chunk_id string, score long")
+                span = slice(ends[i], ends[i + 1])
+                # whole numbers, row by row: sums are exact, and no library's threads are started in a task
+                dot[i] = (weight[span].astype(object)[:, None] * table_[column[span]]).sum(axis=0) if large else weight[span] @ table_[column[span]]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                value = dot / (slot_norm * norm[:, None])
+            hit = value > least
+            sink.add(ids.slice(a, len(texts)), np.floor(np.where(hit, value, 0) * 1e6 + 0.5).astype(np.int64), hit)
+        return sink.table(chunk_table["topic"][0].as_py())
+
+    both = dealt(rows, sizes).groupBy("topic", "part").cogroup(idf.groupBy("topic", "part"))
+    return merged(both.applyInArrow(weigh, schema(what, slots, chunks)), what)

@@ -67,7 +67,7 @@ def _bm25(i: Inputs) -> DataFrame:
 
 
 def _chars(i: Inputs) -> DataFrame:
-    return R.top_candidates(G.char_tfidf(i.slots, i.chunks))
+    return R.top_candidates(G.char_tfidf(i.slots, i.chunks, what="best"))
 
 
 def _hybrid(i: Inputs) -> DataFrame:

@@ -121,14 +121,13 @@ def e3_top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chars = G.char_tfidf(slots(spark, sf_dir), chunks(spark, sf_dir))
+    chars = G.char_tfidf(slots(spark, sf_dir), chunks(spark, sf_dir), what="best")
     return R.fuse({"bm25": R.top_candidates(_bm25(spark, sf_dir)), "char": R.top_candidates(chars)})
 
 
 @query("k2_char_tfidf", f"WITH {PARAGRAPHS_SQL}, {CHAR_SQL} SELECT topic, slot_id, count(*) AS n, sum(score)::BIGINT AS total, max(score) AS best FROM chars GROUP BY ALL")
 def k2_char_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = G.char_tfidf(slots(spark, sf_dir), chunks(spark, sf_dir))
-    return scores.groupBy("topic", "slot_id").agg(F.count("*").alias("n"), F.sum("score").alias("total"), F.max("score").alias("best"))
+    return G.char_tfidf(slots(spark, sf_dir), chunks(spark, sf_dir), what="totals").select("topic", "slot_id", "n", "total", "best")
 
 
 @query("k4_fused_scores", f"WITH {BM25_SQL}, {TOP_BM25_SQL}, {CHAR_SQL}, {_top_sql('top_char', 'chars')}, {FUSED_SQL} SELECT topic, slot_id, chunk_id, votes, score FROM fused")
