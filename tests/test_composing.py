@@ -134,3 +134,18 @@ def test_skipped_parts_of_articles(spark):
     html = '<body class="metadata"><h1>T</h1><p>one</p><div class="infobox_x">no</div><div id="siteNotice"><p>no</p></div><span class="mw-jump-link">no</span><p>two<span class="noexcerpt">no</span></p><p><a href="Media:x">m</a></p></body>'
     (row,) = parsed(spark.createDataFrame([(1, html)], "page_id long, html string")).collect()
     assert [p.text for s in row.sections for p in s.paragraphs] == ["one", "two", "m"] and not any(s.links for s in row.sections)
+
+
+def test_best_and_totals_of_grams_are_those_of_their_rows(spark):
+    texts = ["licht linse", "licht", "schatten", "linse licht prisma", "auge", "licht"]
+    chunks = spark.createDataFrame([(t, f"c{i}", x, [float(i), 1.0]) for t in "tu" for i, x in enumerate(texts)], "topic string, chunk_id string, text string, vector array<double>")
+    slots = spark.createDataFrame([(1, "Licht", [1.0, 0.5]), (2, "Prisma Auge", [0.0, 1.0])], "slot_id long, text string, vector array<double>")
+    for run in (lambda **k: G.char_tfidf(slots, chunks, part_rows=4, **k),):
+        every = run().collect()
+        totals = {(r.slot_id, r.topic): (r.n, r.total, r.best) for r in run(what="totals").collect()}
+        best = {(r.slot_id, r.topic, r.chunk_id) for r in R.top_candidates(run(what="best", n=2), 2).collect()}
+        assert totals and set(totals) == {(r.slot_id, r.topic) for r in every}
+        for key, found in totals.items():
+            mine = sorted((-r.score, r.chunk_id) for r in every if (r.slot_id, r.topic) == key)
+            assert found == (len(mine), -sum(a for a, _ in mine), -mine[0][0])
+            assert {c for *k, c in best if tuple(k) == key} == {c for _, c in mine[:2]}
