@@ -13,36 +13,54 @@ from pyspark.sql import functions as F
 
 from tessella.operators import ngrams as G
 from tessella.operators import ranking as R
+from tessella.operators.scoring import Sink, merged, schema
 
 MIN_SIMILARITY = 0.1
 LEXICON_SHARE = 900_000
+#: Chunks whose vectors are multiplied at once, and topics whose scores a task holds.
+VECTORS_TOGETHER, TOPICS_HELD = 1_000, 200
 
 
-def embedding(slots: DataFrame, chunks: DataFrame, least: float = MIN_SIMILARITY) -> DataFrame:
+def embedding(slots: DataFrame, chunks: DataFrame, least: float = MIN_SIMILARITY, what: str = "rows", n: int = R.CANDIDATES) -> DataFrame:
     """(slot_id, topic, chunk_id, score): cosine of vectors over least, in millionths.
 
     slots (slot_id, vector) is a template's, of bounded size, and goes with the function as one matrix; chunks
-    (topic, chunk_id, vector) meet it batch by batch, so nothing is shuffled.
+    (topic, chunk_id, vector) meet it a few at a time, so nothing is shuffled. what is `rows`, `best` (the n best chunks of each
+    slot and some more, for a ranking that follows) or `totals` (slot_id, topic, n, total, best).
     """
     asked = slots.orderBy("slot_id").collect()
-    ids = np.array([r.slot_id for r in asked], np.int64)
+    slot_ids, slot_type, chunk_type = [r.slot_id for r in asked], slots.schema["slot_id"].dataType, chunks.schema["chunk_id"].dataType
     matrix = np.array([r.vector for r in asked], np.float64).reshape(len(asked), -1)
     matrix = matrix / np.maximum(np.sqrt((matrix * matrix).sum(axis=1)), 1e-9)[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(batch.column(2).is_valid())
-            if not len(batch) or not len(ids):
-                continue
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            vectors = flat.reshape(len(batch), -1)
-            vectors = vectors / np.maximum(np.sqrt((vectors * vectors).sum(axis=1)), 1e-9)[:, None]
-            value = vectors @ matrix.T
-            row, slot = np.nonzero(value > least)
-            score = np.floor(value[row, slot] * 1e6 + 0.5).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[slot]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(score)], names=["slot_id", "topic", "chunk_id", "score"])
-
-    return chunks.select("topic", "chunk_id", "vector").mapInArrow(run, "slot_id long, topic string, chunk_id string, score long")
+        sinks: dict[str | None, Sink] = {}
+        for whole in batches:
+            for a in range(0, len(whole) if slot_ids else 0, VECTORS_TOGETHER):
+                batch = whole.slice(a, VECTORS_TOGETHER)
+                batch = batch.filter(batch.column(2).is_valid())
+                if not len(batch):
+                    continue
+                flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                vectors = flat.reshape(len(batch), -1)
+                vectors = vectors / np.maximum(np.sqrt((vectors * vectors).sum(axis=1)), 1e-9)[:, None]
+                value = vectors @ matrix.T
+                hit = value > least
+                score = np.floor(np.where(hit, value, 0) * 1e6 + 0.5).astype(np.int64)
+                topics = batch.column(0).dictionary_encode()
+                of = topics.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                for t in np.unique(of).tolist():
+                    name, at = topics.dictionary[t].as_py() if t >= 0 else None, np.flatnonzero(of == t)
+                    sinks.setdefault(name, Sink(what, slot_ids, slot_type, chunk_type, n)).add(batch.column(1).take(pa.array(at)), score[at], hit[at])
+                if what == "rows" or len(sinks) > TOPICS_HELD:
+                    for name, sink in sinks.items():
+                        yield from sink.table(name).to_batches()
+                    sinks = {}
+        for name, sink in sinks.items():
+            yield from sink.table(name).to_batches()
+
+    found = chunks.select(F.col("topic").cast("string").alias("topic"), "chunk_id", "vector").mapInArrow(run, schema(what, slots, chunks))
+    return merged(found, what)
 
 
 def by_lexicon(named: DataFrame) -> DataFrame:
@@ -73,7 +91,7 @@ def _chars(i: Inputs) -> DataFrame:
 def _hybrid(i: Inputs) -> DataFrame:
     votes = {"bm25": _bm25(i), "char": _chars(i)}
     if i.slot_vectors is not None and i.chunk_vectors is not None:
-        votes["embedding"] = R.top_candidates(embedding(i.slot_vectors, i.chunk_vectors))
+        votes["embedding"] = R.top_candidates(embedding(i.slot_vectors, i.chunk_vectors, what="best"))
     return R.fuse(votes).withColumnRenamed("score", "share")
 
 
