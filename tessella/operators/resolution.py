@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import text as X
 from tessella.operators import archive as A
 from tessella.operators import keys as K
 from tessella.operators import mentions as M
@@ -87,22 +88,27 @@ def corpus(parts: list[tuple[str, DataFrame, int | None]], by: str, most: int) -
 
 def runs(text: Column, skip: list[str] | None = None) -> Column:
     """(text, start, end) of every run of up to MOST_WORDS words that begins with a capital letter; places count from 0."""
-    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_#-]+"), F.lit(0))
-    gaps = F.split(text, r"[\p{L}\p{N}_#-]+")
-    # where each word begins: what stands before it, gaps and words
-    at = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-        lambda s, i: F.struct((s["at"] + F.coalesce(F.length(F.get(gaps, i - 1)), F.lit(0)) + F.coalesce(F.length(F.get(words, i - 1)), F.lit(0))).alias("at"), F.concat(s["out"], F.array(s["at"] + F.coalesce(F.length(F.get(gaps, i - 1)), F.lit(0)))).alias("out")),
-        lambda s: s["out"],
-    )
-    first = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: F.rlike(F.coalesce(F.get(words, i), F.lit("")), F.lit(r"^\p{Lu}")) & ~F.lower(F.get(words, i)).isin(skip or [""]))
-
-    def of(i: Column) -> Column:
+    found = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_#-]+"), F.lit(0))
+    between = F.split(text, r"[\p{L}\p{N}_#-]+")
+
+    def starts(words: Column, gaps: Column) -> Column:
+        """Where each word begins: what stands before it, gaps and words."""
+        return F.aggregate(
+            F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))),
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda s, i: F.struct((s["at"] + F.coalesce(F.length(F.get(gaps, i - 1)), F.lit(0)) + F.coalesce(F.length(F.get(words, i - 1)), F.lit(0))).alias("at"), F.concat(s["out"], F.array(s["at"] + F.coalesce(F.length(F.get(gaps, i - 1)), F.lit(0)))).alias("out")),
+            lambda s: s["out"],
+        )
+
+    def of(words: Column, at: Column, i: Column) -> Column:
         last = F.sequence(i, F.least(i + MOST_WORDS - 1, F.size(words) - 1))
         return F.transform(last, lambda j: F.struct(F.substring(text, F.get(at, i) + 1, F.get(at, j) + F.length(F.get(words, j)) - F.get(at, i)).alias("text"), F.get(at, i).alias("start"), (F.get(at, j) + F.length(F.get(words, j))).alias("end")))
 
-    return F.flatten(F.transform(first, of))
+    def of_all(words: Column, at: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: F.rlike(F.coalesce(F.get(words, i), F.lit("")), F.lit(r"^\p{Lu}")) & ~F.lower(F.get(words, i)).isin(skip or [""]))
+        return F.flatten(F.transform(first, lambda i: of(words, at, i)))
+
+    return X.bound(found, lambda words: X.bound(between, lambda gaps: X.bound(starts(words, gaps), lambda at: of_all(words, at))))
 
 
 def linked(texts: DataFrame, key: str, titles: DataFrame, text: str = "text") -> DataFrame:
@@ -117,6 +123,11 @@ def linked(texts: DataFrame, key: str, titles: DataFrame, text: str = "text") ->
     return M.without_overlaps(hit.withColumn("known", F.lit(True)), [key]).select(key, "start", "end", "title")
 
 
+def _found(text: Column, pattern: Column) -> Column:
+    """Where a pattern is first found, counted from 1; null if it is not."""
+    return F.nullif(F.regexp_instr(text, pattern), F.lit(0))
+
+
 def placed(text: Column, words: Column) -> Column:
     """(word, start) of named words in a text, longest first, none in the place of another; start is -1 if there is none.
 
@@ -129,10 +140,18 @@ def placed(text: Column, words: Column) -> Column:
     start = F.struct(text.alias("rest"), F.array().cast("array<struct<word: string, start: int>>").alias("out"))
 
     def step(state: Column, w: Column) -> Column:
-        tries = [F.concat(bound, quoted(w), end), F.concat(free, bound, quoted(w), end), quoted(w), F.concat(free, quoted(w))]
-        at = F.coalesce(*[F.nullif(F.regexp_instr(state["rest"], p), F.lit(0)) for p in tries], F.lit(0))
-        hidden = F.when((at > 0) & (w != ""), F.overlay(state["rest"], F.repeat(F.lit("\u0000"), F.length(w)), at, F.length(w))).otherwise(state["rest"])
-        return F.struct(hidden.alias("rest"), F.concat(state["out"], F.array(F.struct(w.alias("word"), F.when(w != "", at - 1).otherwise(-1).cast("int").alias("start")))).alias("out"))
+        rest = state["rest"]
+        # a word that is nowhere in its own case is tried in any case only
+        same = F.when(F.contains(rest, w), F.coalesce(_found(rest, F.concat(bound, quoted(w), end)), F.lit(0))).otherwise(0)
+        any_case = lambda p: F.coalesce(_found(rest, F.concat(free, p)), F.lit(0))
+        behind = lambda n: F.when(n != 0, n).when(F.contains(rest, w), F.coalesce(_found(rest, quoted(w)), F.lit(0))).otherwise(any_case(quoted(w)))
+        place = X.bound(same, lambda n: F.when(n != 0, n).otherwise(X.bound(any_case(F.concat(bound, quoted(w), end)), behind)))
+
+        def taken(at: Column) -> Column:
+            hidden = F.when((at > 0) & (w != ""), F.overlay(rest, F.repeat(F.lit("\u0000"), F.length(w)), at, F.length(w))).otherwise(rest)
+            return F.struct(hidden.alias("rest"), F.concat(state["out"], F.array(F.struct(w.alias("word"), F.when(w != "", at - 1).otherwise(-1).cast("int").alias("start")))).alias("out"))
+
+        return X.bound(place, taken)
 
     return F.aggregate(in_order, start, step, lambda s: s["out"])
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.operators import resolution as R
 from tessella.operators import strategies as G
 
 
@@ -19,3 +20,9 @@ def test_best_and_totals_of_vectors_are_those_of_all_scores(spark):
     assert best.count() <= 5 * 3 * 4 * 3
     ranked = lambda df: sorted(map(str, G.R.top_candidates(df, 4).collect()))
     assert ranked(best) == ranked(rows)
+
+
+def test_runs_and_places_are_worked_out_once(spark):
+    spark.range(1)
+    assert R.runs(F.col("t"))._jc.toString().count("regexp_extract_all(") == 1
+    assert R.placed(F.col("t"), F.col("w"))._jc.toString().count("regexp_instr(") == 4
