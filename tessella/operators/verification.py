@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import sentences as N
+from tessella.functions import text as X
 from tessella.operators import citations as C
 from tessella.sources.shared import cut
 
@@ -41,13 +42,17 @@ def claims(unit: Column) -> Column:
     ended = rf"(?s)^(.*[.!?…][)\"“”»]*)\s*((?:{MARK}\s*)+)$"
 
     def of_run(run: Column) -> Column:
-        behind = F.regexp_replace(F.regexp_extract(run, ended, 2), r"\s", "")
-        listed = F.filter(N.sentences(F.trim(F.when(behind != "", F.regexp_extract(run, ended, 1)).otherwise(run))), lambda s: F.trim(s) != "")
+        return X.bound(F.regexp_replace(F.regexp_extract(run, ended, 2), r"\s", ""), lambda behind: X.bound(listed(run, behind), lambda found: with_numbers(found, behind)))
+
+    def listed(run: Column, behind: Column) -> Column:
+        return F.filter(N.sentences(F.trim(F.when(behind != "", F.regexp_extract(run, ended, 1)).otherwise(run))), lambda s: F.trim(s) != "")
+
+    def with_numbers(found: Column, behind: Column) -> Column:
         marked = lambda s: F.rlike(s, F.lit(MARK))
         of = lambda s, i: F.regexp_extract(s, r"(?s)^(.*?)\s*([.!?…]?)\s*$", i)
         with_them = lambda s: F.concat(of(s, 1), F.lit(" "), behind, of(s, 2))
-        last = F.coalesce(F.array_max(F.transform(listed, lambda s, i: F.when(marked(s), i))), F.lit(-1))
-        return F.when(behind == "", listed).otherwise(F.transform(listed, lambda s, i: F.when(i > last, with_them(s)).otherwise(s)))
+        last = F.coalesce(F.array_max(F.transform(found, lambda s, i: F.when(marked(s), i))), F.lit(-1))
+        return F.when(behind == "", found).otherwise(X.bound(last, lambda n: F.transform(found, lambda s, i: F.when(i > n, with_them(s)).otherwise(s))))
 
     return F.flatten(F.transform(runs, of_run))
 

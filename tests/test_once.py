@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions import sentences as N
 from tessella.operators import resolution as R
 from tessella.operators import strategies as G
+from tessella.operators import verification as V
 
 
 def test_best_and_totals_of_vectors_are_those_of_all_scores(spark):
@@ -26,3 +28,9 @@ def test_runs_and_places_are_worked_out_once(spark):
     spark.range(1)
     assert R.runs(F.col("t"))._jc.toString().count("regexp_extract_all(") == 1
     assert R.placed(F.col("t"), F.col("w"))._jc.toString().count("regexp_instr(") == 4
+
+
+def test_sentences_are_cut_once(spark):
+    spark.range(1)
+    assert N.sentences(F.col("t"))._jc.toString().count("regexp_replace(") < 10
+    assert V.claims(F.col("t"))._jc.toString().count("(?<=[.!?…])") == 1
