@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.functions import sentences as N
+from tessella.operators import questions as Q
 from tessella.operators import resolution as R
 from tessella.operators import strategies as G
 from tessella.operators import verification as V
@@ -34,3 +35,10 @@ def test_sentences_are_cut_once(spark):
     spark.range(1)
     assert N.sentences(F.col("t"))._jc.toString().count("regexp_replace(") < 10
     assert V.claims(F.col("t"))._jc.toString().count("(?<=[.!?…])") == 1
+
+
+def test_keywords_are_made_without_a_shuffle(spark):
+    texts = spark.createDataFrame([(1, "Was ist Die Kleine Hexe und Peter Pan von Oben? Der saure Regen."), (2, None), (3, "")], "id int, text string")
+    found = Q.keywords(texts, "id")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.id for r in found.collect()} == {1}
