@@ -15,8 +15,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, decontam, quality, repeats, shingles
-from tessella.llm.common import delete, done, owning, table, tables, write_and_read
+from tessella.llm import bpe, decontam, quality, repeats, shingles, simhash
+from tessella.llm.common import cut, delete, done, owning, table, tables, write_and_read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -63,9 +63,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @stage
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more): the one of least id
-    (of repeated ids one row)."""
-    return shingles.one_of_each(docs)
+    """One document of each group of near copies: of those that SimHash fingerprints link (op6: two or fewer differing bits),
+    and of what is left by five-word shingles (similarity of 0.8 or more), which find copies of more differing bits. It is the
+    one of least id (of repeated ids one row)."""
+    return shingles.one_of_each(cut(simhash.one_of_each(docs)))
 
 
 @stage

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tessella.llm import repeats
+from tessella.llm import repeats, shingles, simhash
 from tessella.llm.common import write_and_read
 
 
@@ -65,3 +65,16 @@ def test_what_is_not_computed_yet_keeps_its_tables(spark, tmp_path):
     # two was computed, so its tables went with the last stage that began; a stage over a frame that is not written keeps what it needs
     chained = near(spark, repeated(spark, docs, ""), "")
     assert near(spark, docs, "").count() <= 40 and chained.count() <= 40
+
+
+def test_near_duplicates_are_those_of_fingerprints_and_of_shingles(spark):
+    """A chorus with other last lines has one fingerprint but few common shingles; a text with three other words has another fingerprint."""
+    chorus, rng = " ".join(f"row{i}" for i in range(13)), random.Random(3)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    other = [f"x{w}" if i in (20, 21, 22) else w for i, w in enumerate(words)]
+    rows = [(1, " ".join([chorus] * 60)), (2, " ".join([chorus] * 60) + " and then came one more line here that no other text has"), (3, " ".join(words)), (4, " ".join(other)), (5, "quite another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {r.doc_id for r in shingles.one_of_each(docs).collect()}
+    alike = {r.doc_id for r in simhash.one_of_each(docs).collect()}
+    assert (near, alike) == ({1, 2, 3, 5}, {1, 3, 4, 5})
+    assert {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == {1, 3, 5}
