@@ -29,6 +29,8 @@ SAMPLE, CELLS, MEMBERS, ROUNDS = 20_000, 64, 32, 12
 PROBES = 0.65
 #: Vectors, and queries, that a task holds of a cell, on average.
 PART, ASKED = 50_000, 2_000
+#: Vectors that all_pairs holds against ASKED queries at a time, on average, and pairs of a batch that it gives.
+HELD, PAIRS = 1_000, 1 << 16
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -139,6 +141,72 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, ident: str = "v
     return _merged(first.drop("place").unionByName(_looked(open_.select("id", "v", "cell", "angle"), held, k, itself)), k)
 
 
+def _by_width(rows: pa.Table) -> dict:
+    """Ids, vectors and their lengths, no less than 1e-9, by the number of entries; those without a vector by -1."""
+    rows, found = rows.combine_chunks(), {}
+    width = pc.fill_null(pc.list_value_length(rows.column("v")), -1).to_numpy()
+    for w in np.unique(width).tolist():
+        own = rows.filter(pa.array(width == w))
+        x = pc.list_flatten(own.column("v")).to_numpy().reshape(len(own), max(w, 0))
+        found[w] = own.column("id").to_numpy(), x, np.maximum(np.sqrt(_dots(x, x)), 1e-9)
+    return found
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The dot product of each row, its terms added one by one, so that it is the same whoever adds them."""
+    return np.cumsum(a * b, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
+
+
+def _whole(q: np.ndarray, qn: np.ndarray, x: np.ndarray, xn: np.ndarray, scale: int) -> np.ndarray:
+    """floor(cosine * scale + 0.5) of each pair, by one product of matrices; what lies close to a whole number is added up anew in order."""
+    long = np.iinfo(np.int64)
+    with np.errstate(all="ignore"):
+        value = q @ x.T / (qn[:, None] * xn) * scale + 0.5
+        at, to = np.nonzero(~(np.abs(value - np.rint(value)) > 1e-15 * scale * (q.shape[1] + 8)))
+        for k in range(0, len(at), PAIRS):
+            i, j = at[k : k + PAIRS], to[k : k + PAIRS]
+            value[i, j] = _dots(q[i], x[j]) / (qn[i] * xn[j]) * scale + 0.5
+        value = np.floor(np.nan_to_num(value, nan=0.0))
+        whole = np.clip(value, -(2.0**62), 2.0**62).astype(np.int64)
+    return np.where(value >= 2.0**63, long.max, np.where(value <= -(2.0**63), long.min, whole))
+
+
+def all_pairs(vectors: DataFrame, queries: DataFrame, scale: int = 10_000, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Rows (query, id, like): floor(cosine * scale + 0.5) of every query and every vector of another id, as many as their product.
+
+    Vectors and queries are dealt to blocks by their ids, and each block of one meets each of the other in a task, which holds
+    two blocks and gives batches. Lengths are no less than 1e-9; like is null if a vector is null, holds a null, or they differ in length.
+    """
+    parts, groups = (max(1, -(-rows.count() // most)) for rows, most in ((vectors, HELD), (queries, ASKED)))
+    tasks = min(4 * parts * groups, 32 * vectors.sparkSession.sparkContext.defaultParallelism)
+    key = lambda n: F.expr(f"cast(pmod(xxhash64(id), {n}) AS int)")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def dealt(rows: DataFrame, part, group) -> DataFrame:
+        v = F.when(F.forall(vector, lambda c: c.isNotNull()), F.col(vector).cast("array<double>"))
+        rows = rows.select(F.col(ident).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL")
+        return rows.withColumn("part", part).withColumn("group", group).repartition(tasks, "part", "group").groupBy("part", "group")
+
+    def like(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        shape = pa.schema({"query": pa.int64(), "id": pa.int64(), "like": pa.int64()})
+        batches, held = [], _by_width(right)
+        for width, (asked, q, qn) in _by_width(left).items():
+            for other, (ids, x, xn) in held.items():
+                step = max(1, PAIRS // len(ids))
+                for k in range(0, len(asked), step):
+                    own = asked[k : k + step]
+                    pair = [pa.array(np.repeat(own, len(ids))), pa.array(np.tile(ids, len(own)))]
+                    if width == other >= 0:
+                        pair.append(pa.array(_whole(q[k : k + step], qn[k : k + step], x, xn, scale).ravel()))
+                    else:
+                        pair.append(pa.nulls(len(pair[0]), pa.int64()))
+                    batch = pa.RecordBatch.from_arrays(pair, schema=shape)
+                    batches.append(batch.filter(pc.not_equal(pair[0], pair[1])) if np.isin(own, ids).any() else batch)
+        return pa.Table.from_batches(batches, shape)
+
+    return dealt(queries, each(parts), key(groups)).cogroup(dealt(vectors, key(parts), each(groups))).applyInArrow(like, "query long, id long, like long")
+
+
 def recall(found: DataFrame, true: DataFrame) -> float:
     """The share of the true neighbours that were found."""
     both = true.select("query", "id").join(found.select("query", "id"), ["query", "id"], "left_semi").count()

@@ -227,13 +227,10 @@ SELECT q.vec_id AS query_id, v.vec_id, floor(list_dot_product(q.e, v.e) / (great
 FROM q JOIN v ON q.vec_id <> v.vec_id""",
 )
 def c16_cosine_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each query vector (ids divisible by 20) against all vectors; the query set is the small side."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    rows = rows.withColumn("norm", F.greatest(F.sqrt(dot(F.col("e"), F.col("e"))), F.lit(1e-9)))
-    ask = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("norm").alias("qn"))
-    value = dot(F.col("qe"), F.col("e")) / (F.col("qn") * F.col("norm"))
-    return rows.join(ask, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.floor(value * 1e4 + 0.5).cast("long").alias("sim_e4"))
+    """Each query vector (ids divisible by 20) against all vectors, in blocks."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = V.all_pairs(vectors, vectors.where("vec_id % 20 = 0"))
+    return found.select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), F.col("like").alias("sim_e4"))
 
 
 @query(

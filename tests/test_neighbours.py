@@ -48,3 +48,34 @@ def test_odd_vectors(spark):
     got = V.nearest(frame, frame, 3, exact=True).collect()
     assert {r.query for r in got} == {1, 2, 8} and {r.id for r in got} == {1, 2, 8}
     assert V.nearest(frame.where("false"), frame).count() == 0 and V.nearest(frame, frame.where("false")).count() == 0
+
+
+def test_all_pairs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "HELD", 20)
+    monkeypatch.setattr(V, "ASKED", 7)
+    monkeypatch.setattr(V, "PAIRS", 50)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 6)).tolist()
+    x[5], x[6], x[7], x[8], x[9], x[11], x[12] = x[0], [0.0] * 6, None, [None] + [1.0] * 5, [1.0] * 4, [], [3.0, 4.0, 0.0, 0.0, 0.0, 0.0]
+    x[20], x[40] = [-v for v in x[0]], [4.0, -3.0, 0.0, 0.0, 0.0, 0.0]
+    x[60], x[61] = None, [1e200] * 6
+    frame = spark.createDataFrame(list(enumerate(x)), "vec_id int, embedding array<double>")
+
+    def like(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        dot = lambda p, q: sum(u * v for u, v in zip(p, q, strict=True))
+        value = dot(a, b) / (max(dot(a, a) ** 0.5, 1e-9) * max(dot(b, b) ** 0.5, 1e-9)) * 1e4 + 0.5
+        return int(value // 1) if value == value else 0
+
+    found = V.all_pairs(frame, frame.where("vec_id % 20 = 0"))
+    got = {(r.query, r.id): r.like for r in found.collect()}
+    assert got == {(q, i): like(x[q], x[i]) for q in range(0, 90, 20) for i in range(90) if i != q}
+    assert got[0, 5] == 10_000 and got[40, 12] == 0 and got[60, 1] is None
+
+
+def test_neighbours_are_no_nested_loop(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["c16_cosine_neighbours"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
