@@ -44,3 +44,19 @@ def test_an_empty_corpus(spark, corpus, tmp_path):
     inverted.build(articles.where("false"), str(tmp_path / "a"))
     inverted.build(articles.where("chunk_id = 'empty'"), str(tmp_path / "b"))
     assert inverted.search(spark, queries, str(tmp_path / "b")).count() == 0
+
+
+def test_parts_of_chunks_and_little_shuffled(spark, corpus, tmp_path):
+    articles, queries = corpus
+    doubled = articles.unionByName(spark.createDataFrame([("c00007", "wort1 wort1 wort59")], articles.schema))
+    want = {tuple(r) for r in archive.search(queries, articles, 7).select("slot_id", "chunk_id", "place", "score").collect()}
+    inverted.build(articles, str(tmp_path / "a"), 16, part_rows=200)
+    assert spark.read.parquet(f"{tmp_path}/a/postings").select("part").distinct().count() == 16
+    for skipping in (True, False):
+        found = inverted.search(spark, queries, str(tmp_path / "a"), 7, skipping)
+        assert {tuple(r) for r in found.collect()} == want
+    # postings meet by part once; nothing is joined by term or chunk
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    inverted.build(doubled, str(tmp_path / "b"), 16, part_rows=200)
+    held = spark.read.parquet(f"{tmp_path}/b/postings").where("term IS NULL").selectExpr("explode(ids) AS id")
+    assert held.count() == held.distinct().count() == 3_002
