@@ -234,3 +234,37 @@ def test_best_and_totals_of_bm25_are_those_of_its_rows(spark):
             mine = sorted((-r.score, r.chunk_id) for r in every if (r.slot_id, r.topic) == (s, t))
             assert found == (len(mine), -sum(a for a, _ in mine), -mine[0][0])
             assert {c for a, b, c, _ in best if (a, b) == (s, t)} == {c for _, c in mine[:3]}
+
+
+@pytest.mark.parametrize("what", ["pages", "marks"])
+def test_python_holds_some_texts_of_a_batch(what):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessella.functions import markup
+
+    texts = [f"<h1>T{i}</h1><p>{'Wu\u0308rde ' * 500}</p><h2>x</h2><p>y</p>" for i in range(4_000)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["page_id", "html"])
+    del texts
+    tracemalloc.start()
+    if what == "pages":
+        parts = list(articles._parsed(iter([batch])))
+        ids = [i for p in parts for i in p.column(0).to_pylist()]
+        titles = [t for p in parts for t in p.column(1).to_pylist()]
+        assert ids == list(range(4_002)) and titles[:4_000] == [f"T{i}" for i in range(4_000)] and titles[4_000:] == ["", ""]
+    else:
+        got = markup._composed(batch.column(1))
+        assert len(got) == 4_002 and got[3].as_py().startswith("<h1>T3</h1><p>W\u00fcrde ") and got[4_000].as_py() is None and got[4_001].as_py() == ""
+    # the texts are 18 MB in all, and two bytes a sign in Python
+    assert tracemalloc.get_traced_memory()[1] < 12_000_000
+    tracemalloc.stop()
+
+
+def test_pieces_hold_all_rows():
+    import pyarrow as pa
+
+    for rows in ([], [None], ["", None, "a" * 30, "b", "c" * 9, None, "d"], ["x"] * 50):
+        column = pa.array(rows, pa.string())
+        assert [v for p in X.pieces(column, 10) for v in p.to_pylist()] == rows
+        assert [v for p in X.pieces(column.slice(1), 10) for v in p.to_pylist()] == rows[1:]
