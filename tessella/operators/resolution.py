@@ -78,10 +78,15 @@ def corpus(parts: list[tuple[str, DataFrame, int | None]], by: str, most: int) -
     article that two parts name belongs to the first.
     """
     rows = [df.select(by, "project", "title", "order", F.lit(i).alias("part"), F.lit(origin).alias("origin")) for i, (origin, df, _) in enumerate(parts)]
-    once = K.keep_first(reduce(DataFrame.unionByName, rows).withColumn("_t", F.lower("title")), [by, "project", "_t"], ["part", "order", "title"])
-    limits = F.create_map(*[x for i, (_, _, n) in enumerate(parts) for x in (F.lit(i), F.lit(n if n is not None else most))])
+    all_ = reduce(DataFrame.unionByName, rows).withColumn("_t", F.lower("title"))
+    # dealt before they are sorted, to so many tasks that each sorts little and that writing needs no sort (at most 200)
+    dealt = all_.repartition(min(200, 16 * all_.sparkSession.sparkContext.defaultParallelism), by, "project", "_t")
+    once = K.keep_first(dealt, [by, "project", "_t"], ["part", "order", "title"])
+    given = [n if n is not None else most for _, _, n in parts]
+    limits = F.create_map(*[x for i, n in enumerate(given) for x in (F.lit(i), F.lit(n))])
     in_part = F.row_number().over(Window.partitionBy(by, "part").orderBy("order", "title", "project"))
-    kept = once.withColumn("_n", in_part).where(F.col("_n") <= F.element_at(limits, F.col("part")))
+    # the plain limit lets tasks drop what cannot be among the first before it is shuffled
+    kept = once.withColumn("_n", in_part).where(F.col("_n") <= max(given)).where(F.col("_n") <= F.element_at(limits, F.col("part")))
     place = F.row_number().over(Window.partitionBy(by).orderBy("part", "_n"))
     return kept.withColumn("place", place).where(F.col("place") <= most).select(by, "project", "title", "origin", "place")
 

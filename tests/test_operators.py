@@ -268,3 +268,15 @@ def test_pieces_hold_all_rows():
         column = pa.array(rows, pa.string())
         assert [v for p in X.pieces(column, 10) for v in p.to_pylist()] == rows
         assert [v for p in X.pieces(column.slice(1), 10) for v in p.to_pylist()] == rows[1:]
+
+
+def test_a_corpus_is_dealt_before_it_is_sorted(spark):
+    from tessella.operators import resolution
+
+    rows = lambda *r: spark.createDataFrame(r, "topic int, project string, title string, order long")
+    first = rows((1, "p", "A", 0), (2, "p", "B", 0))
+    links = rows((1, "p", "a", 1), (1, "p", "C", 2), (1, "p", "D", 3), (1, "p", "E", 4))
+    found = resolution.corpus([("primary", first, None), ("linked", links, 2), ("hit", rows((1, "p", "e", 1), (1, "q", "c", 2), (2, "p", "X", 1)), None)], "topic", 4)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "p", "A", "primary", 1), (1, "p", "C", "linked", 2), (1, "p", "D", "linked", 3), (1, "q", "c", "hit", 4), (2, "p", "B", "primary", 1), (2, "p", "X", "hit", 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "WindowGroupLimit" in plan
