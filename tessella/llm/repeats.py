@@ -45,20 +45,20 @@ WORDS, GRAM_WORDS = 51, 8
 _BYTES = np.arange(256)
 _IS_BLANK = (_BYTES == 32) | (_BYTES >= 9) & (_BYTES <= 13)
 _IS_LETTER = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
+_KIND = np.where(_IS_LETTER, 1, np.where(_IS_BLANK, 2, 0)).astype(np.uint8)
 PLACE_BITS = 24
+_PLACE = np.uint64((1 << PLACE_BITS) - 1)
 #: Groups of one content's segments, at least, and segments of a group if all were of one content.
 SALTS, PACKED = 1024, 10_000
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """The least of each width consecutive values, from running minima of blocks in both directions."""
-    n = len(values) - width + 1
-    whole = np.full(-(-len(values) // width) * width, np.uint64(2**64 - 1))
-    whole[: len(values)] = values
-    blocks = whole.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+    """The least of each width consecutive values, from those of 1, 2, 4 and more."""
+    n, w = len(values) - width + 1, 1
+    while 2 * w <= width:
+        values = np.minimum(values[:-w], values[w:])
+        w *= 2
+    return np.minimum(values[:n], values[width - w : width - w + n])
 
 
 def segments(data: np.ndarray, hasher: SpanHash, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -67,12 +67,12 @@ def segments(data: np.ndarray, hasher: SpanHash, length: int = LENGTH, gram: int
     step = 1 << (PLACE_BITS - 1)
     for a in range(0, max(0, len(data) - length + 1), step):
         part = data[a : a + step + length - 1]
-        at = np.arange(len(part) - gram + 1)
-        value = hasher.of(hasher.totals(part), at, at + gram)
+        value = hasher.each(hasher.totals(part), gram)
         value ^= value >> np.uint64(32)
         value *= np.uint64(0xD6E8FEB86659FD93)
-        ranked = (value >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | at.astype(np.uint64)
-        place = (_least(ranked, length - gram + 1) & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        ranked = value & ~_PLACE
+        ranked |= np.arange(len(value), dtype=np.uint64)
+        place = (_least(ranked, length - gram + 1) & _PLACE).view(np.int64)
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
         found.append((first + a, np.diff(np.append(first, len(place))), place[first] + a, value[place[first]].view(np.int64)))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else tuple(np.zeros(0, np.int64) for _ in range(4))
@@ -151,7 +151,7 @@ def _word_segments(texts: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, digest = SpanHash(), xxhash.xxh3_128_intdigest
+        hasher, digest = SpanHash(), xxhash.xxh3_128_digest
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             offsets = offsets.tolist()
@@ -172,48 +172,66 @@ def _word_segments(texts: DataFrame) -> DataFrame:
                 contents += [digest(raw[x:y]) for x, y in zip(first[0, start].tolist(), last[start + n - 1].tolist(), strict=True)]
             if rows:
                 start, n, anchor = (np.concatenate([c[j] for c in columns]) for j in range(3))
-                c, d = (np.array([(x >> s) & (2**64 - 1) for x in contents], np.uint64).view(np.int64) for s in (0, 64))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(pa.array(rows)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(c), pa.array(d)], names=["anchor", "key", "first", "n", "c", "d"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(pa.array(rows)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), *_halves(contents)], names=["anchor", "key", "first", "n", "c", "d"])
 
     return texts.mapInArrow(run, "anchor long, key binary, first int, n int, c long, d long")
 
 
+def _halves(digests: list[bytes]) -> list[pa.Array]:
+    """The first and the last eight bytes of digests of 16."""
+    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)]
+
+
 def word_windows(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and past-last bytes (two rows) of the runs of letters and digits of a text, and past-last bytes of its windows.
 
     A word is what white space parts and holds a run; a window goes from the begin of a run to the end of the first run
     of the word WORDS - 1 words on. So signs around a passage, or a text that it follows after a full stop, do not hide it.
     """
+    code = _KIND[data]
     kind = np.zeros(len(data) + 2, bool)
-    kind[1:-1] = _IS_LETTER[data]
+    np.equal(code, 1, out=kind[1:-1])
     edge = np.flatnonzero(kind[1:] != kind[:-1])
     runs = np.stack([edge[::2], edge[1::2]])
     if runs.shape[1] < WORDS:
         return runs, edge[:0]
-    blanks = np.append(0, np.cumsum(_IS_BLANK[data]))[runs[0]]
-    word = np.append(0, np.cumsum(blanks[1:] != blanks[:-1]))
+    blanks = np.searchsorted(np.flatnonzero(code == 2), runs[0])
+    new = np.append(True, blanks[1:] != blanks[:-1])
+    word, head = np.cumsum(new) - 1, np.flatnonzero(new)
     start = word[: np.searchsorted(word, word[-1] - WORDS + 1, "right")]
-    return runs, runs[1, np.searchsorted(word, start + WORDS - 1)]
+    return runs, runs[1, head[start + WORDS - 1]]
 
 
 def _word_windows(parts: DataFrame) -> DataFrame:
     """Rows (c, d, key, at, copies) of all windows of the segments (first, n, copies) of (key, text, parts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_intdigest
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             offsets = offsets.tolist()
+            rows, at, copies, hashes = [], [], [], []
+
+            def packed(rows=rows, at=at, copies=copies, hashes=hashes, batch=batch):
+                keys = batch.column(0).take(pa.array(np.repeat(rows, [len(x) for x in at])))
+                columns = pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(copies))
+                return pa.RecordBatch.from_arrays([*_halves(hashes), keys, *columns], names=["c", "d", "key", "at", "copies"])
+
             for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
-                first, last = (x.tolist() for x in word_windows(data[a:b]))
-                raw, at, copies, hashes = data[a:b].tobytes(), [], [], []
-                for part in batch.column(2)[i].as_py():
-                    for w in range(part["first"], part["first"] + part["n"]):
-                        at.append(w)
-                        copies.append(part["copies"])
-                        hashes.append(digest(raw[first[0][w] : last[w]]))
-                c, d = (pa.array(np.array([(x >> s) & (2**64 - 1) for x in hashes], np.uint64).view(np.int64)) for s in (0, 64))
-                yield pa.RecordBatch.from_arrays([c, d, batch.column(0).take(pa.array([i] * len(at))), pa.array(at, pa.int32()), pa.array(copies, pa.int64())], names=["c", "d", "key", "at", "copies"])
+                first, last = word_windows(data[a:b])
+                raw, parts = data[a:b].tobytes(), batch.column(2)[i].as_py()
+                n = np.array([p["n"] for p in parts])
+                w = spans(np.array([p["first"] for p in parts]), n)
+                rows.append(i)
+                at.append(w)
+                copies.append(np.repeat(np.array([p["copies"] for p in parts], np.int64), n))
+                hashes += [digest(raw[x:y]) for x, y in zip(first[0, w].tolist(), last[w].tolist(), strict=True)]
+                if len(hashes) > 50_000:
+                    yield packed()
+                    rows.clear(), at.clear(), copies.clear(), hashes.clear()
+            if rows:
+                yield packed()
 
     return parts.select("key", "text", "parts").mapInArrow(run, "c long, d long, key binary, at int, copies long")
 
@@ -231,7 +249,8 @@ def passages(texts: DataFrame) -> DataFrame:
     alike = kept.where("alike").select("key", F.col("first").alias("at"), "n").distinct()
     mixed = kept.where("not alike").groupBy("key", "first", "n").agg(F.count("*").alias("copies"))
     parts = mixed.groupBy("key").agg(F.collect_list(F.struct("first", "n", "copies")).alias("parts"))
-    open_ = write_and_read(_word_windows(texts.dropDuplicates(["key"]).join(parts, "key")))
+    # joined before copies go, so that texts are sorted by their keys once
+    open_ = write_and_read(_word_windows(texts.join(parts, "key").dropDuplicates(["key"])))
     often = open_.groupBy("c", "d").agg(F.sum("copies").alias("m")).where("m > 1").select("c", "d")
     return alike.unionByName(open_.join(often, ["c", "d"]).select("key", "at", F.lit(1).alias("n")))
 
@@ -370,26 +389,35 @@ def _key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
-def _spans(starts: list[dict], size: int, length: int) -> list[tuple[int, int]]:
-    """The maximal covered runs of bytes of a text, from the repeated windows of its segments."""
-    return _joined([(s["start"] + a, s["start"] + z - 1 + length) for s in starts for a, z in zip(s["runs"][::2], s["runs"][1::2], strict=True)])
+def _spans(found: pa.ListArray, i: int, length: int) -> list[tuple[int, int]]:
+    """The maximal covered runs of bytes of text i, from the repeated windows of its segments (start, runs)."""
+    if not found[i].is_valid:
+        return []
+    some = found.values.slice(found.offsets[i].as_py(), found.value_lengths()[i].as_py())
+    runs = some.field("runs")
+    pairs = runs.flatten().to_numpy().reshape(-1, 2)
+    start = np.repeat(some.field("start").to_numpy(), runs.value_lengths().to_numpy() // 2)
+    return _joined(start + pairs[:, 0], start + pairs[:, 1] - 1 + length)
 
 
-def _word_spans(data: np.ndarray, runs: list[dict]) -> list[tuple[int, int]]:
-    """The bytes of runs of word windows."""
+def _word_spans(data: np.ndarray, found: pa.ListArray, i: int) -> list[tuple[int, int]]:
+    """The bytes of the runs of word windows (at, n) of text i."""
+    if not found[i].is_valid:
+        return []
+    some = found.values.slice(found.offsets[i].as_py(), found.value_lengths()[i].as_py())
     first, last = word_windows(data)
-    return [(int(first[0, r["at"]]), int(last[r["at"] + r["n"] - 1])) for r in runs]
+    at, n = some.field("at").to_numpy(), some.field("n").to_numpy()
+    return _joined(first[0, at], last[at + n - 1])
 
 
-def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _joined(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     """Spans of bytes in order, those that touch as one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(b, out[-1][1])
-        else:
-            out.append((a, b))
-    return out
+    if not len(begin):
+        return []
+    order = np.argsort(begin)
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    head = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
+    return list(zip(begin[head].tolist(), end[np.append(head[1:], len(end)) - 1].tolist(), strict=True))
 
 
 def _without(raw: bytes, spans: list[tuple[int, int]], whole_signs: bool) -> bytes:
@@ -410,7 +438,8 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
     """Rows (key, n_removed, n_spans, kept_sha256, kept) of the distinct texts that lose bytes.
 
     key is the first half of the text's SHA-256; kept is the remaining text, without halves of signs.
-    With words, passages of WORDS words and more that repeat are removed as well, if shorter than length too.
+    With words, kept is without the passages of WORDS words and more that repeat, too, if shorter than length as well; the
+    numbers and the digest are of the repeats of length bytes alone, so a text that loses words only has none removed.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     every = docs.select(_key(text).alias("key"), text.alias("text"))
@@ -448,23 +477,30 @@ def repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram:
             offsets = offsets.tolist()
             for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
                 raw = data[a:b].tobytes()
-                cuts = _spans(starts[i].as_py() or [], len(raw), length)
-                if in_words_[i].is_valid:
-                    cuts = _joined(cuts + _word_spans(data[a:b], in_words_[i].as_py()))
+                cuts = _spans(starts, i, length)
                 kept_bytes = _without(raw, cuts, False)
-                out.append((len(raw) - len(kept_bytes), len(cuts), hashlib.sha256(kept_bytes).hexdigest(), _without(raw, cuts, True).decode()))
+                counts = len(raw) - len(kept_bytes), len(cuts), hashlib.sha256(kept_bytes).hexdigest()
+                if more := _word_spans(data[a:b], in_words_, i):
+                    cuts = _joined(*np.array(cuts + more).T)
+                out.append((*counts, _without(raw, cuts, True).decode()))
             kinds = pa.int64(), pa.int64(), pa.string(), pa.string()
             yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=["key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return texts.join(spanned, "key").select("key", "text", "starts", "passages").mapInArrow(run, "key binary, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Rows (id_col, n_bytes, n_removed, n_spans, kept_sha256) of all documents."""
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remaining: bool = False, **how) -> DataFrame:
+    """Rows (id_col, n_bytes, n_removed, n_spans, kept_sha256) of all documents, if remaining with (text), what is left of it.
+
+    text is null where it was, and without the passages of words too if these are asked for; see repeats().
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"), _key(text).alias("key"))
-    found = rows.join(repeats(docs, text_col, **how).drop("kept"), "key", "left")
-    return found.select(id_col, "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    whole = [F.col(text_col).alias("text")] if remaining else []
+    rows = docs.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("whole"), _key(text).alias("key"), *whole)
+    found = repeats(docs, text_col, **how)
+    found = rows.join(found if remaining else found.drop("kept"), "key", "left")
+    left = [F.coalesce("kept", "text").alias("text")] if remaining else []
+    return found.select(id_col, "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"), *left)
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
@@ -476,4 +512,5 @@ def without_repeats(docs: DataFrame, text_col: str = "text", **how) -> DataFrame
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed(table(spark, sf_dir, "documents"))
+    """The numbers and digests of repeats of LENGTH bytes, and the text without these and without passages of WORDS words that repeat."""
+    return removed(table(spark, sf_dir, "documents"), remaining=True, words=True)

@@ -71,3 +71,25 @@ def test_remaining_text_keeps_whole_signs(spark):
     rows = {r.doc_id: r for r in repeats.without_repeats(docs, length=20, gram=8).collect()}
     assert rows[3].text is None and rows[1]._kept == 1
     assert rows[1].text[0] == "a" and rows[1].text[-1] == "ö" and "ü" not in rows[1].text[1:-1]
+
+
+def test_query_gives_the_text_without_passages_of_over_50_words(spark, tmp_path):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("aeioustn") for _ in range(rng.randint(1, 8))) for _ in range(n))
+    short, long, line = prose(55), prose(120), prose(40)
+    assert len(short) < 400 < len(long)
+    texts = [f"{prose(30)} zebra{i} {p} {i}yak {prose(30)}" for i, p in enumerate((short, short, long, long, line, line))] + [prose(90), None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    result = repeats.op4_suffix_dedup(spark, str(tmp_path))
+    assert result.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    rows = {r.doc_id: r for r in result.collect()}
+    # numbers and digest are those of 400 bytes, which a passage of 55 short words does not have
+    assert [tuple(rows[i])[1:5] for i in range(len(texts))] == brute(texts, 400)
+    assert [rows[i].n_removed > 0 for i in range(len(texts))] == [i in (2, 3) for i in range(len(texts))]
+    for i, t in enumerate(texts):
+        if i < 4:
+            a, b = t.split(" zebra")[0] + f" zebra{i}", f"{i}yak" + t.split("yak")[1]
+            assert rows[i].text.startswith(a) and rows[i].text.endswith(b) and short not in rows[i].text and long not in rows[i].text
+            assert len(rows[i].text.split()) <= 62
+        else:
+            assert rows[i].text == t
