@@ -51,6 +51,16 @@ def test_keywords_equal_a_plain_loop(spark):
     assert got[903] == ["Regenbogen", "Regenboge"] or got[903][0] == "Regenbogen"
 
 
+def test_keywords_are_sliced_in_arrow_batches(spark, monkeypatch):
+    """Array functions took a step of an interpreter for each word of each name; batches that leave Python early hold the same rows."""
+    words = [f"Wort{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(100)]
+    texts = spark.createDataFrame([(i, " ".join(words[i % 7 :])) for i in range(40)], "id int, text string").repartition(4)
+    found = questions.keywords(texts, "id")
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(questions, "TOGETHER", 1000)
+    assert sorted(found.collect()) == sorted((i, k, w) for i, t in texts.collect() for k, w in enumerate(plain(t)))
+
+
 def test_likeness_equals_the_standard_library(spark):
     rng = random.Random(5)
     text = lambda: "".join(rng.choice("abc d") for _ in range(rng.randint(0, 40)))
