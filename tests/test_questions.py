@@ -61,6 +61,26 @@ def test_keywords_are_sliced_in_arrow_batches(spark, monkeypatch):
     assert sorted(found.collect()) == sorted((i, k, w) for i, t in texts.collect() for k, w in enumerate(plain(t)))
 
 
+def test_all_keywords_of_long_runs_and_of_runs_that_repeat(spark):
+    rng = random.Random(9)
+    pool = "wie Ersten Weltkriegs Weltkrieg Weltkriege Joseph von Eichendorff und Große Netzwerke roten die Tiere".split()
+    texts = [(i, " ".join(rng.choice(rng.sample(pool, k)) for _ in range(rng.randint(0, 40)))) for i in range(60) for k in (2, 5, 9)]
+    texts = [(i, t) for i, (_, t) in enumerate(texts)] + [(900, "Haus " * 60), (901, "Rotes Haus Am See " * 12), (902, None)]
+    got = {}
+    for r in questions.keywords(spark.createDataFrame(texts, "id int, text string"), "id", most=None).orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append(r.keyword)
+    assert got == {i: want for i, t in texts if (want := plain(t, 10**9))}
+
+
+def test_the_query_gives_all_keywords(spark):
+    from tessella.plans.registry import QUERIES
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").selectExpr("concat_ws('-', conv_id, turn) AS id", "initcap(text) AS text").collect()
+    want = {(r.id, i, k) for r in rows for i, k in enumerate(plain(r.text, 10**9))}
+    got = [tuple(r) for r in QUERIES["h19_question_keywords"](spark, "/root/testdata/sf0.001").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_likeness_equals_the_standard_library(spark):
     rng = random.Random(5)
     text = lambda: "".join(rng.choice("abc d") for _ in range(rng.randint(0, 40)))
