@@ -1,4 +1,4 @@
-"""What leaves a task of the scores of its chunks against all slots: every row, the best rows of each slot, or totals.
+"""What leaves a task of the scores of its chunks against all slots: every row, the best rows of each slot, the best slots of each chunk, or totals.
 
 A ranker scores nearly every pair of a chunk and a slot, as they share some word or gram. Who wants candidates or
 totals takes them where the scores arise: the best rows of a topic's slot are among the best ones of its parts, and
@@ -19,11 +19,13 @@ from pyspark.sql.types import DataType
 class Sink:
     """Takes blocks of whole scores of one topic; slots are told apart by their places.
 
-    what is `rows`, `best` (n rows of each slot; ties go to the earlier chunk) or `totals`.
+    what is `rows`, `best` (n rows of each slot; ties go to the earlier chunk), `totals`, or `chunks` (of each chunk the slots
+    that may be its best one once scores are rounded to steps: those within `step` of its highest score, but none that another
+    one beats in score and id).
     """
 
-    def __init__(self, what: str, slot_ids: list, slot_type: DataType, chunk_type: DataType, n: int) -> None:
-        self.what, self.n = what, n
+    def __init__(self, what: str, slot_ids: list, slot_type: DataType, chunk_type: DataType, n: int, step: int = 0) -> None:
+        self.what, self.n, self.step = what, n, step
         self.slot_ids = pa.array(slot_ids, to_arrow_type(slot_type))
         self.chunk_type = to_arrow_type(chunk_type)
         if what == "totals":
@@ -39,6 +41,16 @@ class Sink:
             self.total += of.sum(axis=0)
             self.most = np.maximum(self.most, of.max(axis=0, initial=0))
             return
+        if self.what == "chunks":
+            # slots are in the order of their ids: one counts if it is higher than all before it, and near the highest
+            value = np.where(hit, value, np.iinfo(np.int64).min)
+            before = np.maximum.accumulate(value, axis=1)
+            hit = hit & (value >= before[:, -1:] - self.step)
+            hit[:, 1:] &= value[:, 1:] > before[:, :-1]
+            row, slot = np.nonzero(hit)
+            some, counts = np.unique(row, return_counts=True)
+            self.held.append(pa.table({"id": ids.take(pa.array(some)), "best": self._lists(counts, slot, value[row, slot])}))
+            return
         row, slot = np.nonzero(hit & (value >= self.least) if self.what == "best" else hit)
         if not len(row):
             return
@@ -46,6 +58,10 @@ class Sink:
         if self.what == "best":
             self._cut()
 
+    def _lists(self, counts: np.ndarray, slot: np.ndarray, score: np.ndarray) -> pa.ListArray:
+        each = pa.StructArray.from_arrays([self.slot_ids.take(pa.array(slot, pa.int64())), pa.array(score, pa.int64())], names=["slot_id", "score"])
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), each)
+
     def _cut(self) -> None:
         rows = pa.concat_tables(self.held)
         order = pc.sort_indices(rows, sort_keys=[("slot", "ascending"), ("score", "descending"), ("id", "ascending")], null_placement="at_start")
@@ -61,6 +77,10 @@ class Sink:
         if self.what == "totals":
             at = np.flatnonzero(self.count)
             return pa.table({"slot_id": self.slot_ids.take(pa.array(at)), "topic": pa.array([topic] * len(at), pa.string()), "n": self.count[at], "total": self.total[at], "best": self.most[at]})
+        if self.what == "chunks":
+            nothing = np.array([], np.int64)
+            rows = pa.concat_tables([*self.held[1:], pa.table({"id": pa.array([], self.chunk_type), "best": self._lists(nothing, nothing, nothing)})])
+            return pa.table({"topic": pa.array([topic] * len(rows), pa.string()), "chunk_id": rows["id"], "best": rows["best"]})
         rows = pa.concat_tables(self.held)
         return pa.table({"slot_id": self.slot_ids.take(rows["slot"].combine_chunks()), "topic": pa.array([topic] * len(rows), pa.string()), "chunk_id": rows["id"], "score": rows["score"]})
 
@@ -68,6 +88,8 @@ class Sink:
 def schema(what: str, slots: DataFrame, chunks: DataFrame) -> str:
     """The columns of Sink.table()."""
     kind = lambda df, c: df.schema[c].dataType.simpleString()
+    if what == "chunks":
+        return f"topic string, chunk_id {kind(chunks, 'chunk_id')}, best array<struct<slot_id: {kind(slots, 'slot_id')}, score: long>>"
     tail = "n long, total long, best long" if what == "totals" else f"chunk_id {kind(chunks, 'chunk_id')}, score long"
     return f"slot_id {kind(slots, 'slot_id')}, topic string, {tail}"
 

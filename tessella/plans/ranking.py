@@ -92,6 +92,8 @@ smoothed AS (
 BEST_SQL = """
 best AS (SELECT topic, chunk_id, slot_id, score FROM (SELECT *, row_number() OVER (PARTITION BY topic, chunk_id ORDER BY score DESC, slot_id) AS r FROM top_bm25_scores) WHERE r = 1)"""
 TOP_BM25_SQL = _top_sql("top_bm25", "bm25")
+SHARES_SQL = """
+shares AS (SELECT topic, slot_id, chunk_id, floor((score * 1000000 + largest / 2) / largest)::BIGINT AS score FROM (SELECT *, max(score) OVER (PARTITION BY topic) AS largest FROM bm25))"""
 BEST_BM25_SQL = BEST_SQL.replace("top_bm25_scores", "(SELECT topic, slot_id, chunk_id, share AS score FROM top_bm25)")
 
 
@@ -152,12 +154,12 @@ def e2_best_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "k7_default_slot",
-    f"WITH {BM25_SQL}, {TOP_BM25_SQL}, {BEST_BM25_SQL} SELECT topic, chunk_id, CASE WHEN score >= {R.CONFIDENT} THEN slot_id ELSE 0 END AS slot_id, CASE WHEN score >= {R.CONFIDENT} THEN score ELSE {R.MIN_SCORE} END AS score, score >= {R.CONFIDENT} AS confident FROM best",
+    f"WITH {BM25_SQL}, {SHARES_SQL}, {BEST_SQL.replace('top_bm25_scores', 'shares')} SELECT topic, chunk_id, CASE WHEN score >= {R.CONFIDENT} THEN slot_id ELSE 0 END AS slot_id, CASE WHEN score >= {R.CONFIDENT} THEN score ELSE {R.MIN_SCORE} END AS score, score >= {R.CONFIDENT} AS confident FROM best",
 )
 def k7_default_slot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks without a confident signal go to the default slot with the least score."""
+    """The best of all slots of each chunk that shares a word with one; chunks without a confident signal go to the default slot with the least score."""
     sure = F.col("score") >= R.CONFIDENT
-    rows = _assigned(spark, sf_dir)
+    rows = R.best_of_all(_bm25(spark, sf_dir, "chunks"))
     return rows.select("topic", "chunk_id", F.when(sure, F.col("slot_id")).otherwise(F.lit(0)).alias("slot_id"), F.when(sure, F.col("score")).otherwise(F.lit(R.MIN_SCORE)).alias("score"), sure.alias("confident"))
 
 

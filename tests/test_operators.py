@@ -236,6 +236,34 @@ def test_best_and_totals_of_bm25_are_those_of_its_rows(spark):
             assert {c for a, b, c, _ in best if (a, b) == (s, t)} == {c for _, c in mine[:3]}
 
 
+def test_the_best_slot_of_a_chunk_is_that_of_all_scores(spark, monkeypatch):
+    """Also of chunks that are far down in every slot's list, and with shares that are equal where scores are not."""
+    rng = random.Random(6)
+    words = [f"wort{'abcdefghijklmnopqrstuvwxyz'[i]}" for i in range(26)]
+    chunks = spark.createDataFrame([(t, f"c{i:03d}", " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))) for t in "tu" for i in range(90)] + [(None, "x", "worta"), ("t", "y", None)], "topic string, chunk_id string, text string")
+    slots = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(4))) for i in range(1, 9)] + [(20, "worta wortb"), (21, "wortb worta")], "slot_id long, text string")
+    every = ranking.bm25(slots, chunks).collect()
+    largest = {t: max(r.score for r in every if r.topic == t) for t in "tu"}
+    for part_rows, shares in ((9, 1_000_000), (1000, 1_000_000), (1000, 7)):
+        monkeypatch.setattr(ranking, "SHARES", shares)
+        want = {}
+        for r in every:
+            share = int((r.score * shares + largest[r.topic] / 2) // largest[r.topic])
+            want[r.topic, r.chunk_id] = max(want.get((r.topic, r.chunk_id), (-1, 0)), (share, -r.slot_id))
+        got = {(r.topic, r.chunk_id): (r.score, -r.slot_id) for r in ranking.best_of_all(ranking.bm25(slots, chunks, "chunks", part_rows=part_rows)).collect()}
+        assert got == want and len(got) > 2 * ranking.CANDIDATES
+    monkeypatch.undo()
+    assert ranking.best_of_all(ranking.bm25(slots.where("false"), chunks, "chunks")).count() == 0
+
+
+def test_the_default_slot_takes_all_chunks_with_a_word_of_a_slot(spark):
+    import __spark_entry__ as entry
+
+    every = entry.queries()["k1_bm25"](spark, "/root/testdata/sf0.001").groupBy("topic").agg(F.max("n").alias("n")).collect()
+    rows = entry.queries()["k7_default_slot"](spark, "/root/testdata/sf0.001").groupBy("topic").count().collect()
+    assert all(r["count"] >= max(e.n for e in every if e.topic == r.topic) for r in rows) and max(e.n for e in every) > ranking.CANDIDATES
+
+
 @pytest.mark.parametrize("what", ["pages", "marks"])
 def test_python_holds_some_texts_of_a_batch(what):
     import tracemalloc
