@@ -84,6 +84,9 @@ def support(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     seen = joined.groupBy("claim_id").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s"), F.array_distinct(F.flatten(F.collect_list("v"))).alias("v"))
     none = F.array().cast("array<string>")
     rows = own.join(seen, "claim_id", "left").select("claim_id", "cited", F.size("own").alias("own"), F.size(F.array_intersect("own", F.coalesce("s", none))).alias("met"), F.size(F.array_except("values", F.coalesce("v", none))).alias("numbers_missing"))
-    weak = (F.col("own") >= LEAST_STEMS) & (F.col("met") < F.col("own") * LEAST_SUPPORT)
-    unproved = (F.size("cited") > 0) & (F.col("numbers_missing") > 0)
-    return rows.select("claim_id", "own", "met", "numbers_missing", (~(weak | unproved)).alias("supported"))
+    return rows.select("claim_id", "own", "met", "numbers_missing", supported(F.col("cited"), F.col("own"), F.col("met"), F.col("numbers_missing")).alias("supported"))
+
+
+def supported(cited: Column, own: Column, met: Column, missing: Column) -> Column:
+    """Whether a claim holds by how many stems it has and meets, and how many numbers it misses in what it cites."""
+    return ~(((own >= LEAST_STEMS) & (met < own * LEAST_SUPPORT)) | ((F.size(cited) > 0) & (missing > 0)))

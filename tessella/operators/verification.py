@@ -3,18 +3,18 @@
 An answer is cut into paragraphs, units (lines of a list, prose in one) and claims (sentences). A group of numbers behind a
 sentence's end covers the unmarked sentences before it. A claim stays if it cites evidence that there is, and if what it cites has
 enough of its words and all of its numbers. The numbers that are left are counted anew from 1 in the order of the text.
-All answers are worked off at once: claims are rows, their evidence is joined to them.
+Answers and their evidence, at most 999 texts that a number can name, meet in one row and are worked off there: texts are shuffled
+once, and claims, their words and what they cite not at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import sentences as N
 from tessella.functions import text as X
 from tessella.operators import citations as C
-from tessella.sources.shared import cut
 
 MARK = r"\[\d{1,3}\]"
 _BULLET = r"^\s*(?:[-*•–]|\d{1,2}[.)])\s+"
@@ -63,42 +63,58 @@ def verified(answers: DataFrame, evidence: DataFrame, by: str, mark: str | None
     Claims that fail are dropped; with mark, those that are no questions stay without their numbers in a comment that names the
     mark. sources are the old numbers in the order of the new ones. An answer of which nothing is left has an empty text.
     """
-    text = C.expand_markers(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?s)<!--.*?-->|<!--|-->", " "))
-    rows = answers.select(by, F.posexplode(F.split(text, r"\n\s*\n")).alias("paragraph", "p")).select(by, "paragraph", F.posexplode(units(F.col("p"))).alias("unit", "u"))
-    rows = rows.select(by, "paragraph", "unit", F.posexplode(claims(C.neutralise(F.col("u")))).alias("place", "claim"))
+    proofs = evidence.groupBy(by).agg(F.collect_list(F.struct(F.col("number").cast("int").alias("number"), F.coalesce("text", F.lit("")).alias("text"))).alias("proofs"))
+    rows = answers.select(by, "text").join(proofs, by, "left")
+    none = F.array().cast("array<struct<number: int, text: string>>")
+    found = rows.select(by, checked(F.col("text"), F.coalesce("proofs", none), mark).alias("found"))
+    return found.select(by, "found.text", "found.kept", "found.dropped", "found.sources")
+
+
+def checked(text: Column, proofs: Column, mark: str | None = None) -> Column:
+    """(text, kept, dropped, sources) of an answer against proofs (number, text), worked off inside its row: its claims are an array for each paragraph."""
+    whole = C.expand_markers(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)<!--.*?-->|<!--|-->", " "))
     # numbers of lists and groups without a sentence claim nothing
-    rows = rows.where(F.rlike(F.regexp_replace("claim", MARK, ""), F.lit(r"[^\s.;:,!?…()0-9]"))).transform(cut)
-    key = F.struct(by, "paragraph", "unit", "place")
-    rows = rows.withColumn("claim_id", key).withColumn("cited", C.markers(F.col("claim")))
-    known = evidence.groupBy(by).agg(F.collect_set(F.col("number").cast("int")).alias("known"))
-    rows = rows.join(known, by, "left").withColumn("valid", F.array_intersect("cited", F.coalesce("known", F.array().cast("array<int>")))).drop("known")
-    # evidence has its answer in its number, so that all answers are checked together
-    asked = rows.select("claim_id", F.regexp_replace("claim", MARK, "").alias("text"), F.transform("valid", lambda n: F.struct(F.col(by), n.alias("number"))).alias("cited"))
-    proof = evidence.select(F.struct(F.col(by), F.col("number").cast("int").alias("number")).alias("number"), "text")
-    shown = C.support(asked, proof).select("claim_id", "supported")
-    rows = rows.join(shown, "claim_id").withColumn("holds", (F.size("valid") > 0) & F.col("supported") & ~F.rlike("claim", F.lit(r"^\s*\[\d{1,4}\]\s*:")))
-    question = F.rlike(F.rtrim(F.regexp_replace("claim", MARK, "")), F.lit(r"\?[ )]*$"))
+    claiming = lambda c: F.rlike(F.regexp_replace(c, MARK, ""), F.lit(r"[^\s.;:,!?…()0-9]"))
+    of_paragraph = lambda p: F.filter(F.flatten(F.transform(units(p), lambda u: claims(C.neutralise(u)))), claiming)
+    known = F.transform(proofs, lambda p: F.struct(p["number"].alias("number"), C.stems(p["text"]).alias("stems"), C.numbers(p["text"]).alias("values")))
+    each = lambda paragraphs, use: F.transform(paragraphs, lambda p: F.transform(p, use))
+
+    def judged(claim: Column, proved: Column, numbers: Column) -> Column:
+        def holds(valid: Column) -> Column:
+            plain = F.regexp_replace(claim, MARK, "")
+            cited = F.filter(proved, lambda p: F.array_contains(valid, p["number"]))
+            met = lambda own, c: F.size(F.array_intersect(own, F.flatten(F.transform(c, lambda p: p["stems"]))))
+            missing = lambda c: F.size(F.array_except(C.numbers(F.regexp_replace(plain, r"\\?\[\d+\\?\]", "")), F.flatten(F.transform(c, lambda p: p["values"]))))
+            shown = X.bound(cited, lambda c: X.bound(C.stems(plain), lambda own: C.supported(valid, F.size(own), met(own, c), missing(c))))
+            return (F.size(valid) > 0) & ~F.rlike(claim, F.lit(r"^\s*\[\d{1,4}\]\s*:")) & shown
+
+        return X.bound(F.array_intersect(C.markers(claim), numbers), lambda valid: F.struct(claim.alias("claim"), valid.alias("valid"), holds(valid).alias("holds")))
+
+    def written(paragraphs: Column) -> Column:
+        rows = F.flatten(paragraphs)
+        held = F.filter(rows, lambda c: c["holds"])
+        # new numbers by first use
+        sources = F.array_distinct(F.flatten(F.transform(held, lambda c: c["valid"])))
+        shown = lambda old: F.filter(F.transform(paragraphs, lambda p: F.filter(F.transform(p, lambda c: _shown(c, old, mark)), lambda s: s.isNotNull())), lambda p: F.size(p) > 0)
+        joined = lambda old: F.array_join(F.transform(shown(old), lambda p: F.array_join(p, " ")), "\n\n")
+        kept = F.size(held).cast("long")
+        return X.bound(sources, lambda old: F.struct(joined(old).alias("text"), kept.alias("kept"), (F.size(rows) - kept).alias("dropped"), old.alias("sources")))
+
+    numbered = lambda proved, use: X.bound(F.transform(proved, lambda p: p["number"]), use)
+    paragraphs = F.transform(F.split(whole, r"\n\s*\n"), of_paragraph)
+    return X.bound(known, lambda proved: numbered(proved, lambda numbers: X.bound(each(paragraphs, lambda c: judged(c, proved, numbers)), written)))
+
+
+def _shown(claim: Column, old: Column, mark: str | None) -> Column:
+    """What is left of a claim (claim, valid, holds): with the new numbers of the old ones, marked, or null."""
     tidy = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r" +([.!?,;:…])", "$1"))
-    plain = tidy(F.regexp_replace("claim", MARK, ""))
-    shown_as = F.when(F.col("holds"), F.col("claim"))
-    if mark is not None:
-        shown_as = F.coalesce(shown_as, F.when(~question, F.concat(F.lit(f"<!-- f: Evidenzgrad={mark} -->"), plain, F.lit("<!-- /f -->"))))
-    rows = rows.withColumn("shown", shown_as)
-    # new numbers by first use
-    order = Window.partitionBy(by).orderBy("first")
-    used = rows.where("holds").select(by, "paragraph", "unit", "place", F.posexplode("valid").alias("at", "old"))
-    used = used.groupBy(by, "old").agg(F.min(F.struct("paragraph", "unit", "place", "at")).alias("first")).withColumn("new", F.row_number().over(order))
-    numbers = used.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("new"), F.transform(F.sort_array(F.collect_list(F.struct("new", "old"))), lambda n: n["old"]).alias("sources"))
-    rows = rows.join(numbers, by, "left")
-    signs = F.regexp_extract_all("shown", F.lit(MARK), F.lit(0))
-    number = lambda m: F.col("new")[F.regexp_extract(m, r"(\d+)", 1).cast("int")]
-    again = F.transform(signs, lambda m: F.coalesce(F.concat(F.lit("["), number(m).cast("string"), F.lit("]")), F.lit("")))
-    joined = F.array_join(F.zip_with(F.split("shown", MARK), again, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    rows = rows.withColumn("shown", F.when(F.col("holds"), tidy(joined)).otherwise(F.col("shown")))
-    in_order = lambda *c: F.transform(F.sort_array(F.collect_list(F.struct(*c, "shown"))), lambda s: s["shown"])
-    written = rows.where("shown IS NOT NULL").groupBy(by, "paragraph").agg(F.array_join(in_order("unit", "place"), " ").alias("shown"))
-    written = written.groupBy(by).agg(F.array_join(in_order("paragraph"), "\n\n").alias("text"))
-    counts = rows.groupBy(by).agg(F.sum(F.col("holds").cast("long")).alias("kept"), F.sum((~F.col("holds")).cast("long")).alias("dropped"), F.first("sources").alias("sources"))
-    out = answers.select(by).join(written, by, "left").join(counts, by, "left")
-    none = F.array().cast("array<int>")
-    return out.select(by, F.coalesce("text", F.lit("")).alias("text"), F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("dropped", F.lit(0)).alias("dropped"), F.coalesce("sources", none).alias("sources"))
+    text = claim["claim"]
+    place = lambda m: F.array_position(old, F.regexp_extract(m, r"(\d+)", 1).cast("int"))
+    again = F.transform(F.regexp_extract_all(text, F.lit(MARK), F.lit(0)), lambda m: X.bound(place(m), lambda n: F.when(n > 0, F.concat(F.lit("["), n.cast("string"), F.lit("]"))).otherwise("")))
+    joined = F.array_join(F.zip_with(F.split(text, MARK), again, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+    shown = F.when(claim["holds"], tidy(joined))
+    if mark is None:
+        return shown
+    plain = F.regexp_replace(text, MARK, "")
+    question = F.rlike(F.rtrim(plain), F.lit(r"\?[ )]*$"))
+    return shown.when(~question, F.concat(F.lit(f"<!-- f: Evidenzgrad={mark} -->"), tidy(plain), F.lit("<!-- /f -->")))
