@@ -53,3 +53,18 @@ def test_sentences_once_in_few_rounds(spark, monkeypatch):
     assert got == brute(chunks, 2, 4)
     assert len(rounds) < 40
     assert selection.unseen_sentences(frame.where("false")).count() == 0
+
+
+def test_only_chunks_with_shared_sentences_wait(spark, monkeypatch):
+    """All chunks with their texts and marks were written anew in each round."""
+    written, cut = [], selection.cut
+    monkeypatch.setattr(selection, "cut", lambda df: written.append((df.columns, df.count())) or cut(df))
+    chunks = [("t", f"c{i}", i, i == 5, [f"{i}-{j}" for j in range(6)], [f"{i}-{j}" for j in range(6)]) for i in range(200)]
+    chunks[30][5][1], chunks[70][5][:] = "5-0", [None, "30-0", "30-4", "x", "x", "5-0"]
+    chunks += [("u", "c0", 0, False, ["a"], ["5-0"]), ("u", "c0", 0, False, ["b"], ["5-0"]), (None, "c1", 1, False, ["c"], ["c"])]
+    frame = spark.createDataFrame(chunks, "topic string, chunk_id string, order int, is_lead boolean, sentences array<string>, fingerprints array<string>")
+    got = sorted(tuple(r) for r in selection.unseen_sentences(frame.repartition(3)).collect())
+    u = [r for r in got if r[0] == "u"]
+    assert [r for r in got if r[0] == "t"] == brute(chunks[:200], 3, 5) and len(u) == 1
+    assert all("sentences" not in columns and n <= 5 for columns, n in written)
+    assert written[-1][1] < written[0][1]
