@@ -42,3 +42,12 @@ def test_keywords_are_made_without_a_shuffle(spark):
     found = Q.keywords(texts, "id")
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.id for r in found.collect()} == {1}
+
+
+def test_stop_words_are_looked_up_in_a_set(spark):
+    from tessella.functions import text as X
+
+    rows = spark.createDataFrame([("Der Mond und die Ebbe, ab 1990",), ("",), (None,)], "t string").repartition(1)
+    found = rows.select("t", X.words(F.col("t")).alias("w"), X.words(F.col("t"), []).alias("all"))
+    assert "INSET" in found._jdf.queryExecution().optimizedPlan().toString() and "array_contains" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.t: (r.w, r.all) for r in found.collect()} == {"Der Mond und die Ebbe, ab 1990": (["mond", "ebbe", "1990"], ["der", "mond", "und", "die", "ebbe", "1990"]), "": ([], []), None: (None, None)}
